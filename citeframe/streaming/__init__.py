@@ -1,0 +1 @@
+"""Nothing is streamed: every job reads its whole input once and ends."""
