@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # fixed values: whitespace and word boundary spelled out, so the Java regex dialect does not matter
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+ODD_SPACE = "[\\t\\n\\x0b\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
@@ -31,7 +32,8 @@ def trimmed(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Every run of whitespace becomes one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    # single plain blanks are passed over, which most of a text is
+    return F.trim(F.regexp_replace(c, f"{SPACE}{{2,}}|{ODD_SPACE}", " "))
 
 
 def truncate(c: Column, n: int) -> Column:

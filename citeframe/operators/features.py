@@ -104,8 +104,10 @@ def evidence_column(text: str = "body_text") -> Column:
     body, lower = F.col(text), F.col("_lower")
 
     def found(kind: str, examples: Column) -> Column:
-        shown = T.compact(examples)
-        return F.struct(F.lit(kind).alias("signal"), F.size(examples).alias("n"), shown.alias("examples"))
+        return T.let(
+            examples,
+            lambda x: F.struct(F.lit(kind).alias("signal"), F.size(x).alias("n"), F.slice(x, 1, 3).alias("examples")),
+        )
 
     def counted(kind: str, n: Column, unit: str) -> Column:
         plural = F.when(n == 1, F.lit("")).otherwise(F.lit("s"))

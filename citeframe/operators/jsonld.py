@@ -127,7 +127,7 @@ def with_schema_signals(pages: DataFrame) -> DataFrame:
         )
         return F.filter(F.concat(named, asked), lambda s: F.length(s["value"]) > 0)
 
-    df = pages.withColumn("_shown", T.squash(F.lower("body_text")))
+    df = pages.withColumn("_shown", F.lower("body_text"))  # P1 squashed it already
     return df.withColumn("schema_signals", F.flatten(F.transform("jsonld_records", of_record))).drop("_shown")
 
 
