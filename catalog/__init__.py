@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with their SQL counterparts."""
 
-from catalog import expr_queries  # noqa: F401
+from catalog import answer_queries, expr_queries, site_queries  # noqa: F401
 from catalog.registry import ORACLES, QUERIES, forget
 
 __all__ = ["ORACLES", "QUERIES", "forget"]

@@ -14,7 +14,7 @@ from citeframe.operators.features import crawl_rank
 
 def _inside(url: Column, base: Column) -> Column:
     """Same origin, and below the base path."""
-    folder = F.regexp_replace(U.url_path(base), "/*$", "/")
+    folder = F.concat(F.regexp_replace(U.url_path(base), "/+$", ""), F.lit("/"))
     path = U.url_path(url)
     same = U.url_origin(U.comparable_url(url)) == U.url_origin(U.comparable_url(base))
     return same & (F.startswith(path, folder) | (F.concat(path, F.lit("/")) == folder))

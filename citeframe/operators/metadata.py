@@ -62,7 +62,7 @@ def sitemap_findings(pages: DataFrame, locs: DataFrame, sites: DataFrame) -> Dat
     out = real.join(keys, ["site_id", "url"], "left_anti").select(
         "site_id", F.col("page").alias("url"), F.lit("sitemap-missing-canonical").alias("rule"), F.col("url").alias("detail")
     )
-    roots = sites.select("site_id", F.regexp_replace("base_url", "/*$", "/").alias("url"))
+    roots = sites.select("site_id", F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/")).alias("url"))
     no_root = roots.join(keys, ["site_id", "url"], "left_anti").select(
         "site_id", "url", F.lit("sitemap-missing-root").alias("rule"), F.lit("").alias("detail")
     )
@@ -163,7 +163,7 @@ def language_findings(pages: DataFrame, sites: DataFrame) -> DataFrame:
         hits = F.filter("alternates", lambda a: (a["hreflang"] == language) & (F.length(a["href"]) > 0))
         return F.try_element_at(hits, F.lit(-1))["href"]
 
-    roots = sites.select("site_id", F.regexp_replace("base_url", "/*$", "/").alias("_root"))
+    roots = sites.select("site_id", F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/")).alias("_root"))
     df = pages.join(roots, "site_id", "left")
     own = F.when(F.contains("canonical", F.lit("/zh/")), href("zh-CN")).otherwise(href("en"))
     route = F.when(

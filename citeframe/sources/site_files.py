@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeframe import constants as C
 from citeframe.functions import urls as U
+from citeframe.session import stage
 
 
 def read_pages(spark: SparkSession, path: str, base_url: str | None = None, site_id: str | None = None) -> DataFrame:
@@ -107,10 +108,11 @@ def parse_sitemaps(sitemaps_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain.filter(~nested), plain.filter(nested)
 
 
-def reachable_sitemaps(sitemaps_raw: DataFrame, sites: DataFrame, robots: DataFrame | None = None, hops: int = 3) -> DataFrame:
+def reachable_sitemaps(sitemaps_raw: DataFrame, sites: DataFrame, robots: DataFrame | None = None) -> DataFrame:
     """Stored sitemaps reached from robots hints and the two well-known paths, following index files.
 
-    Each hop joins the index entries found so far with the stored files of the same site.
+    Each hop joins the newly reached files with the index entries and is staged, until a hop finds
+    nothing new; loops between index files end that way too.
     """
     from citeframe.operators.crawl import build_url
 
@@ -120,10 +122,15 @@ def reachable_sitemaps(sitemaps_raw: DataFrame, sites: DataFrame, robots: DataFr
     if robots is not None:
         named = robots.select("site_id", F.explode("sitemap_hints").alias("hint")).join(sites.select("site_id", "base_url"), "site_id")
         start = start.unionByName(named)
-    seen = start.select("site_id", build_url(F.col("hint"), F.col("base_url")).alias("sitemap_url")).distinct()
+    key = ["site_id", "sitemap_url"]
+    start = start.select("site_id", build_url(F.col("hint"), F.col("base_url")).alias("sitemap_url"))
     _, nested = parse_sitemaps(stored)
-    edges = nested.select("site_id", "sitemap_url", U.comparable_url(F.col("loc")).alias("child")).distinct()
-    for _ in range(hops):
-        children = edges.join(seen, ["site_id", "sitemap_url"]).select("site_id", F.col("child").alias("sitemap_url"))
-        seen = seen.unionByName(children).distinct()
-    return stored.join(seen, ["site_id", "sitemap_url"], "left_semi")
+    edges = stage(nested.select(*key, U.comparable_url(F.col("loc")).alias("child")).distinct(), "sitemap-edges")
+    frontier = stage(start.distinct(), "sitemap-hop")
+    seen = frontier
+    while True:
+        found = edges.join(frontier, key, "left_semi").select("site_id", F.col("child").alias("sitemap_url")).distinct()
+        frontier = stage(found.join(seen, key, "left_anti"), "sitemap-hop")
+        if frontier.isEmpty():
+            return stored.join(seen, key, "left_semi")
+        seen = seen.unionByName(frontier)
