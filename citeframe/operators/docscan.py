@@ -16,11 +16,22 @@ from citeframe.functions import text as T
 
 @dataclass(frozen=True)
 class Policy:
-    """A line rule: any of ``patterns`` (Java regex) on the trimmed line."""
+    """A line rule: any of ``patterns`` (Java regex) on the trimmed line, and ``also`` if given.
+
+    A second condition is a pattern of its own, because ``.*`` look-aheads are quadratic on long lines.
+    """
 
     rule: str
     patterns: tuple[str, ...]
     negatable: bool = True
+    also: str | None = None
+
+    def matches(self, line: Column) -> Column:
+        text = T.trimmed(line) if self.negatable else line
+        found = F.lit(False)
+        for pattern in self.patterns:
+            found = found | text.rlike(f"(?iu){pattern}")
+        return found if self.also is None else found & text.rlike(f"(?iu){self.also}")
 
 
 # fixed values: patterns of the built-in policies and of phrases that lift them
@@ -29,7 +40,7 @@ POLICIES = [
     Policy("overclaim-ranking", (
         "(guarantee|promise|ensure|assure).{0,80}(rank|ranking|placement|traffic|visibility)",
         "(#1(?!\\d)|number one).{0,40}(rank|ranking)",
-        f"{_E}\\d{{1,3}}%{_E}.{{0,60}}(lift|increase|improvement|traffic|ranking|visibility)",
+        f"(?=\\d){_E}\\d{{1,3}}%{_E}.{{0,60}}(lift|increase|improvement|traffic|ranking|visibility)",
         "排名.{0,20}(保证|承诺|提升)|提升.{0,20}\\d{1,3}%",
     )),
     Policy("consumer-ui-scraping", (
@@ -41,8 +52,8 @@ POLICIES = [
         "客户案例|客户背书|下载量|星标数",
     )),
     Policy("robots-host-claim", (
-        "(?=.*robots\\.txt).*(host-level|host-wide|whole host|controls the host|控制整个|控制 host)",
-    )),
+        "(host-level|host-wide|whole host|controls the host|控制整个|控制 host)",
+    ), also="robots\\.txt"),
     Policy("local-absolute-path", ("(?:^|[\\s('\"=<])(?:file:///|/?[A-Za-z]:[\\\\/])",), negatable=False),
 ]
 NEGATION = (
@@ -91,29 +102,22 @@ def _line_rows(docs: DataFrame, keep, before: int, after: int, glue: str) -> Dat
 def scan_policies(docs: DataFrame, policies=tuple(POLICIES), negation: str = NEGATION, lookback: int = 5) -> DataFrame:
     """Lines that match a policy, unless the line or the lines just before it hold a negating phrase."""
     keys = [c for c in docs.columns if c != "text"]
-    def broken(policy: Policy, line: Column) -> Column:
-        text = T.trimmed(line) if policy.negatable else line
-        found = F.lit(False)
-        for pattern in policy.patterns:
-            found = found | text.rlike(f"(?i){pattern}")
-        return found
-
     def any_broken(line: Column) -> Column:
         found = F.lit(False)
         for policy in policies:
-            found = found | broken(policy, line)
+            found = found | policy.matches(line)
         return found
 
     # rule hits are rare; the costlier negation check only ever sees those
     df = _line_rows(docs, any_broken, lookback, 0, " ").withColumn("_line", T.trimmed(F.col("line")))
     hits = [
         F.when(
-            broken(p, F.col("line")), F.struct(F.lit(p.rule).alias("rule"), F.lit(p.negatable).alias("negatable"))
+            p.matches(F.col("line")), F.struct(F.lit(p.rule).alias("rule"), F.lit(p.negatable).alias("negatable"))
         )
         for p in policies
     ]
     df = df.withColumn("_hits", F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    lifted = F.col("_line").rlike(f"(?i){negation}") | F.col("context").rlike(f"(?i){negation}")
+    lifted = F.col("_line").rlike(f"(?iu){negation}") | F.col("context").rlike(f"(?iu){negation}")
     df = df.withColumn("_lifted", lifted).select(*keys, "line_no", "line", "_lifted", F.explode("_hits").alias("h"))
     return df.filter(~(F.col("h.negatable") & F.col("_lifted"))).select(*keys, "line_no", "h.rule", "line")
 

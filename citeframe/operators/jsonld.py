@@ -38,7 +38,7 @@ def first_present(v: Column, *paths: str) -> Column:
 
 def _questions(node: Column) -> Column:
     def pair(q: Column) -> Column:
-        answer = F.element_at(F.filter(as_list(q, "$.acceptedAnswer"), is_object), 1)
+        answer = F.get(F.filter(as_list(q, "$.acceptedAnswer"), is_object), F.lit(0))
         return F.struct(
             F.coalesce(T.clean_text(first_present(q, "$.name", "$.text"), 140), F.lit("")).alias("question"),
             F.coalesce(T.clean_text(first_present(answer, "$.text", "$.name"), 180), F.lit("")).alias("answer"),
