@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeframe.session import spread
+
 # ---- sites of twelve pages each ---------------------------------------------------------
 
 _PATH = """CASE {j}
@@ -282,7 +284,7 @@ TABLES = "pages conversations documents events".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

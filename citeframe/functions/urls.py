@@ -13,6 +13,8 @@ from citeframe.functions.text import let
 
 _ORIGIN = "^([a-z]+://[^/?#]*)"
 _WEB = "(?i)^https?://[^/?#\\s]+"
+# urls that are in comparable form already; one match spares most urls the rewriting below
+_PLAIN = "^https?://[a-z0-9.-]+(?:/|(?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)+)$"
 _UNSAFE = "[^\\x21-\\x7e]|[\"<>`{}]"
 # fixed values: characters that stay as they are inside a path or a query
 _KEPT = [
@@ -98,7 +100,7 @@ def comparable_url(c: Column) -> Column:
         out = F.regexp_replace(out, _ORIGIN + "(/[^?#]*[^/?#])/+(?=\\?|$)", "$1$2")
         return let(out, _encoded)
 
-    return let(c, lambda v: F.when(is_web_url(v), normal(v)).otherwise(v))
+    return let(c, lambda v: F.when(v.rlike(_PLAIN) | ~is_web_url(v), v).otherwise(normal(v)))
 
 
 def search_url(c: Column) -> Column:

@@ -7,6 +7,7 @@ row: line scans need no window and no shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +19,28 @@ from citeframe.functions import text as T
 class Policy:
     """A line rule: any of ``patterns`` (Java regex) on the trimmed line, and ``also`` if given.
 
-    A second condition is a pattern of its own, because ``.*`` look-aheads are quadratic on long lines.
+    ``needs`` lists lower-case words of which every match contains at least one. A plain substring
+    search for them rules out nearly all documents and lines before any regex runs.
     """
 
     rule: str
     patterns: tuple[str, ...]
     negatable: bool = True
     also: str | None = None
+    needs: tuple[str, ...] = ()
 
-    def matches(self, line: Column) -> Column:
-        text = T.trimmed(line) if self.negatable else line
-        found = F.lit(False)
-        for pattern in self.patterns:
-            found = found | text.rlike(f"(?iu){pattern}")
-        return found if self.also is None else found & text.rlike(f"(?iu){self.also}")
+    def matches(self, line: Column, trimmed: Column, lower: Column) -> Column:
+        text = trimmed if self.negatable else line
+        found = text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in self.patterns))
+        if self.also is not None:
+            found = found & text.rlike(f"(?iu){self.also}")
+        return self.possible(lower) & found
+
+    def possible(self, lower: Column) -> Column:
+        seen = F.lit(not self.needs)
+        for word in self.needs:
+            seen = seen | F.contains(lower, F.lit(word))
+        return seen
 
 
 # fixed values: patterns of the built-in policies and of phrases that lift them
@@ -42,19 +51,23 @@ POLICIES = [
         "(#1(?!\\d)|number one).{0,40}(rank|ranking)",
         f"(?=\\d){_E}\\d{{1,3}}%{_E}.{{0,60}}(lift|increase|improvement|traffic|ranking|visibility)",
         "排名.{0,20}(保证|承诺|提升)|提升.{0,20}\\d{1,3}%",
-    )),
+    ), needs=("guarantee", "promise", "ensure", "assure", "#1", "number one", "%", "排名", "提升")),
     Policy("consumer-ui-scraping", (
         "(consumer AI UI scraping|consumer UI scraping|scrape consumer AI|抓取消费级 AI|抓取消费级 UI)",
-    )),
+    ), needs=("consumer ", "抓取消费级")),
     Policy("fake-proof", (
         f"{_E}(aggregateRating|reviewRating|ratingValue|downloadCount){_E}",
         f"{_E}(testimonial|customer logo|customer proof|download count|star count){_E}",
         "客户案例|客户背书|下载量|星标数",
+    ), needs=(
+        "aggregaterating", "reviewrating", "ratingvalue", "downloadcount", "testimonial", "customer logo",
+        "customer proof", "download count", "star count", "客户案例", "客户背书", "下载量", "星标数",
     )),
     Policy("robots-host-claim", (
         "(host-level|host-wide|whole host|controls the host|控制整个|控制 host)",
-    ), also="robots\\.txt"),
-    Policy("local-absolute-path", ("(?:^|[\\s('\"=<])(?:file:///|/?[A-Za-z]:[\\\\/])",), negatable=False),
+    ), also="robots\\.txt", needs=("robots.txt",)),
+    Policy("local-absolute-path", ("(?:^|[\\s('\"=<])(?:file:///|/?[A-Za-z]:[\\\\/])",), negatable=False,
+           needs=(":/", ":\\")),
 ]
 NEGATION = (
     "\\?$"
@@ -72,7 +85,7 @@ def package_install_policy(package: str) -> Policy:
     import re
 
     name = re.escape(package)
-    return Policy("package-install-claim", (f"(npm (i|install|add)|npx|pnpm (add|dlx)|yarn (add|dlx)|bunx).{{0,80}}{name}",))
+    return Policy("package-install-claim", (f"(npm (i|install|add)|npx|pnpm (add|dlx)|yarn (add|dlx)|bunx).{{0,80}}{name}",), needs=(package.lower(),))
 
 
 def lines_of(text: Column) -> Column:
@@ -80,9 +93,10 @@ def lines_of(text: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, keep, before: int, after: int, glue: str) -> DataFrame:
-    """The lines for which ``keep(line)`` holds, each with the text of the lines around it.
+    """The lines for which ``keep(entry)`` holds, each with the text of the lines around it.
 
-    Lines are dropped before their surroundings are put together, so only hits carry context.
+    An entry has line, trimmed and lower. Lines are dropped before their surroundings are put
+    together, so only hits carry context.
     """
     keys = [c for c in docs.columns if c != "text"]
     df = docs.withColumn("_lines", lines_of(F.col("text"))).drop("text")
@@ -91,8 +105,13 @@ def _line_rows(docs: DataFrame, keep, before: int, after: int, glue: str) -> Dat
         first = F.greatest(i - before, F.lit(0))
         return F.array_join(F.slice(F.col("_lines"), first + 1, i + after - first + 1), glue)
 
-    numbered = F.transform("_lines", lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    hits = F.filter(numbered, lambda x: keep(x["line"]))
+    entries = F.transform(
+        "_lines",
+        lambda line, i: F.struct(
+            i.alias("i"), line.alias("line"), T.trimmed(line).alias("trimmed"), F.lower(line).alias("lower")
+        ),
+    )
+    hits = F.filter(entries, keep)
     spots = F.transform(
         hits, lambda x: F.struct((x["i"] + 1).alias("line_no"), x["line"].alias("line"), around(x["i"]).alias("context"))
     )
@@ -102,17 +121,20 @@ def _line_rows(docs: DataFrame, keep, before: int, after: int, glue: str) -> Dat
 def scan_policies(docs: DataFrame, policies=tuple(POLICIES), negation: str = NEGATION, lookback: int = 5) -> DataFrame:
     """Lines that match a policy, unless the line or the lines just before it hold a negating phrase."""
     keys = [c for c in docs.columns if c != "text"]
-    def any_broken(line: Column) -> Column:
+    def any_broken(x: Column) -> Column:
         found = F.lit(False)
         for policy in policies:
-            found = found | policy.matches(line)
+            found = found | policy.matches(x["line"], x["trimmed"], x["lower"])
         return found
 
-    # rule hits are rare; the costlier negation check only ever sees those
-    df = _line_rows(docs, any_broken, lookback, 0, " ").withColumn("_line", T.trimmed(F.col("line")))
+    whole = F.lower("text")
+    candidates = docs.filter(reduce(lambda a, b: a | b, [p.possible(whole) for p in policies]))
+    df = _line_rows(candidates, any_broken, lookback, 0, " ").withColumn("_line", T.trimmed(F.col("line")))
+    df = df.withColumn("_low", F.lower("line"))
     hits = [
         F.when(
-            p.matches(F.col("line")), F.struct(F.lit(p.rule).alias("rule"), F.lit(p.negatable).alias("negatable"))
+            p.matches(F.col("line"), F.col("_line"), F.col("_low")),
+            F.struct(F.lit(p.rule).alias("rule"), F.lit(p.negatable).alias("negatable")),
         )
         for p in policies
     ]
@@ -124,7 +146,7 @@ def scan_policies(docs: DataFrame, policies=tuple(POLICIES), negation: str = NEG
 
 def scan_blocks(docs: DataFrame, trigger: str, mentions: str, excludes: str, n: int = 18) -> DataFrame:
     """Trigger lines whose block of ``n`` lines mentions A without the exclusion B."""
-    df = _line_rows(docs, lambda line: line.rlike(trigger), 0, n - 1, "\n")
+    df = _line_rows(docs, lambda x: x["line"].rlike(trigger), 0, n - 1, "\n")
     bad = F.col("context").rlike(mentions) & ~F.col("context").rlike(excludes)
     return df.filter(bad).drop("context")
 
@@ -216,19 +238,24 @@ def doc_link_findings(docs: DataFrame, anchors: DataFrame | None = None, generat
     links = document_links(docs)
     if anchors is None:
         anchors = heading_anchors(docs.select("path", "text"))
-    bad = F.col("target").isNull() | F.col("anchor").isNull()
-    outside = F.coalesce(F.col("is_rooted") | F.col("target").rlike("^\\.\\.(/|$)"), F.lit(False))
-    keep = ["path", "line_no", "href"]
-    out = links.filter(bad).select(*keep, F.lit("undecodable").alias("rule"))
-    out = out.unionByName(links.filter(~bad & outside).select(*keep, F.lit("outside-root").alias("rule")))
-    local = links.filter(~bad & ~outside & (F.length("target") > 0))
     if generated:
-        local = local.filter(~((F.col("target") == generated) | F.startswith("target", F.lit(generated + "/"))))
+        inside = (F.col("target") == generated) | F.startswith("target", F.lit(generated + "/"))
+        links = links.filter(~F.coalesce(inside, F.lit(False)))
     parts = F.split("path", "/")
-    folders = docs.select(
+    places = docs.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("target")
     ).distinct()
-    out = out.unionByName(local.join(folders, "target", "left_anti").select(*keep, F.lit("target-missing").alias("rule")))
-    named = local.filter((F.length("anchor") > 0) & F.col("target").rlike("(?i)\\.md$")).join(folders, "target", "left_semi")
     heads = anchors.select(F.col("path").alias("target"), "anchor").distinct()
-    return out.unionByName(named.join(heads, ["target", "anchor"], "left_anti").select(*keep, F.lit("anchor-missing").alias("rule")))
+    # two left joins mark what exists, so the links themselves are read and parsed once
+    df = links.join(places.withColumn("_place", F.lit(True)), "target", "left")
+    df = df.join(heads.withColumn("_head", F.lit(True)), ["target", "anchor"], "left")
+    outside = F.col("is_rooted") | F.col("target").rlike("^\\.\\.(/|$)")
+    named = (F.length("anchor") > 0) & F.col("target").rlike("(?i)\\.md$")
+    rule = (
+        F.when(F.col("target").isNull() | F.col("anchor").isNull(), F.lit("undecodable"))
+        .when(outside, F.lit("outside-root"))
+        .when(F.length("target") == 0, F.lit(None).cast("string"))
+        .when(F.col("_place").isNull(), F.lit("target-missing"))
+        .when(named & F.col("_head").isNull(), F.lit("anchor-missing"))
+    )
+    return df.withColumn("rule", rule).filter("rule IS NOT NULL").select("path", "line_no", "href", "rule")

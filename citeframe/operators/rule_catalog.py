@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeframe import constants as C
@@ -117,45 +117,59 @@ for _i, (_type, _label, _severity, _bucket) in enumerate(C.REQUIRED_PAGE_TYPES):
 
 SITE_PHASE, PAGE_PHASE, FINAL_PHASE, LINK_PHASE = 1, 2, 3, 4
 
-ISSUE_FIELDS = [
-    "rule_id", "issue_id", "severity", "scope", "category", "bucket", "title", "message", "fix_hint",
-    "page_url", "evidence", "issue_seq",
-]
-
 
-def issue(rule: Rule, phase: int, *, url: Column | None = None, severity: Column | None = None,
-          title: Column | None = None, message: Column | None = None, fix_hint: Column | None = None,
-          evidence: Column | None = None, rank: Column | None = None, sub_ord: Column | None = None,
-          order_by_page: bool | None = None) -> Column:
-    """One issue as a struct.
-
-    ``issue_seq`` sorts issues in the order they are raised: site rules, page rules page by page,
-    closing site rules, link rules page by page.
-    """
+def found(rule_no: int, *, severity: Column | None = None, message: Column | None = None,
+          evidence: Column | None = None, sub_ord: int = 0) -> Column:
+    """What a rule itself contributes to an issue; everything fixed is looked up by number later."""
     none = F.lit(None).cast("string")
-    title = F.lit(rule.title) if title is None else title
-    name = T.slug(title)
-    by_page = phase in (PAGE_PHASE, LINK_PHASE) if order_by_page is None else order_by_page
-    seq = F.struct(
-        F.lit(phase).alias("phase"),
-        (rank if by_page else F.lit(0)).cast("int").alias("page_rank"),
-        (url if by_page else F.lit("")).alias("page_key"),
-        F.lit(rule.rule_no).alias("rule_no"),
-        (F.lit(0) if sub_ord is None else sub_ord).cast("int").alias("sub_ord"),
-    )
     return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        (name if url is None else F.concat(name, F.lit("-"), T.slug(url))).alias("issue_id"),
-        (F.lit(rule.severity) if severity is None else severity).alias("severity"),
-        F.lit(rule.scope).alias("scope"),
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.bucket).alias("bucket"),
-        title.alias("title"),
-        (F.lit(rule.message) if message is None else message).alias("message"),
-        (F.lit(rule.fix_hint) if fix_hint is None else fix_hint).alias("fix_hint"),
-        (none if url is None else url).alias("page_url"),
+        F.lit(rule_no).alias("rule_no"),
+        (none if severity is None else severity).alias("severity"),
+        (none if message is None else message).alias("message"),
         (none if evidence is None else evidence).alias("evidence"),
-        seq.alias("issue_seq"),
+        F.lit(sub_ord).alias("sub_ord"),
+    )
+
+
+def _lookup(rules: list[Rule]) -> Column:
+    """Constant map from rule number to the fixed parts of its issues."""
+    fields = ["severity", "scope", "category", "bucket", "title", "message", "fix_hint"]
+    entries = []
+    for rule in rules:
+        parts = ", ".join(f"'{f}', {T.sql_string(getattr(rule, f))}" for f in fields)
+        entries.append(f"{rule.rule_no}, named_struct({parts})")
+    return F.expr(f"map({', '.join(entries)})")
+
+
+def to_issues(df: DataFrame, issues: Column, phase: Column, *, url: Column, rank: Column, book: "RuleBook | None" = None) -> DataFrame:
+    """Explode an array of findings into issue rows.
+
+    ``url`` and ``rank`` are the page the row stands for. ``issue_seq`` sorts issues in the order
+    they are raised: site rules, page rules page by page, closing site rules, link rules page by page.
+    """
+    rules = list(RULES.values()) + (book.rules if book is not None else [])
+    df = df.select("site_id", url.alias("_url"), rank.alias("_rank"), F.explode(issues).alias("i"))
+    df = df.withColumn("r", F.element_at(_lookup(rules), F.col("i.rule_no"))).withColumn("phase", phase)
+    by_page = F.col("phase").isin(PAGE_PHASE, LINK_PHASE)
+    bot = F.get(T.string_array(C.AI_BOTS), F.col("i.sub_ord"))
+    named = {c: F.when(F.col("i.rule_no") == 4, F.replace(f"r.{c}", F.lit("{bot}"), bot)).otherwise(F.col(f"r.{c}")) for c in ("title", "message", "fix_hint")}
+    df = df.withColumns({"title": named["title"], "page_url": F.when(F.col("r.scope") == "page", F.col("_url"))})
+    tail = F.concat(F.lit("-"), T.slug(F.col("page_url")))
+    return df.select(
+        "site_id",
+        F.concat(F.lit("R"), F.lpad(F.col("i.rule_no").cast("string"), F.when(F.col("i.rule_no") > 99, 3).otherwise(2), F.lit("0"))).alias("rule_id"),
+        F.concat(T.slug(F.col("title")), F.coalesce(tail, F.lit(""))).alias("issue_id"),
+        F.coalesce("i.severity", "r.severity").alias("severity"),
+        "r.scope", "r.category", "r.bucket", "title",
+        F.coalesce(F.col("i.message"), named["message"]).alias("message"),
+        named["fix_hint"].alias("fix_hint"),
+        "page_url", "i.evidence",
+        F.struct(
+            "phase",
+            F.when(by_page, F.col("_rank")).otherwise(0).cast("int").alias("page_rank"),
+            F.when(by_page, F.col("_url")).otherwise(F.lit("")).alias("page_key"),
+            "i.rule_no", "i.sub_ord",
+        ).alias("issue_seq"),
     )
 
 
@@ -183,14 +197,17 @@ class RuleBook:
         self._rules.append((level, Rule(rule_no, title, severity, scope, category, bucket, message, fix_hint), condition))
         return self
 
-    def issues(self, level: str, url: Column | None = None, rank: Column | None = None) -> list[Column]:
-        return [
-            F.when(condition, issue(rule, LEVELS[level], url=url, rank=rank))
-            for at, rule, condition in self._rules
-            if at == level
-        ]
+    @property
+    def rules(self) -> list[Rule]:
+        return [rule for _, rule, _ in self._rules]
+
+    def numbers(self, level: str) -> list[int]:
+        return [rule.rule_no for at, rule, _ in self._rules if at == level]
+
+    def findings(self, level: str) -> list[Column]:
+        return [F.when(condition, found(rule.rule_no)) for at, rule, condition in self._rules if at == level]
 
 
-def raised(issues: list[Column]) -> Column:
-    """The issues whose condition holds, as an array."""
-    return F.filter(F.array(*issues), lambda i: i.isNotNull())
+def raised(findings: list[Column]) -> Column:
+    """The findings whose condition holds, as an array."""
+    return F.filter(F.array(*findings), lambda i: i.isNotNull())

@@ -10,7 +10,7 @@ from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.operators.links import first_home, homepage_linked_types
 from citeframe.operators.rule_catalog import (
-    FINAL_PHASE, LINK_PHASE, PAGE_PHASE, RULES, SITE_PHASE, RuleBook, issue, raised,
+    FINAL_PHASE, LINK_PHASE, PAGE_PHASE, RULES, SITE_PHASE, RuleBook, found, raised, to_issues,
 )
 
 
@@ -98,44 +98,51 @@ def _hidden_values(field: str, labelled: bool) -> Column:
 
 
 def _evidence_density() -> Column:
-    """The evidence rule of the page's type: how many of its signal groups are present."""
-    found = F.col("evidence_signals")
-    rules = F.lit(None)
+    """The evidence rule of the page's type: how many of its signal groups are present.
+
+    The groups of all types are one constant map, so a single expression serves every type.
+    """
+    rows = []
     for page_type, (rule_no, _, severity, needed, groups) in C.EVIDENCE_GROUPS.items():
-        wanted = F.array(
-            *[F.struct(F.lit(label).alias("label"), T.string_array(kinds).alias("kinds")) for label, kinds in groups]
+        listed = ", ".join(
+            f"named_struct('label', {T.sql_string(label)}, 'kinds', array({', '.join(T.sql_string(k) for k in kinds)}))"
+            for label, kinds in groups
         )
-        present = F.filter(wanted, lambda g: F.exists(found, lambda s: F.array_contains(g["kinds"], s["signal"])))
-        absent = F.filter(wanted, lambda g: ~F.exists(found, lambda s: F.array_contains(g["kinds"], s["signal"])))
-
-        def shown(g: Column) -> Column:
-            examples = F.flatten(
-                F.transform(
-                    g["kinds"],
-                    lambda k: F.flatten(F.transform(F.filter(found, lambda s: s["signal"] == k), lambda s: s["examples"])),
-                )
-            )
-            text = T.compact_evidence(examples)
-            return F.concat(g["label"], F.when(F.size(examples) > 0, F.concat(F.lit(": "), text)).otherwise(F.lit("")))
-
-        missing = F.array_join(F.transform(absent, lambda g: g["label"]), ", ")
-        have = F.array_join(F.transform(present, shown), "; ")
-        have = F.when(F.size(present) > 0, have).otherwise(F.lit("none"))
-        one = issue(
-            RULES[rule_no],
-            PAGE_PHASE,
-            url=F.col("url"),
-            rank=F.col("page_rank"),
-            severity=F.when(F.size(present) == 0, F.lit("warn")).otherwise(F.lit(severity)),
-            message=F.concat(
-                F.lit(f"The {page_type} page shows "), F.size(present).cast("string"),
-                F.lit(f" of {len(groups)} kinds of evidence."),
+        rows.append(
+            f"{T.sql_string(page_type)}, named_struct('rule_no', {rule_no}, 'severity', '{severity}', 'needed', {needed}, 'groups', array({listed}))"
+        )
+    wanted = F.try_element_at(F.expr(f"map({', '.join(rows)})"), F.col("page_type"))
+    signals = F.col("evidence_signals")
+
+    def judged(group: Column) -> Column:
+        mine = F.flatten(F.transform(group["kinds"], lambda k: F.filter(signals, lambda s: s["signal"] == k)))
+        return F.struct(group["label"].alias("label"), mine.alias("mine"))
+
+    def shown(g: Column) -> Column:
+        examples = F.flatten(F.transform(g["mine"], lambda s: s["examples"]))
+        more = F.when(F.size(examples) > 0, F.concat(F.lit(": "), T.compact_evidence(examples))).otherwise(F.lit(""))
+        return F.concat(g["label"], more)
+
+    def rule(w: Column, groups: Column) -> Column:
+        present = F.filter(groups, lambda g: F.size(g["mine"]) > 0)
+        absent = F.filter(groups, lambda g: F.size(g["mine"]) == 0)
+        n, total = F.size(present), F.size(groups)
+        have = F.when(n > 0, F.array_join(F.transform(present, shown), "; ")).otherwise(F.lit("none"))
+        return F.when(
+            n < w["needed"],
+            F.struct(
+                w["rule_no"].alias("rule_no"),
+                F.when(n == 0, F.lit("warn")).otherwise(w["severity"]).alias("severity"),
+                F.format_string("The %s page shows %d of %d kinds of evidence.", F.col("page_type"), n, total).alias("message"),
+                F.concat(
+                    F.lit("Missing: "), F.array_join(F.transform(absent, lambda g: g["label"]), ", "),
+                    F.lit(". Present: "), have, F.lit("."),
+                ).alias("evidence"),
+                F.lit(0).alias("sub_ord"),
             ),
-            evidence=F.concat(F.lit("Missing: "), missing, F.lit(". Present: "), have, F.lit(".")),
         )
-        low = (F.col("page_type") == page_type) & (F.size(present) < needed)
-        rules = F.when(low, one) if rule_no == 24 else rules.when(low, one)
-    return rules
+
+    return T.let(wanted, lambda w: T.let(F.transform(w["groups"], judged), lambda groups: rule(w, groups)))
 
 
 def page_issues(pages: DataFrame, book: RuleBook | None = None) -> DataFrame:
@@ -144,22 +151,21 @@ def page_issues(pages: DataFrame, book: RuleBook | None = None) -> DataFrame:
     Every rule is a branch of one projection, so a page is read once and nothing is shuffled. A
     page that could not be fetched raises only that.
     """
-    url, rank = F.col("url"), F.col("page_rank")
+    wordy = F.col("page_type").isin("home", "product", "pricing", "security", "docs")
     extra = {
-        12: {"severity": F.when(F.col("page_type").isin("home", "product", "pricing", "security", "docs"), "warn").otherwise("info")},
+        12: {"severity": F.when(wordy, "warn").otherwise("info")},
         16: {"evidence": _hidden_values("name", True)},
         17: {"evidence": _hidden_values("description", True)},
         18: {"evidence": _hidden_values("faq.question", False)},
         19: {"evidence": _hidden_values("faq.answer", False)},
     }
-    conditions = _page_conditions()
-    rules = [F.when(conditions[n], issue(RULES[n], PAGE_PHASE, url=url, rank=rank, **extra.get(n, {}))) for n in conditions]
+    rules = [F.when(condition, found(n, **extra.get(n, {}))) for n, condition in _page_conditions().items()]
     rules.append(_evidence_density())
     if book is not None:
-        rules += book.issues("page", url=url, rank=rank)
-    failed = issue(RULES[5], PAGE_PHASE, url=url, rank=rank, message=F.coalesce("fetch_error", F.lit(RULES[5].message)))
+        rules += book.findings("page")
+    failed = found(5, message=F.coalesce("fetch_error", F.lit(RULES[5].message)))
     chosen = F.when(F.col("is_ok"), raised(rules)).otherwise(F.array(failed))
-    return pages.select("site_id", F.explode(chosen).alias("i")).select("site_id", "i.*")
+    return to_issues(pages, chosen, F.lit(PAGE_PHASE), url=F.col("url"), rank=F.col("page_rank"), book=book)
 
 
 # ---- site rules ------------------------------------------------------------------------
@@ -235,31 +241,29 @@ def site_issues(facts: DataFrame, book: RuleBook | None = None) -> DataFrame:
         given = F.coalesce(F.size(values), F.lit(0)) > 0
         return has_home & given & ~F.coalesce(F.exists(values, lambda v: _covers(lower, v)), F.lit(False))
 
-    def at(no: int, phase: int, condition: Column, url: Column | None = None) -> Column:
-        return F.when(condition, issue(RULES[no], phase, url=url))
+    def at(no: int, condition: Column, **more) -> Column:
+        return F.when(condition, found(no, **more))
 
     rules = [
-        at(1, SITE_PHASE, ~F.col("robots_exists")),
-        at(2, SITE_PHASE, F.col("n_discovered") == 0),
-        at(3, SITE_PHASE, F.col("blocked_all")),
-    ]
-    for i, bot in enumerate(C.AI_BOTS):
-        rule = RULES[4]
-        named = {k: F.lit(getattr(rule, k).replace("{bot}", bot)) for k in ("title", "message", "fix_hint")}
-        rules.append(F.when(F.array_contains("blocked_bots", bot), issue(rule, SITE_PHASE, sub_ord=F.lit(i), **named)))
-    rules += [
-        at(33, FINAL_PHASE, ~has_home),
-        at(34, FINAL_PHASE, has_home & ~_covers(lower, F.coalesce("brand_category", F.lit(""))), home),
-        at(35, FINAL_PHASE, none_named("personas"), home),
-        at(36, FINAL_PHASE, none_named("use_cases"), home),
-        at(37, FINAL_PHASE, has_home & (F.col("linked_types") < 3), home),
-        *[at(38 + i, FINAL_PHASE, F.col(f"n_{t[0]}") == 0) for i, t in enumerate(C.REQUIRED_PAGE_TYPES)],
-        at(44, FINAL_PHASE, F.col("n_use_case") < 3),
-        at(45, FINAL_PHASE, (F.col("n_compare") > 0) & ~no_names & ~F.col("compare_named")),
+        at(1, ~F.col("robots_exists")),
+        at(2, F.col("n_discovered") == 0),
+        at(3, F.col("blocked_all")),
+        *[at(4, F.array_contains("blocked_bots", bot), sub_ord=i) for i, bot in enumerate(C.AI_BOTS)],
+        at(33, ~has_home),
+        at(34, has_home & ~_covers(lower, F.coalesce("brand_category", F.lit("")))),
+        at(35, none_named("personas")),
+        at(36, none_named("use_cases")),
+        at(37, has_home & (F.col("linked_types") < 3)),
+        *[at(38 + i, F.col(f"n_{t[0]}") == 0) for i, t in enumerate(C.REQUIRED_PAGE_TYPES)],
+        at(44, F.col("n_use_case") < 3),
+        at(45, (F.col("n_compare") > 0) & ~no_names & ~F.col("compare_named")),
     ]
+    opening = [1, 2, 3, 4]
     if book is not None:
-        rules += book.issues("site") + book.issues("final")
-    return facts.select("site_id", F.explode(raised(rules)).alias("i")).select("site_id", "i.*")
+        rules += book.findings("site") + book.findings("final")
+        opening += book.numbers("site")
+    phase = F.when(F.col("i.rule_no").isin(opening), SITE_PHASE).otherwise(FINAL_PHASE)
+    return to_issues(facts, raised(rules), phase, url=home, rank=F.lit(0), book=book)
 
 
 # ---- link rules ------------------------------------------------------------------------
@@ -356,9 +360,7 @@ def link_issues(facts: DataFrame) -> DataFrame:
         return F.when(linked, T.compact_evidence(F.transform(first, part)))
 
     def at(no: int, condition: Column, **more) -> Column:
-        return F.when(
-            condition, issue(RULES[no], LINK_PHASE, url=F.col("url"), rank=F.col("page_rank"), severity=severity, **more)
-        )
+        return F.when(condition, found(no, severity=severity, **more))
 
     rules = [
         at(
@@ -375,7 +377,7 @@ def link_issues(facts: DataFrame) -> DataFrame:
         at(47, linked & (F.col("n_informative") == 0), evidence=shown(lambda x: x["anchor_text"])),
         at(48, linked & (F.col("n_supportive") == 0), evidence=shown(lambda x: x["source_context"])),
     ]
-    return facts.select("site_id", F.explode(raised(rules)).alias("i")).select("site_id", "i.*")
+    return to_issues(facts, raised(rules), F.lit(LINK_PHASE), url=F.col("url"), rank=F.col("page_rank"))
 
 
 def audit_issues(pages: DataFrame, sites: DataFrame, robots: DataFrame | None = None, brands: DataFrame | None = None,

@@ -44,3 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), "citeframe-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores out to all of them.
+
+    Only for bare file scans: asking for their split count runs nothing. Large inputs have more
+    splits than cores and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

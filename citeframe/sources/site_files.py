@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeframe import constants as C
 from citeframe.functions import urls as U
-from citeframe.session import stage
+from citeframe.session import spread, stage
 
 
 def read_pages(spark: SparkSession, path: str, base_url: str | None = None, site_id: str | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def read_pages(spark: SparkSession, path: str, base_url: str | None = None, site
     content_type, fetch_error). With it the path is a folder of html files laid out like the site.
     """
     if base_url is None:
-        return as_pages_raw(spark.read.parquet(path))
+        return as_pages_raw(spread(spark.read.parquet(path)))
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(path, wholetext=True)
     root = F.lit(path.rstrip("/") + "/")
     name = F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), root, -1)
