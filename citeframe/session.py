@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
