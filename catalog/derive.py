@@ -283,13 +283,21 @@ FROM documents"""
 TABLES = "pages conversations documents events".split()
 
 
+_scans: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _scans:
+        _scans[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return _scans[key]
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a derivation over the given tables; the views only live until the plan is resolved."""
     for name in TABLES:
+        if f"FROM {name}" not in sql:
+            continue
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
 

@@ -19,7 +19,7 @@ def read_pages(spark: SparkSession, path: str, base_url: str | None = None, site
     if base_url is None:
         return as_pages_raw(spread(spark.read.parquet(path)))
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(path, wholetext=True)
-    root = F.lit(path.rstrip("/") + "/")
+    root = path.rstrip("/") + "/"
     name = F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), root, -1)
     route = F.regexp_replace(F.regexp_replace(name, "(?i)index\\.html$", ""), "(?i)\\.html$", "")
     url = U.comparable_url(F.concat(F.lit(base_url.rstrip("/") + "/"), route))
