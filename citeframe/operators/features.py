@@ -16,17 +16,22 @@ def _path(url: Column) -> Column:
     return T.let(bare, lambda p: F.when(F.length(p) > 0, p).otherwise(F.lit("/")))
 
 
+def with_site(pages: DataFrame, sites: DataFrame | None) -> DataFrame:
+    """Adds ``base_url`` of the site, NULL without ``sites``; every later step reads it from the row."""
+    if "base_url" in pages.columns:
+        return pages
+    if sites is None:
+        return pages.withColumn("base_url", F.lit(None).cast("string"))
+    return pages.join(sites.select("site_id", "base_url"), "site_id", "left")
+
+
 def classify_page_type(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """Adds ``page_type``: home paths first, then the ordered word rules, else ``other``.
 
     ``sites`` supplies base paths; without it every base path is ``/``.
     """
-    df = pages
-    if sites is not None:
-        df = df.join(sites.select("site_id", _path(F.col("base_url")).alias("_base")), "site_id", "left")
-        df = df.withColumn("_base", F.coalesce("_base", F.lit("/")))
-    else:
-        df = df.withColumn("_base", F.lit("/"))
+    df = with_site(pages, sites)
+    df = df.withColumn("_base", F.coalesce(_path(F.col("base_url")), F.lit("/")))
     df = df.withColumn("_path", _path(F.col("url")))
     df = df.withColumn("_hay", F.lower(F.concat_ws(" ", "title", "h1", "_path")))
     path, hay, base = F.col("_path"), F.col("_hay"), F.col("_base")
@@ -155,7 +160,7 @@ def page_features(pages_raw: DataFrame, sites: DataFrame | None = None, keep_sit
     from citeframe.operators.jsonld import with_jsonld, with_schema_signals
     from citeframe.operators.links import with_links
 
-    df = extract_pages(pages_raw, keep_site_text)
+    df = with_site(extract_pages(pages_raw, keep_site_text), sites)
     df = derive_page_flags(classify_page_type(df, sites))
     df = with_evidence(with_schema_signals(with_jsonld(df)))
-    return with_links(df, sites)
+    return with_links(df).drop("base_url")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
+from citeframe.operators.joins import salted_join
 
 
 def _anchor(link: Column) -> Column:
@@ -41,12 +42,11 @@ def with_links(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     where a site's own host differs from the page's.
     """
     df = pages
-    if sites is not None:
-        home = sites.select("site_id", U.url_origin(F.col("base_url")).alias("_home"))
-        df = df.join(home, "site_id", "left")
-    else:
-        df = df.withColumn("_home", F.lit(None).cast("string"))
-    host = F.regexp_replace(F.coalesce("_home", U.url_origin(F.col("url"))), "^[a-z]+://", "")
+    if "base_url" not in df.columns:
+        df = df.withColumn("base_url", F.lit(None).cast("string")) if sites is None else df.join(
+            sites.select("site_id", "base_url"), "site_id", "left"
+        )
+    host = F.regexp_replace(U.url_origin(F.coalesce("base_url", "url")), "^[a-z]+://", "")
     df = df.withColumn("_host", host)
     resolved = F.transform(
         "raw_links",
@@ -102,7 +102,7 @@ def with_links(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
             ),
         )
     )
-    return df.withColumn("links", links).drop("_home", "_host", "_resolved", "_anchored", "_keyed", "raw_links")
+    return df.withColumn("links", links).drop("_host", "_resolved", "_anchored", "_keyed", "raw_links")
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
@@ -116,15 +116,15 @@ def explode_links(pages: DataFrame) -> DataFrame:
 def incoming_links(pages: DataFrame) -> DataFrame:
     """Links into known pages from other pages, with the source's type and the target's attributes.
 
-    Links meet the narrow page list on (site, target). A target that receives a large share of all
-    links is split by AQE's skew join; the page side has one row per url.
+    Links meet the narrow page list on (site, target), salted by source because one target may
+    receive a large share of all links.
     """
     links = pages.select("site_id", F.col("url").alias("src_url"), F.col("page_type").alias("src_page_type"),
                          "page_rank", F.explode("links").alias("l"))
     links = links.select("site_id", "src_url", "src_page_type", F.col("page_rank").alias("src_rank"), "l.*")
     links = links.filter("is_internal AND dst_url <> src_url")
     targets = pages.select("site_id", F.col("url").alias("dst_url"), F.col("page_type").alias("dst_page_type"))
-    return links.join(targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"])
+    return salted_join(links, targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"], ["src_url"])
 
 
 def first_home(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
+from citeframe.operators.joins import salted_join
 from citeframe.operators.jsonld import as_list, is_object, string_at
 
 
@@ -47,7 +48,7 @@ def canonical_findings(pages: DataFrame) -> DataFrame:
     none = real.filter(unnamed).select("site_id", "url", F.lit("canonical-missing").alias("rule"), F.lit("").alias("detail"))
     named = real.filter(~unnamed)
     first = named.groupBy("site_id", "canonical").agg(F.min("url").alias("_first"))
-    again = named.join(first, ["site_id", "canonical"]).filter("url <> _first")
+    again = salted_join(named, first, ["site_id", "canonical"], ["url"]).filter("url <> _first")
     return none.unionByName(again.select("site_id", "url", F.lit("canonical-duplicate").alias("rule"), F.col("canonical").alias("detail")))
 
 
@@ -59,7 +60,7 @@ def sitemap_findings(pages: DataFrame, locs: DataFrame, sites: DataFrame) -> Dat
     listed = locs.groupBy("site_id", F.col("loc").alias("url")).agg(F.count("*").alias("n"))
     keys = listed.select("site_id", "url")
     real = real_pages(pages).filter(F.length("canonical") > 0).select("site_id", F.col("url").alias("page"), F.col("canonical").alias("url"))
-    out = real.join(keys, ["site_id", "url"], "left_anti").select(
+    out = salted_join(real, keys, ["site_id", "url"], ["page"], "left_anti").select(
         "site_id", F.col("page").alias("url"), F.lit("sitemap-missing-canonical").alias("rule"), F.col("url").alias("detail")
     )
     roots = sites.select("site_id", F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/")).alias("url"))
@@ -178,11 +179,11 @@ def language_findings(pages: DataFrame, sites: DataFrame) -> DataFrame:
     # every declared pair (page canonical, target): the target must exist and point back
     pairs = alternates(pages).filter(F.col("hreflang").isin("en", "zh-CN") & (F.col("href") != F.col("canonical")))
     known = pages.select("site_id", F.col("canonical").alias("href")).distinct()
-    absent = pairs.join(known, ["site_id", "href"], "left_anti").select(
+    absent = salted_join(pairs, known, ["site_id", "href"], ["url"], "left_anti").select(
         "site_id", "url", F.lit("hreflang-target-missing").alias("rule"), F.col("href").alias("detail")
     )
     back = pages.select("site_id", F.col("canonical").alias("href"), F.explode("alternates.href").alias("canonical")).distinct()
-    one_way = pairs.join(known, ["site_id", "href"], "left_semi").join(back, ["site_id", "href", "canonical"], "left_anti")
+    one_way = salted_join(pairs, known, ["site_id", "href"], ["url"], "left_semi").join(back, ["site_id", "href", "canonical"], "left_anti")
     one_way = one_way.select("site_id", "url", F.lit("hreflang-reciprocal").alias("rule"), F.col("href").alias("detail"))
     return local.unionByName(absent).unionByName(one_way)
 
@@ -239,14 +240,14 @@ def faq_findings(pages: DataFrame) -> DataFrame:
 def broken_links(pages: DataFrame) -> DataFrame:
     """Internal links, assets aside, whose target is no stored page.
 
-    The anti join runs on distinct (site, target) keys of the page list; AQE splits hot targets.
+    The anti join is salted by source, since one missing target may hold most links.
     """
     links = pages.select("site_id", "url", F.explode("links").alias("l")).filter("l.is_internal")
     links = links.select("site_id", "url", F.col("l.dst_url").alias("dst_url"))
     asset = F.lower(U.url_path(F.col("dst_url"))).rlike("\\.(" + "|".join(C.ASSET_EXTENSIONS) + ")$")
     targets = links.filter(~asset).withColumn("_key", F.regexp_replace("dst_url", "\\?.*$", ""))
     stored = pages.select("site_id", F.regexp_replace(U.comparable_url(F.col("url")), "\\?.*$", "").alias("_key")).distinct()
-    lost = targets.join(stored, ["site_id", "_key"], "left_anti")
+    lost = salted_join(targets, stored, ["site_id", "_key"], ["url"], "left_anti")
     return lost.select("site_id", "url", F.lit("internal-link-missing").alias("rule"), F.col("dst_url").alias("detail"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from citeframe import constants as C
 from citeframe.functions import text as T
+from citeframe.operators.joins import salted_join
 from citeframe.operators.links import first_home, homepage_linked_types
 from citeframe.operators.rule_catalog import (
     FINAL_PHASE, LINK_PHASE, PAGE_PHASE, RULES, SITE_PHASE, RuleBook, found, raised, to_issues,
@@ -15,28 +16,24 @@ from citeframe.operators.rule_catalog import (
 
 
 def with_dims(df: DataFrame, brands: DataFrame | None, competitors: DataFrame | None) -> DataFrame:
-    """Adds category, personas, use_cases and competitor_names of the site.
+    """Adds brand_category, personas, use_cases and competitor_names of the site.
 
-    Competitors become one array per site first, so the join is one row per site on the right and
-    its strategy is left to the optimizer's own size check.
+    Brand and competitors become one row per site first, so pages take part in a single join. Its
+    strategy is left to the optimizer's own size check; a hot site is split by the skew join.
     """
-    missing = {
-        "brand_category": "string", "personas": "array<string>", "use_cases": "array<string>",
-        "competitor_names": "array<string>",
-    }
+    dims = None
     if brands is not None:
-        b = brands.select("site_id", F.col("category").alias("brand_category"), "personas", "use_cases")
-        df = df.join(b, "site_id", "left")
+        dims = brands.select("site_id", F.col("category").alias("brand_category"), "personas", "use_cases")
     if competitors is not None:
         names = competitors.groupBy("site_id").agg(
             F.array_sort(F.collect_list(F.struct("comp_ord", "name"))).alias("_c")
         )
         names = names.select("site_id", F.col("_c.name").alias("competitor_names"))
-        df = df.join(names, "site_id", "left")
-    for name, kind in missing.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df
+        dims = names if dims is None else dims.join(names, "site_id", "full")
+    if dims is not None:
+        df = df.join(dims, "site_id", "left")
+    kinds = {"brand_category": "string", "personas": "array<string>", "use_cases": "array<string>", "competitor_names": "array<string>"}
+    return df.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items() if n not in df.columns})
 
 
 def _names_any(text: Column, names: Column) -> Column:
@@ -295,7 +292,7 @@ def judged_links(pages: DataFrame) -> DataFrame:
         "site_id", F.col("url").alias("src_url"), F.col("page_rank").alias("src_rank"), F.explode("links").alias("l")
     )
     links = links.select("site_id", "src_url", "src_rank", "l.*").filter("is_internal AND dst_url <> src_url")
-    df = links.join(proof.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"])
+    df = salted_join(links, proof.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"], ["src_url"])
     df = df.withColumns(
         {
             "_words": _proof_keywords(),
