@@ -35,8 +35,11 @@ def _known(spark, sf):
 
 
 def _scored(spark, sf):
-    cited = A.score_citations(_known(spark, sf), _brands(spark, sf))
-    return shared(spark, sf, "answer-scores", lambda: A.score_answers(cited, _brands(spark, sf), _facts(spark, sf), _competitors(spark, sf)))
+    def build():
+        dims = _brands(spark, sf), _facts(spark, sf), _competitors(spark, sf)
+        return A.score_answers(A.score_citations(A.with_site_dims(_known(spark, sf), *dims), dims[0]), *dims)
+
+    return shared(spark, sf, "answer-scores", build)
 
 
 def _groups(spark, sf):

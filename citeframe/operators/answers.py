@@ -64,10 +64,13 @@ def rank_scores(answers: DataFrame) -> DataFrame:
     )
 
 
+def _brand_columns(brands: DataFrame) -> DataFrame:
+    return brands.select("site_id", F.col("domain").alias("brand_domain"), F.col("trusted_domains").alias("brand_trusted"))
+
+
 def score_citations(answers: DataFrame, brands: DataFrame) -> DataFrame:
     """Fills domain, owned and trusted of the nested citations; values given with the answer win."""
-    b = brands.select("site_id", F.col("domain").alias("_root"), F.col("trusted_domains").alias("_trusted"))
-    df = answers.join(b, "site_id", "left")
+    df = answers if "brand_domain" in answers.columns else answers.join(_brand_columns(brands), "site_id", "left")
 
     def fill(c: Column) -> Column:
         def rated(domain: Column) -> Column:
@@ -75,13 +78,13 @@ def score_citations(answers: DataFrame, brands: DataFrame) -> DataFrame:
                 c["url"].alias("url"),
                 domain.alias("domain"),
                 c["title"].alias("title"),
-                F.coalesce(c["owned"], U.domain_in(domain, F.col("_root")), F.lit(False)).alias("owned"),
-                F.coalesce(c["trusted"], U.domain_in_any(domain, F.col("_trusted"))).alias("trusted"),
+                F.coalesce(c["owned"], U.domain_in(domain, F.col("brand_domain")), F.lit(False)).alias("owned"),
+                F.coalesce(c["trusted"], U.domain_in_any(domain, F.col("brand_trusted"))).alias("trusted"),
             )
 
         return T.let(U.url_domain(c["url"]), rated)
 
-    return df.withColumn("citations", F.transform("citations", fill)).drop("_root", "_trusted")
+    return df.withColumn("citations", F.transform("citations", fill)).drop("brand_domain", "brand_trusted")
 
 
 def explode_citations(answers: DataFrame) -> DataFrame:
@@ -91,12 +94,28 @@ def explode_citations(answers: DataFrame) -> DataFrame:
 
 def competitor_mentions(texts: DataFrame, competitors: DataFrame, text: str = "answer_text") -> DataFrame:
     """Adds ``competitor_mentions``: names of the site's competitors found in the text, in declared order."""
-    names = competitors.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("comp_ord", "name"))).alias("_c"))
-    df = texts.join(names, "site_id", "left").withColumn("_lower", F.lower(text))
+    df = texts if "rivals" in texts.columns else texts.join(_rival_columns(competitors), "site_id", "left")
+    df = df.withColumn("_lower", F.lower(text))
     named = F.filter(
-        F.coalesce(F.col("_c.name"), F.array().cast("array<string>")), lambda n: F.contains(F.col("_lower"), F.lower(n))
+        F.coalesce("rivals", F.array().cast("array<string>")), lambda n: F.contains(F.col("_lower"), F.lower(n))
     )
-    return df.withColumn("competitor_mentions", named).drop("_c", "_lower")
+    return df.withColumn("competitor_mentions", named).drop("rivals", "_lower")
+
+
+def _rival_columns(competitors: DataFrame) -> DataFrame:
+    names = competitors.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("comp_ord", "name"))).alias("_c"))
+    return names.select("site_id", F.col("_c.name").alias("rivals"))
+
+
+def with_site_dims(answers: DataFrame, brands: DataFrame, facts: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Adds all brand, fact and competitor columns in one join; the scoring steps then need none.
+
+    The dimensions are one row per site. Answers of sites without a brand are dropped, as there is
+    nothing to score them against.
+    """
+    dims = fact_list(brands, facts).join(_brand_columns(brands), "site_id")
+    dims = dims.join(_rival_columns(competitors), "site_id", "left")
+    return answers.join(dims, "site_id")
 
 
 def fact_list(brands: DataFrame, facts: DataFrame) -> DataFrame:
@@ -120,7 +139,8 @@ def fact_accuracy(answers: DataFrame, brands: DataFrame, facts: DataFrame) -> Da
     counts as matched. The fact list of a site is one array row, so answers are joined once and
     never multiplied.
     """
-    df = answers.join(fact_list(brands, facts), "site_id").withColumn("_lower", F.lower("answer_text"))
+    df = answers if "facts" in answers.columns else answers.join(fact_list(brands, facts), "site_id")
+    df = df.withColumn("_lower", F.lower("answer_text"))
     df = df.withColumn("mention", F.contains(F.col("_lower"), F.lower("brand_name")).cast("int"))
     scored = F.transform(
         "facts",

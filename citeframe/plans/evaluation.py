@@ -13,6 +13,7 @@ def evaluate(answers: DataFrame, prompts: DataFrame, brands: DataFrame, facts: D
     """Score tables of all runs; answers with an unknown prompt or an illegal rank come back as rejects."""
     ranked, bad_rank = A.split_by_rank_rule(answers)
     known, unknown = A.answers_with_prompts(ranked, prompts)
+    known = A.with_site_dims(known, brands, facts, competitors)
     scores = stage(A.score_answers(A.score_citations(known, brands), brands, facts, competitors), "answer-scores")
     groups = stage(G.prompt_groups(scores), "prompt-groups")
     summary = G.eval_summary(groups, scores)
