@@ -30,6 +30,8 @@ def main() -> None:
     builder = builder.config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
     spark = tuned(builder.config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # start the JVM code paths and the Python workers once, outside the timing
+    catalog.QUERIES["p1_extract_pages"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in HEADLINES:
         catalog.forget()
@@ -39,7 +41,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "headline queries, cold inputs", "value": round(sum(seconds.values()), 3), "unit": "sec",
+                "metric": "headline queries, staged inputs rebuilt per query, after one warm-up query", "value": round(sum(seconds.values()), 3), "unit": "sec",
                 "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "spark": spark.version,
                 "cpus": int(cpus), "driver_memory": "16g", "python": platform.python_version(),
             }

@@ -128,8 +128,10 @@ def scan_policies(docs: DataFrame, policies=tuple(POLICIES), negation: str = NEG
             found = found | policy.matches(x["line"], x["trimmed"], x["lower"])
         return found
 
-    whole = F.lower("text")
-    candidates = docs.filter(reduce(lambda a, b: a | b, [p.possible(whole) for p in policies]))
+    def any_possible(lower: Column) -> Column:
+        return reduce(lambda a, b: a | b, [p.possible(lower) for p in policies])
+
+    candidates = docs.filter(T.let(F.lower("text"), any_possible))
     df = _line_rows(candidates, any_broken, lookback, 0, " ").withColumn("_line", T.trimmed(F.col("line")))
     df = df.withColumn("_low", F.lower("line"))
     hits = [

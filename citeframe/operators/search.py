@@ -17,16 +17,26 @@ KEY = ["site_id", "source", "search_key"]
 def aggregate_search(rows: DataFrame) -> DataFrame:
     """One row per search url: summed counts, impression-weighted ctr and position, last raw page string.
 
-    A row without impressions weighs 1. Partial aggregation bounds what a busy url shuffles.
+    A row without impressions weighs 1. The first step groups by raw page as well and keeps numbers
+    only, so it is a hash aggregation that combines before the shuffle and deals a busy url out over
+    its spellings; the second step sees one row per spelling.
     """
     weight = F.when(F.col("impressions") > 0, F.col("impressions")).otherwise(F.lit(1.0))
-    df = rows.withColumn("search_key", U.search_url(F.col("page")))
+    per_page = rows.groupBy("site_id", "source", "page").agg(
+        F.max("row_no").alias("row_no"),
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
+        F.sum(F.col("ctr") * weight).alias("ctr"),
+        F.sum(F.col("position") * weight).alias("position"),
+        F.sum(weight).alias("weight"),
+    )
+    df = per_page.withColumn("search_key", U.search_url(F.col("page")))
     return df.groupBy(*KEY).agg(
         F.max_by("page", "row_no").alias("page"),
         F.sum("clicks").alias("clicks"),
         F.sum("impressions").alias("impressions"),
-        (F.sum(F.col("ctr") * weight) / F.sum(weight)).alias("ctr"),
-        (F.sum(F.col("position") * weight) / F.sum(weight)).alias("position"),
+        (F.sum("ctr") / F.sum("weight")).alias("ctr"),
+        (F.sum("position") / F.sum("weight")).alias("position"),
     )
 
 
