@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,6 +34,9 @@ RANK = 8
 BINS = 8
 THRESHOLD = 0.3
 EPOCHS = 12
+DESCRIBED = T.StructType(
+    [T.StructField("stats", T.ArrayType(T.FloatType())), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]
+)
 _ROWS = 512
 
 
@@ -86,7 +90,7 @@ def describe(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray, n
     return stats, unique.astype(np.int32), weight
 
 
-@F.arrow_udf("struct<stats: array<float>, ids: array<int>, weights: array<float>>")
+@F.arrow_udf(DESCRIBED)
 def _described(texts: pa.Array) -> pa.Array:
     words = _Words()
     rows = [describe(t.as_py(), words) for t in texts]
@@ -201,7 +205,7 @@ def score(model: Model | None, text: Column) -> Column:
     if model is None:
         return F.lit(0.5)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(model.scores(texts.to_pylist()), pa.float64())
 

@@ -97,6 +97,21 @@ def split(left: Column, draws: Column, shards: int, *seed) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), start, step, lambda a: a["out"])
 
 
+def _children(shards: int, seed: int, depth: int):
+    """Step of an aggregate over the children of a node: draws one child's rows from what is left."""
+
+    def step(a: Column, child: Column) -> Column:
+        def add(x: Column) -> Column:
+            return F.struct(
+                F.zip_with(a["left"], x, lambda p, q: p - q).alias("left"),
+                F.array_append(a["out"], F.struct(child["part"].alias("part"), x.alias("gives"))).alias("out"),
+            )
+
+        return let(split(a["left"], child["n"], shards, F.lit(seed), F.lit(depth), child["part"]), add)
+
+    return step
+
+
 def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     """(part, gives): how many rows of each partition go to each shard; counts: part, n."""
     levels = [stage(counts, "shard-counts")]
@@ -112,17 +127,8 @@ def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     for depth in range(len(levels) - 1, 0, -1):
         start = F.struct(F.col("gives").alias("left"), F.array().cast("array<struct<part: bigint, gives: array<bigint>>>").alias("out"))
 
-        def step(a, child, depth=depth):
-            def add(x):
-                return F.struct(
-                    F.zip_with(a["left"], x, lambda p, q: p - q).alias("left"),
-                    F.array_append(a["out"], F.struct(child["part"].alias("part"), x.alias("gives"))).alias("out"),
-                )
-
-            return let(split(a["left"], child["n"], shards, F.lit(seed), F.lit(depth), child["part"]), add)
-
         grown = node.join(levels[depth].select("part", "children"), "part")
-        node = grown.select(F.inline(F.aggregate("children", start, step, lambda a: a["out"])))
+        node = grown.select(F.inline(F.aggregate("children", start, _children(shards, seed, depth), lambda a: a["out"])))
         node = stage(node, "shard-matrix")
     return node
 

@@ -8,8 +8,8 @@ agree exactly, and of the next 20 bits one half of ten must agree too. Those 30
 inside a bucket the chain budgets are tested before the full Hamming distance.
 
 Only distinct fingerprints are bucketed, so copies never meet as pairs. A bucket above ``BUCKET`` members is
-divided again by its free bits: at most three of them differ, so one of four blocks agrees. That goes on until
-every bucket is small, which ends because members of a bucket are distinct. Inside a bucket each local
+divided again by the bits that vary in it: at most three of them differ, so one of four blocks agrees. That goes on
+until every bucket is small, which ends because members of a bucket are distinct. Inside a bucket each local
 component gives one edge per member to its smallest member, never all pairs; no link is lost.
 
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other. A null ``doc_id`` never
@@ -29,6 +29,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from citeframe.llm.components import connected
 from citeframe.session import stage
@@ -39,7 +40,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 SEGMENT = 4
-BUCKET = 1024
+BUCKET = 4096
 _CHUNK = 1 << 15
 
 
@@ -63,7 +64,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def simhash(texts: pa.Array) -> pa.Array:
     out = np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts))
     return pa.array(out.view(np.int64), pa.int64())
@@ -84,43 +85,34 @@ def chain_keys(fp: str = "fp"):
     return F.array(*keys)
 
 
-@lru_cache(maxsize=None)
-def _bits(path: str) -> tuple[int, tuple[int, ...]]:
-    """Mask of the bits a bucket path fixes, and the free bits in ring order."""
-    tag, *turns = path.split("/")
-    start, half = int(tag) // 2 * SEGMENT, int(tag) % 2
-    ring = [(63 - start - k) % 64 for k in range(64)]
-    tail = range(20 + 10 * half, 30 + 10 * half)
-    fixed = set(ring[:20]) | {ring[k] for k in tail}
-    for turn in turns:
-        free = [b for b in ring if b not in fixed]
-        cuts = [len(free) * j // 4 for j in range(5)]
-        fixed |= set(free[cuts[int(turn)] : cuts[int(turn) + 1]])
-    return sum(1 << b for b in fixed), tuple(b for b in ring if b not in fixed)
+@lru_cache(maxsize=4096)
+def _blocks(varying: int) -> tuple[int, ...]:
+    """The bits that vary in a bucket, dealt into four blocks of neighbours."""
+    bits = [b for b in range(64) if varying >> b & 1]
+    cuts = [len(bits) * j // 4 for j in range(5)]
+    return tuple(sum(1 << b for b in bits[cuts[j] : cuts[j + 1]]) for j in range(4))
 
 
 def _divide(batches):
-    """Four rows for each member of a large bucket, one for each block of its free bits."""
+    """Four rows for each member of a large bucket, one for each block of the bits that vary in it."""
+    names = ["tag", "mask", "fixed", "fp"]
     for batch in batches:
-        fps = batch.column("fp").to_numpy().view(np.uint64)
-        paths = np.array(batch.column("path").to_pylist(), dtype=object)
-        for path in set(paths):
-            own = fps[paths == path]
-            for j in range(4):
-                sub = f"{path}/{j}"
-                fixed = own & np.uint64(_bits(sub)[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sub] * len(own)), pa.array(fixed.view(np.int64)), pa.array(own.view(np.int64))],
-                    names=["path", "fixed", "fp"],
-                )
+        tag = batch.column("tag").to_numpy()
+        mask, varying, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "varying", "fp"))
+        kinds, which = np.unique(varying, return_inverse=True)
+        blocks = np.array([_blocks(int(v)) for v in kinds], np.uint64)[which] if len(fp) else np.zeros((0, 4), np.uint64)
+        for j in range(4):
+            wider = mask | blocks[:, j]
+            columns = [tag, *(c.view(np.int64) for c in (wider, fp & wider, fp))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _stars(batches):
     """Edges from each member of a bucket to the smallest member it is connected with."""
     for batch in batches:
         low, high = [], []
-        for path, members in zip(batch.column("path").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            start = int(path.split("/")[0]) // 2 * SEGMENT
+        for tag, members in zip(batch.column("tag").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            start = tag // 2 * SEGMENT
             for a, b in bucket_edges(np.array(members, np.int64).view(np.uint64), start):
                 low.append(a)
                 high.append(b)
@@ -156,23 +148,26 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     spark = fps.sparkSession
     keyed = fps.select("fp", F.explode(chain_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket_id = ["tag", "mask", "fixed"]
     members = stage(
         keyed.join(shared, "key").select(
-            F.shiftrightunsigned("key", 30).cast("string").alias("path"),
+            F.shiftrightunsigned("key", 30).alias("tag"), F.lit(0).cast("long").alias("mask"),
             F.col("key").bitwiseAND(F.lit((1 << 30) - 1)).alias("fixed"), "fp", "n",
         ),
         "simhash-members",
     )
     edges = []
     while True:
-        small = members.where(F.col("n") <= bucket).groupBy("path", "fixed").agg(F.collect_list("fp").alias("members"))
-        edges.append(stage(small.select("path", "members").mapInArrow(_stars, "u long, v long").distinct(), "simhash-edges"))
+        small = members.where(F.col("n") <= bucket).groupBy(*bucket_id).agg(F.collect_list("fp").alias("members"))
+        edges.append(stage(small.select("tag", "members").mapInArrow(_stars, "u long, v long").distinct(), "simhash-edges"))
         large = members.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        parts = stage(large.select("path", "fp").mapInArrow(_divide, "path string, fixed long, fp long").distinct(), "simhash-parts")
-        sizes = parts.groupBy("path", "fixed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = stage(parts.join(sizes, ["path", "fixed"]), "simhash-members")
+        varying = F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")
+        large = large.join(large.groupBy(*bucket_id).agg(varying), bucket_id).select("tag", "mask", "varying", "fp")
+        parts = stage(large.mapInArrow(_divide, "tag long, mask long, fixed long, fp long").distinct(), "simhash-parts")
+        sizes = parts.groupBy(*bucket_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = stage(parts.join(sizes, bucket_id), "simhash-members")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
