@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import decontaminate, mixing, quality, sharding, simhash
+from citeframe.llm import content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, vectors
 
 QUERIES = {}
 ORACLES = {}
@@ -70,6 +70,16 @@ def op1(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op2_secret_scan")
+def op2(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), secrets.number(0).alias("n_assign"), secrets.number(1).alias("n_access"),
+        secrets.number(2).alias("n_hex"), F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
 @query("op3_sharding")
 def op3(spark, sf):
     out = sharding.shuffle(table(spark, sf, "documents"), payload=["doc_id"])
@@ -79,6 +89,46 @@ def op3(spark, sf):
     )
 
 
+VECTOR_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op4_vector_topk", VECTOR_SQL)
+def op4(spark, sf):
+    return vectors.top(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_personal_data")
+def op5(spark, sf):
+    found = personal.scan(table(spark, sf, "documents"))
+    counts = [personal.number(k).alias(f"n_{kind}") for k, kind in enumerate(personal.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(personal.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(personal.listed(base).cast("binary"), 256).alias("base_sha256"),
+        personal.listed("spans").alias("spans"),
+    )
+
+
+@query("op6_main_text")
+def op6(spark, sf):
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", "url", content.main_text(pages["html"]).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op7_quality")
 def op7(spark, sf):
     docs = table(spark, sf, "documents")
@@ -92,6 +142,12 @@ def op8(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op9_repeated_spans")
+def op9(spark, sf):
+    out = substrings.repeated_spans(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @query("op10_simhash")
 def op10(spark, sf):
     rows, classes = simhash.near_duplicates(table(spark, sf, "documents"), payload=["doc_id"])
