@@ -2,9 +2,9 @@
 
 Test items are the indexed side: an impact is a BM25 term weight divided by the item's own full score, so 1 means
 that a passage holds every term of the item. Passages of a document (windows of twice the longest item, half
-overlapping, so every stretch of that length lies whole in one) are the queries. Frequent terms whose largest
-impacts together stay below half the threshold cannot bring an item over it alone; a sliding sum over the others
-rules out most passages at once. The rest go through WAND with block maxima, which returns every item at or above
+overlapping, so every stretch of that length lies whole in one) are the queries. The most frequent terms, which give
+no item more than half the threshold, are set aside: what an item still needs must come from its rarer terms, and
+their sums per item rule out most passages, eight at a time and then singly. The rest go through WAND with block maxima, which returns every item at or above
 the threshold. Each is verified against the passage: shared five-word shingles of the question (all but the last
 sentence) and words of the answer (the last sentence).
 
@@ -36,6 +36,7 @@ SHINGLE = 5
 QUESTION, ANSWER = 0.5, 0.5
 INDEX_BYTES = 8_000_000
 POSTINGS = 32
+RUN = 8
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -96,21 +97,47 @@ class Index:
             self.impacts.append(list(impacts))
             self.block_max.append([max(impacts[a : a + POSTINGS]) for a in range(0, len(docs), POSTINGS)])
         self.upper = np.array([max(b) for b in self.block_max] + [0.0])
-        # the most frequent terms, as long as together they stay below half the threshold
-        spare = np.cumsum(self.upper[:-1]) < THRESHOLD / 2
-        self.frequent = int(spare.sum())
-        self.rest = THRESHOLD - float(self.upper[: self.frequent].sum())
-        self.need = np.where(np.arange(len(self.upper)) < self.frequent, 0.0, self.upper)
-        self.need[-1] = 0.0
+        self._bounds(len(bags))
+
+    def _bounds(self, n: int) -> None:
+        """Arrays for bounds over many terms at once.
+
+        The most frequent terms are set aside as long as they give no item more than half the threshold; what each
+        item then still needs must come from its rarer terms.
+        """
+        self.starts = np.cumsum([0] + [len(d) for d in self.docs])
+        self.flat_docs = np.array([d for docs in self.docs for d in docs], np.int64)
+        self.flat_impacts = np.array([x for impacts in self.impacts for x in impacts])
+        spare, self.frequent = np.zeros(n), 0
+        for docs, impacts in zip(self.docs, self.impacts, strict=True):
+            more = spare.copy()
+            more[docs] += impacts
+            if more.max() > THRESHOLD / 2:
+                break
+            spare, self.frequent = more, self.frequent + 1
+        self.needs = THRESHOLD - spare - 1e-9
+
+    def possible(self, ids: np.ndarray) -> bool:
+        """Whether the rarer terms among ``ids`` leave any item a way to the threshold."""
+        own = np.unique(ids[(ids >= self.frequent) & (ids < len(self.docs))])
+        lengths = self.starts[own + 1] - self.starts[own]
+        total = int(lengths.sum())
+        if not total:
+            return False
+        at = np.repeat(self.starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
+        scores = np.bincount(self.flat_docs[at], self.flat_impacts[at], len(self.needs))
+        return bool((scores >= self.needs).any())
 
     def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Windows whose rarer terms could bring an item to the threshold."""
-        size, step = 2 * self.longest, self.longest
-        starts = np.arange(0, max(len(ids) - step, 1), step)
-        total = np.concatenate([[0.0], np.cumsum(self.need[ids])])
-        ends = np.minimum(starts + size, len(ids))
-        keep = total[ends] - total[starts] >= self.rest - 1e-9
-        return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
+        """Windows that could reach the threshold; runs of eight windows are ruled out as one first."""
+        size, step, out = 2 * self.longest, self.longest, []
+        last = max(len(ids) - step, 1)
+        for run in range(0, last, RUN * step):
+            if self.possible(ids[run : run + (RUN + 1) * step]):
+                for start in range(run, min(run + RUN * step, last), step):
+                    if self.possible(ids[start : start + size]):
+                        out.append((start, min(start + size, len(ids))))
+        return out
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items whose impacts over ``terms`` reach the threshold."""
