@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.session import spread
 
 # ---- sites of twelve pages each ---------------------------------------------------------
 
@@ -289,7 +288,7 @@ _scans: dict[tuple[str, str, str], DataFrame] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _scans:
-        _scans[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _scans[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _scans[key]
 
 

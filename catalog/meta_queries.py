@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import derive as D
-from catalog.registry import query, shared
+from catalog.registry import ORACLES, query, shared
 from citeframe.operators import metadata as M
 from citeframe.operators.features import page_features
 
@@ -168,6 +168,13 @@ def d12(spark, sf):
     return M.mixed_language(_firsts(spark, sf), allowed=["API", "API tools"]).select(*_OUT)
 
 
-@query("d_metadata_findings")
+_FAMILIES = " UNION ALL ".join(
+    f"SELECT site_id, url, rule, detail FROM ({sql})" for name, sql in ORACLES.items() if name.startswith(tuple(f"d{i}_" for i in range(1, 13)))
+)
+
+
+@query("d_metadata_findings", _FAMILIES)
 def d_all(spark, sf):
-    return M.metadata_findings(_pages(spark, sf), D.derived(spark, sf, D.META_LOCS), _sites(spark, sf), "1.0")
+    return M.metadata_findings(
+        _pages(spark, sf), D.derived(spark, sf, D.META_LOCS), _sites(spark, sf), "1.0", allowed=["API", "API tools"]
+    ).select(*_OUT)

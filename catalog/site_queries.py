@@ -170,6 +170,12 @@ def c4(spark, sf):
     return crawl.plan_targets(given_pages(spark, sf).select("site_id", "url").distinct(), max_pages=5)
 
 
+@query("c4_plan_all", f"""SELECT site_id, url, crawl_rank, row_number() OVER (PARTITION BY site_id ORDER BY crawl_rank, url) AS target_ord FROM (
+    SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS site_id, {GIVEN_URL} AS url, {P.crawl_rank(_GIVEN_PATH)} AS crawl_rank FROM pages) AS x""")
+def c4_all(spark, sf):
+    return crawl.plan_targets(given_pages(spark, sf).select("site_id", "url").distinct())
+
+
 @query("c4_plan_site_targets", f"""WITH {_LOCS}, {_REACHED} SELECT site_id, url, target_ord FROM (
     SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY {P.crawl_rank("lower(regexp_extract(url, '^[a-z]+://[^/]+([^?]*)', 1))")}, url) AS target_ord FROM found) AS x WHERE target_ord <= 3""")
 def c4_sites(spark, sf):

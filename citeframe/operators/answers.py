@@ -9,7 +9,7 @@ from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
 from citeframe.functions.numbers import clamp, rank_score
-from citeframe.operators.joins import salted_join
+from citeframe.operators.joins import lookup_join
 
 ANSWER_KEY = ["site_id", "run_id", "prompt_id", "provider", "sample_index"]
 
@@ -40,9 +40,9 @@ def answers_with_prompts(answers: DataFrame, prompts: DataFrame) -> tuple[DataFr
         F.coalesce("holdout", F.lit(False)).alias("holdout"),
         F.col("locale").alias("_prompt_locale"),
     )
-    known = salted_join(answers.drop("holdout"), p, ["site_id", "prompt_id"], ["answer_ord"])
+    known = lookup_join(answers.drop("holdout"), p, ["site_id", "prompt_id"])
     known = known.withColumn("locale", F.coalesce("locale", "_prompt_locale")).drop("_prompt_locale")
-    unknown = salted_join(answers, p.select("site_id", "prompt_id"), ["site_id", "prompt_id"], ["answer_ord"], "left_anti")
+    unknown = lookup_join(answers, p.select("site_id", "prompt_id"), ["site_id", "prompt_id"], "left_anti")
     return known, unknown
 
 

@@ -60,11 +60,12 @@ def discover_urls(locs: DataFrame, sites: DataFrame, pages: DataFrame | None = N
     return listed.unionByName(rest).dropDuplicates(["site_id", "url"])
 
 
-def plan_targets(urls: DataFrame, max_pages: int = 20, include=(), exclude=()) -> DataFrame:
-    """First ``max_pages`` urls per site by crawl rank, then url."""
+def plan_targets(urls: DataFrame, max_pages: int | None = None, include=(), exclude=()) -> DataFrame:
+    """Urls per site in order of crawl rank, then url; only the first ``max_pages`` where a limit is given."""
     ranked = filter_patterns(urls, include, exclude).withColumn("crawl_rank", crawl_rank(F.col("url")))
     w = Window.partitionBy("site_id").orderBy("crawl_rank", "url")
-    return ranked.withColumn("target_ord", F.row_number().over(w)).filter(F.col("target_ord") <= max_pages)
+    ranked = ranked.withColumn("target_ord", F.row_number().over(w))
+    return ranked if max_pages is None else ranked.filter(F.col("target_ord") <= max_pages)
 
 
 def refresh_target(page_url: Column, refresh: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.functions import text as T
-from citeframe.operators.joins import salted_join
+from citeframe.operators.joins import lookup_join
 
 
 @dataclass(frozen=True)
@@ -250,8 +250,8 @@ def doc_link_findings(docs: DataFrame, anchors: DataFrame | None = None, generat
     ).distinct()
     heads = anchors.select(F.col("path").alias("target"), "anchor").distinct()
     # two left joins, salted because one document may be the target of most links, mark what exists, so the links themselves are read and parsed once
-    df = salted_join(links, places.withColumn("_place", F.lit(True)), ["target"], ["path", "line_no"], "left")
-    df = salted_join(df, heads.withColumn("_head", F.lit(True)), ["target", "anchor"], ["path", "line_no"], "left")
+    df = lookup_join(links, places.withColumn("_place", F.lit(True)), ["target"], "left")
+    df = lookup_join(df, heads.withColumn("_head", F.lit(True)), ["target", "anchor"], "left")
     outside = F.col("is_rooted") | F.col("target").rlike("^\\.\\.(/|$)")
     named = (F.length("anchor") > 0) & F.col("target").rlike("(?i)\\.md$")
     rule = (

@@ -69,6 +69,10 @@ class PageScan(HTMLParser):
         """Line numbers are never asked for, so they are not counted."""
         return j
 
+    def parse_marked_section(self, i, report=1):
+        """A declaration that html does not know is a comment."""
+        return self.parse_bogus_comment(i)
+
     # ---- tags ----
     def handle_starttag(self, tag, attrs):
         at: dict[str, str] = {}
@@ -244,13 +248,13 @@ def jsonld_nodes(blocks: list[str]) -> tuple[list[str], list[int], int]:
             continue
         try:
             parsed = json.loads(block, parse_constant=_no_constant)
-        except ValueError:
+        except (ValueError, RecursionError):
             invalid += 1
             continue
         level, depth = parsed if isinstance(parsed, list) else [parsed], 0
         while level:
             level = [node for node in level if isinstance(node, dict)]
-            nodes += [json.dumps(node, ensure_ascii=False) for node in level]
+            nodes += [_valid(json.dumps(node, ensure_ascii=False)) for node in level]
             depths += [depth] * len(level)
             graphs = [node.get("@graph") for node in level]
             level = [child for g in graphs for child in (g if isinstance(g, list) else [g])]
@@ -258,9 +262,20 @@ def jsonld_nodes(blocks: list[str]) -> tuple[list[str], list[int], int]:
     return nodes, depths, invalid
 
 
+def _valid(text: str) -> str:
+    """Half of a surrogate pair, which no encoding holds, becomes a question mark."""
+    return text.encode("utf-8", "replace").decode()
+
+
+def _closed(html: str) -> str:
+    """A comment that is never closed hides the rest of the page."""
+    opened = html.rfind("<!--")
+    return html[:opened] if opened >= 0 and html.find("-->", opened + 2) < 0 else html
+
+
 def scan_page(html: str | None) -> dict:
     scan = PageScan()
-    scan.feed(html or "")
+    scan.feed(_closed(html or ""))
     scan.close()
     return scan.parts()
 

@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
 
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` with a ``lookup`` that is unique on ``keys``; inner, left, left_semi or left_anti.
 
-def salted_join(big: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` with a narrow ``lookup`` that is unique on ``keys``.
-
-    Rows of one key are dealt over sixteen salts by the columns ``by``, and every lookup row exists
-    once per salt. A key with a third of all rows is thus never one task, whatever the optimizer
-    does, and no row is lost. The lookup stays far smaller than ``big``: one short row per page or
-    document against all of its links.
+    A hot key is many rows of ``big`` against one row of ``lookup``. For these join types Spark may split the left
+    side of a large partition and read its right side once per piece (adaptive skew join), so the lookup is
+    repeated for hot partitions only, as often as their size asks for, and is broadcast where it is small.
     """
-    left = big.withColumn("_salt", F.pmod(F.hash(*by), F.lit(SALTS)))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return big.join(lookup, keys, how)

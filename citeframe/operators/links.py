@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
-from citeframe.operators.joins import salted_join
+from citeframe.operators.joins import lookup_join
 
 
 def _anchor(link: Column) -> Column:
@@ -124,7 +124,7 @@ def incoming_links(pages: DataFrame) -> DataFrame:
     links = links.select("site_id", "src_url", "src_page_type", F.col("page_rank").alias("src_rank"), "l.*")
     links = links.filter("is_internal AND dst_url <> src_url")
     targets = pages.select("site_id", F.col("url").alias("dst_url"), F.col("page_type").alias("dst_page_type"))
-    return salted_join(links, targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"], ["src_url"])
+    return lookup_join(links, targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"])
 
 
 def first_home(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
-from citeframe.operators.joins import salted_join
+from citeframe.operators.joins import lookup_join
 from citeframe.operators.jsonld import as_list, is_object, string_at
 
 
@@ -48,7 +48,7 @@ def canonical_findings(pages: DataFrame) -> DataFrame:
     none = real.filter(unnamed).select("site_id", "url", F.lit("canonical-missing").alias("rule"), F.lit("").alias("detail"))
     named = real.filter(~unnamed)
     first = named.groupBy("site_id", "canonical").agg(F.min("url").alias("_first"))
-    again = salted_join(named, first, ["site_id", "canonical"], ["url"]).filter("url <> _first")
+    again = lookup_join(named, first, ["site_id", "canonical"]).filter("url <> _first")
     return none.unionByName(again.select("site_id", "url", F.lit("canonical-duplicate").alias("rule"), F.col("canonical").alias("detail")))
 
 
@@ -60,7 +60,7 @@ def sitemap_findings(pages: DataFrame, locs: DataFrame, sites: DataFrame) -> Dat
     listed = locs.groupBy("site_id", F.col("loc").alias("url")).agg(F.count("*").alias("n"))
     keys = listed.select("site_id", "url")
     real = real_pages(pages).filter(F.length("canonical") > 0).select("site_id", F.col("url").alias("page"), F.col("canonical").alias("url"))
-    out = salted_join(real, keys, ["site_id", "url"], ["page"], "left_anti").select(
+    out = lookup_join(real, keys, ["site_id", "url"], "left_anti").select(
         "site_id", F.col("page").alias("url"), F.lit("sitemap-missing-canonical").alias("rule"), F.col("url").alias("detail")
     )
     roots = sites.select("site_id", F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/")).alias("url"))
@@ -179,11 +179,11 @@ def language_findings(pages: DataFrame, sites: DataFrame) -> DataFrame:
     # every declared pair (page canonical, target): the target must exist and point back
     pairs = alternates(pages).filter(F.col("hreflang").isin("en", "zh-CN") & (F.col("href") != F.col("canonical")))
     known = pages.select("site_id", F.col("canonical").alias("href")).distinct()
-    absent = salted_join(pairs, known, ["site_id", "href"], ["url"], "left_anti").select(
+    absent = lookup_join(pairs, known, ["site_id", "href"], "left_anti").select(
         "site_id", "url", F.lit("hreflang-target-missing").alias("rule"), F.col("href").alias("detail")
     )
     back = pages.select("site_id", F.col("canonical").alias("href"), F.explode("alternates.href").alias("canonical")).distinct()
-    one_way = salted_join(pairs, known, ["site_id", "href"], ["url"], "left_semi").join(back, ["site_id", "href", "canonical"], "left_anti")
+    one_way = lookup_join(pairs, known, ["site_id", "href"], "left_semi").join(back, ["site_id", "href", "canonical"], "left_anti")
     one_way = one_way.select("site_id", "url", F.lit("hreflang-reciprocal").alias("rule"), F.col("href").alias("detail"))
     return local.unionByName(absent).unionByName(one_way)
 
@@ -247,7 +247,7 @@ def broken_links(pages: DataFrame) -> DataFrame:
     asset = F.lower(U.url_path(F.col("dst_url"))).rlike("\\.(" + "|".join(C.ASSET_EXTENSIONS) + ")$")
     targets = links.filter(~asset).withColumn("_key", F.regexp_replace("dst_url", "\\?.*$", ""))
     stored = pages.select("site_id", F.regexp_replace(U.comparable_url(F.col("url")), "\\?.*$", "").alias("_key")).distinct()
-    lost = salted_join(targets, stored, ["site_id", "_key"], ["url"], "left_anti")
+    lost = lookup_join(targets, stored, ["site_id", "_key"], "left_anti")
     return lost.select("site_id", "url", F.lit("internal-link-missing").alias("rule"), F.col("dst_url").alias("detail"))
 
 
@@ -273,16 +273,16 @@ def mixed_language(pages: DataFrame, language: str = "zh", allowed=(), openers=t
     sentence = f"{T.EDGE}(?:{'|'.join(openers)}){T.EDGE}(?:{T.SPACE}+{word}){{6,}}"
     found = F.regexp_extract_all(text, F.lit(sentence), 0)
     df = pages.filter(F.contains(U.url_path(F.col("url")), F.lit(f"/{language}/")))
-    return _many(df, F.transform(found, lambda s: _found("mixed-language-sentence", F.substring(T.trimmed(s), 1, 220))))
+    return _many(df, F.transform(found, lambda s: _found("mixed-language-sentence", T.trimmed(s))))
 
 
-def metadata_findings(pages: DataFrame, locs: DataFrame, sites: DataFrame, version: str) -> DataFrame:
+def metadata_findings(pages: DataFrame, locs: DataFrame, sites: DataFrame, version: str, allowed=()) -> DataFrame:
     """All families over a staged feature table."""
     firsts = canonical_pages(pages)
     parts = [
         canonical_findings(pages), sitemap_findings(pages, locs, sites), head_findings(firsts), social_findings(firsts),
         home_product_findings(firsts, version), language_findings(firsts, sites), jsonld_findings(firsts),
-        jsonld_url_findings(firsts), faq_findings(firsts), broken_links(pages), mixed_language(firsts),
+        jsonld_url_findings(firsts), faq_findings(firsts), broken_links(pages), mixed_language(firsts, allowed=allowed),
     ]
     out = parts[0]
     for part in parts[1:]:

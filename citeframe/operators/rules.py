@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from citeframe import constants as C
 from citeframe.functions import text as T
-from citeframe.operators.joins import salted_join
+from citeframe.operators.joins import lookup_join
 from citeframe.operators.links import first_home, homepage_linked_types
 from citeframe.operators.rule_catalog import (
     FINAL_PHASE, LINK_PHASE, PAGE_PHASE, RULES, SITE_PHASE, RuleBook, found, raised, to_issues,
@@ -292,7 +292,7 @@ def judged_links(pages: DataFrame) -> DataFrame:
         "site_id", F.col("url").alias("src_url"), F.col("page_rank").alias("src_rank"), F.explode("links").alias("l")
     )
     links = links.select("site_id", "src_url", "src_rank", "l.*").filter("is_internal AND dst_url <> src_url")
-    df = salted_join(links, proof.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"], ["src_url"])
+    df = lookup_join(links, proof.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"])
     df = df.withColumns(
         {
             "_words": _proof_keywords(),

@@ -14,7 +14,7 @@ from citeframe.sources.site_files import parse_robots, parse_sitemaps, reachable
 
 
 def crawl_plan(pages_raw: DataFrame, sites: DataFrame, robots_raw: DataFrame | None = None,
-               sitemaps_raw: DataFrame | None = None, max_pages: int = 20, include=(), exclude=()) -> DataFrame:
+               sitemaps_raw: DataFrame | None = None, max_pages: int | None = None, include=(), exclude=()) -> DataFrame:
     """Urls of each site that the audit covers, in crawl order."""
     stored = pages_raw.select("site_id", "url")
     if sitemaps_raw is None:

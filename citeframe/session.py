@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,17 @@ def tuned(builder):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Executors of a cluster cannot see a folder of the driver, so an unset folder is an error there; only a
+    ``local`` master gets a fresh one, with a warning.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="citeframe-")
+        warnings.warn(f"spark.checkpoint.dir is not set; staging in {folder}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -46,13 +54,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), "citeframe-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores out to all of them.
-
-    Only for bare file scans: asking for their split count runs nothing. Large inputs have more
-    splits than cores and are left as they are, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -3,19 +3,37 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from citeframe.operators.joins import SALTS, salted_join
+from citeframe.operators.joins import lookup_join
+
+FORCED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_salted_join_equals_plain_join_with_a_hot_key(spark, how):
-    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
-    big = spark.range(600).select("id", key.alias("key"))
-    lookup = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 50, 2)]], "key string, v int")
-    plain = big.join(lookup, "key", how)
-    got = salted_join(big, lookup, ["key"], ["id"], how).select(*plain.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+def test_hot_key_is_split_and_nothing_is_lost(spark, how):
+    before = {k: spark.conf.get(k, None) for k in FORCED}
+    try:
+        for k, v in FORCED.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
+        big = spark.range(0, 60_000, 1, 8).select("id", key.alias("key"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("pad"))
+        hot = [] if how == "left_anti" else [("hot", 1)]
+        lookup = spark.createDataFrame([*hot, *[(f"k{i}", i) for i in range(0, 50, 2)]], "key string, v int")
+        got = lookup_join(big, lookup, ["key"], how)
+        rows = [(r["id"],) for r in got.collect()]
+        known = {r.key for r in lookup.collect()}
+        keys = {i: "hot" if i % 3 == 0 else f"k{i % 50}" for i in range(60_000)}
+        want = [i for i, k in keys.items() if how == "left" or (k in known) != (how == "left_anti")]
+        assert sorted(r[0] for r in rows) == want
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def test_hot_key_is_dealt_over_all_salts(spark):
-    salts = spark.range(1000).select(F.pmod(F.hash("id"), F.lit(SALTS)).alias("s")).distinct().count()
-    assert salts == SALTS
+def test_lookup_is_not_multiplied(spark):
+    big, lookup = spark.range(10).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "k")
+    assert "Generate" not in lookup_join(big, lookup, ["k"])._jdf.queryExecution().executedPlan().toString()

@@ -43,3 +43,14 @@ def test_jsonld_graph_order_and_malformed_blocks():
 def test_text_without_body_tag_and_empty_input():
     assert scan_page("plain <b>text</b>")["body_text"] == "plain text"
     assert scan_page(None)["body_text"] == "" and scan_page("")["title"] == ""
+
+
+def test_broken_pages_are_scanned_whole():
+    """Odd declarations, an open comment, deep or broken JSON-LD and half surrogates never raise."""
+    from citeframe.operators.extract import scan_page
+
+    for html in ("<p>a</p><![foo bar]>", "<p>a</p><![ foo", "", None):
+        scan_page(html)
+    assert "unclosed" not in scan_page("<p>a</p><!-- unclosed <p>b")["body_text"]
+    for block in ("[" * 100_000, '{"a":"\\ud800x"}', "{"):
+        scan_page(f'<script type="application/ld+json">{block}</script>')["body_text"].encode()
