@@ -53,22 +53,21 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", payload: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` with size, source_size, target, taken (words) and copies (times the row is in the mix)."""
-    rows = stage(
-        docs.select(
-            whole(docs, payload),
-            docs[id_col].alias("id"),
-            F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("t")).alias("source_key"),
-            F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("null")).cast("binary")).alias("key"),
-        ),
-        "mix-rows",
+    rows = docs.select(
+        whole(docs, payload),
+        docs[id_col].alias("id"),
+        F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("t")).alias("source_key"),
+        F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("null")).cast("binary")).alias("key"),
     )
+    # all of it follows from the row alone, so only the narrow columns are written for the sums
+    narrow = stage(rows.select("source_key", "size", "key"), "mix-sizes")
     sources = stage(
-        rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources"
+        narrow.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources"
     )
     most = sources.agg(F.max("n")).first()[0] or 0
     budgets = targets(sources.select("source_key", "source_size")).select("*", F.floor(F.col("target") + 0.5).alias("budget"))
-    placed = running(rows, "source_key", "key", "size", digits_for(most), ["size"])
+    placed = running(rows, "source_key", "key", "size", digits_for(most), ["size"], counted=narrow)
     cut = placed.join(budgets, "source_key").select(
         "*",
         F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).alias("passes"),

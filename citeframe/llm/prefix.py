@@ -21,10 +21,16 @@ def digits_for(rows: int) -> int:
     return max(0, math.ceil(math.log(max(rows, 1) / RANGE, 16) - 1e-9))
 
 
-def running(rows: DataFrame, group: str, key: str, value: str, digits: int, ties: list[str], out: str = "start") -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows before, in order of ``key`` and ``ties``, per ``group``."""
+def running(
+    rows: DataFrame, group: str, key: str, value: str, digits: int, ties: list[str], out: str = "start", counted: DataFrame | None = None
+) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before, in order of ``key`` and ``ties``, per ``group``.
+
+    ``counted`` may be a narrow written copy of ``rows`` from which the ranges are summed.
+    """
     rows = rows.withColumn("_range", F.substring(key, 1, digits))
-    sums = rows.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    narrow = rows if counted is None else counted.withColumn("_range", F.substring(key, 1, digits))
+    sums = narrow.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     offsets = _offsets(sums, group, digits)
     inner = Window.partitionBy(group, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(offsets, [group, "_range"])
