@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import platform
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="citeframe-"))
     builder = builder.config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
     spark = tuned(builder.config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

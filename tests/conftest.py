@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
     from citeframe.session import tuned
 
     builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="citeframe-"))
     builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
     session = tuned(builder.config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
