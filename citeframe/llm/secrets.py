@@ -33,8 +33,6 @@ ORDINARY = r"[A-Za-z_]{6,}"
 RATIO = 10.0
 PER_CHARACTER = 0.5
 SMOOTHING = 0.1
-SAMPLES = 20_000
-SAMPLE_DOCS = 500
 CODES = 128
 
 
@@ -89,8 +87,8 @@ def train(samples: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", samples: DataFrame | None = None) -> DataFrame:
     """(id, base, spans): base and all spans of each row, in order of start and kind.
 
-    Without ``samples`` the values of at most ``SAMPLES`` base spans stand for random strings and the words of
-    ``SAMPLE_DOCS`` documents, chosen by hash, for ordinary identifiers.
+    Without ``samples`` the values of all base spans stand for random strings and the words of all texts for ordinary
+    identifiers, each distinct one once, so that copies of a text do not tilt the models.
     """
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = stage(
@@ -98,10 +96,9 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", samples: DataFrame |
         "secret-spans",
     )
     if samples is None:
-        values = found.select(F.explode("base.value").alias("token"), F.lit(1).alias("label"))
-        chosen = texts.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).scalar()
-        words = texts.where(F.xxhash64("id") <= chosen).select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
-        samples = values.orderBy(F.xxhash64("token"), "token").limit(SAMPLES).union(words.select("token", F.lit(0).alias("label")))
+        random_ones = found.select(F.explode("base.value").alias("token")).distinct()
+        ordinary = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token")).distinct()
+        samples = random_ones.withColumn("label", F.lit(1)).union(ordinary.withColumn("label", F.lit(0)))
     # a model has 128 x 128 numbers, whatever it was trained on
     table = train(samples).select(F.to_json("ratios")).first()[0]
     ratios = F.from_json(F.lit(table), "array<double>")
