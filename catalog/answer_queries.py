@@ -238,9 +238,17 @@ _METRICS = ", ".join(f"{{'metric_ord': {i}, 'label': '{label}', 'v': {name}}}" f
 
 
 @query("w5_eval_diff", _SUM + f""", m AS (SELECT site_id, run_id, u.metric_ord AS metric_ord, u.label AS label, u.v AS current FROM (SELECT *, unnest([{_METRICS}]) AS u FROM full_summary) AS x)
-  SELECT *, current - previous AS delta FROM (SELECT *, lag(current) OVER (PARTITION BY site_id, metric_ord ORDER BY run_id) AS previous FROM m) AS y""")
+  SELECT * EXCLUDE (generated_at) FROM (SELECT *, current - previous AS delta FROM (SELECT *, lag(current) OVER (PARTITION BY site_id, metric_ord ORDER BY generated_at, run_id) AS previous FROM m JOIN ({D.RUNS}) AS t USING (site_id, run_id)) AS y)""")
 def w5(spark, sf):
-    return G.eval_diff(_summary(spark, sf))
+    return G.eval_diff(_summary(spark, sf), D.derived(spark, sf, D.RUNS))
+
+
+_SOME_BRANDS = f"SELECT * FROM ({D.ANSWER_BRANDS}) AS all_brands WHERE site_id NOT LIKE '%1'"
+
+
+@query("e1_no_brand", f"SELECT site_id, run_id, answer_ord FROM ({D.ANSWERS}) AS a WHERE site_id NOT IN (SELECT site_id FROM ({_SOME_BRANDS}) AS b)")
+def e1_no_brand(spark, sf):
+    return A.split_by_brand(D.answers(spark, sf), D.derived(spark, sf, _SOME_BRANDS))[1].select("site_id", "run_id", "answer_ord")
 
 
 _A12 = f"""SELECT {_ID}, category, intent, holdout, model, locale, rank_position, accurate_mention = 1 AS accurate_mention, owned_citation = 1 AS owned_citation,

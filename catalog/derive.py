@@ -219,6 +219,12 @@ FROM (
   SELECT conv_id, turn, text, (conv_id * 7 + turn * 3) % 6 AS h, CAST(floor(conv_id / 20) AS BIGINT) AS k
   FROM conversations WHERE role = 'assistant') AS c"""
 
+# the higher run id is the earlier run, so that order by id and order by time differ
+RUNS = """
+SELECT DISTINCT 'site-' || CAST(CAST(floor(conv_id / 20) AS BIGINT) AS STRING) AS site_id, 'run-' || CAST(conv_id % 2 AS STRING) AS run_id,
+  '2024-01-0' || CAST(2 - conv_id % 2 AS STRING) || 'T00:00:00Z' AS generated_at
+FROM conversations"""
+
 _ANSWER_SITE = "SELECT DISTINCT CAST(floor(conv_id / 20) AS BIGINT) AS k FROM conversations"
 ANSWER_BRANDS, ANSWER_FACTS, ANSWER_COMPETITORS = _brands(_ANSWER_SITE), _facts(_ANSWER_SITE), _competitors(_ANSWER_SITE)
 

@@ -107,11 +107,17 @@ def _rival_columns(competitors: DataFrame) -> DataFrame:
     return names.select("site_id", F.col("_c.name").alias("rivals"))
 
 
+def split_by_brand(answers: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers of sites with a brand, and those without one, which nothing can score."""
+    sites = brands.select("site_id").distinct()
+    return answers.join(sites, "site_id", "left_semi"), answers.join(sites, "site_id", "left_anti")
+
+
 def with_site_dims(answers: DataFrame, brands: DataFrame, facts: DataFrame, competitors: DataFrame) -> DataFrame:
     """Adds all brand, fact and competitor columns in one join; the scoring steps then need none.
 
-    The dimensions are one row per site. Answers of sites without a brand are dropped, as there is
-    nothing to score them against.
+    The dimensions are one row per site. Answers of sites without a brand are left out, as there is
+    nothing to score them against; ``split_by_brand`` returns them.
     """
     dims = fact_list(brands, facts).join(_brand_columns(brands), "site_id")
     dims = dims.join(_rival_columns(competitors), "site_id", "left")

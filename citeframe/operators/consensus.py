@@ -123,9 +123,14 @@ def eval_summary(groups: DataFrame, scores: DataFrame) -> DataFrame:
     return per_group.join(per_answer, keys).join(seen, keys, "left")
 
 
-def eval_diff(summaries: DataFrame, order: str = "run_id") -> DataFrame:
-    """Ten metrics of each run next to those of the site's run before it; NULL for the first run."""
-    w = Window.partitionBy("site_id").orderBy(order)
+def eval_diff(summaries: DataFrame, runs: DataFrame) -> DataFrame:
+    """Ten metrics of each run next to those of the site's run before it in time; NULL for the first run.
+
+    ``runs`` is (site_id, run_id, generated_at), one row per run; runs of one time follow in order of run_id, and
+    a run without a time comes first.
+    """
+    summaries = summaries.join(runs.select("site_id", "run_id", "generated_at"), ["site_id", "run_id"], "left")
+    w = Window.partitionBy("site_id").orderBy("generated_at", "run_id")
     rows = [
         F.struct(
             F.lit(i).alias("metric_ord"), F.lit(label).alias("label"), F.col(name).alias("current"),

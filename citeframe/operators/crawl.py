@@ -75,12 +75,22 @@ def refresh_target(page_url: Column, refresh: Column) -> Column:
     return U.absolute_url(page_url, href)
 
 
-def resolve_redirects(pages: DataFrame, sites: DataFrame, include=(), exclude=()) -> DataFrame:
+def admitted(pages: DataFrame) -> DataFrame:
+    """Pages of html or plain text, and failed fetches (status 0 or none); other content is no page to audit."""
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    return pages.filter(F.contains(kind, F.lit("html")) | F.contains(kind, F.lit("text/plain")) | (F.coalesce("status", F.lit(0)) == 0))
+
+
+def resolve_redirects(pages: DataFrame, sites: DataFrame, include=(), exclude=(), stored: DataFrame | None = None) -> DataFrame:
     """Pages that only refresh to another page of the site are replaced by that page, one hop.
 
-    ``pages`` carries the stored row plus ``refresh`` (the refresh meta value). The result keeps one
-    row per url, the one that comes first in crawl order; a target that is not stored is a 404 row.
+    ``pages`` carries the stored row plus ``refresh`` (the refresh meta value). Targets are looked up in
+    ``stored``, by default ``pages`` itself, so a target need not be planned. The result keeps one row per url,
+    the one that comes first in crawl order; a target that is not stored is a 404 row. Pages and targets that
+    are not ``admitted`` are left out.
     """
+    stored = pages if stored is None else stored
+    pages = admitted(pages)
     df = pages.join(sites.select("site_id", "base_url"), "site_id")
     target = refresh_target(F.col("url"), F.col("refresh"))
     html = F.contains("content_type", F.lit("html")) & F.col("status").between(200, 299)
@@ -99,7 +109,7 @@ def resolve_redirects(pages: DataFrame, sites: DataFrame, include=(), exclude=()
     moved = df.filter("_target IS NOT NULL").select("site_id", F.col("_target").alias("url"), "_rank", F.col("url").alias("_from"))
     # several shims may share a target; only the first keeps its place
     moved = moved.groupBy("site_id", "url").agg(F.min(F.struct("_rank", "_from")).alias("f"))
-    moved = moved.select("site_id", "url", "f.*").join(pages.select("site_id", "url", *kept), ["site_id", "url"], "left")
+    moved = moved.select("site_id", "url", "f.*").join(stored.select("site_id", "url", *kept), ["site_id", "url"], "left")
     moved = moved.withColumns(
         {
             "fetch_error": F.when(
@@ -109,7 +119,7 @@ def resolve_redirects(pages: DataFrame, sites: DataFrame, include=(), exclude=()
             "status": F.coalesce("status", F.lit(404)),
         }
     )
-    every = direct.unionByName(moved.select(*direct.columns))
+    every = direct.unionByName(admitted(moved).select(*direct.columns))
     first = every.groupBy("site_id", "url").agg(F.min_by(F.struct(*kept, "_rank"), F.struct("_rank", "_from")).alias("p"))
     return first.select("site_id", "url", "p.*").withColumnRenamed("_rank", "crawl_rank")
 

@@ -32,7 +32,7 @@ def fetched_pages(pages_raw: DataFrame, targets: DataFrame, sites: DataFrame, in
     shims = refresh.filter("refresh IS NOT NULL")
     known = pages_raw.join(shims, ["site_id", "url"], "left")
     planned = known.join(targets.select("site_id", "url"), ["site_id", "url"], "left_semi")
-    resolved = crawl.resolve_redirects(planned.drop("html"), sites, include, exclude)
+    resolved = crawl.resolve_redirects(planned.drop("html"), sites, include, exclude, stored=known.drop("html"))
     return resolved.join(pages_raw.select("site_id", "url", "html"), ["site_id", "url"], "left")
 
 

@@ -41,7 +41,8 @@ def answer(i, prompt, text, sample=0, rank=None, cits=(), mode="manual-import",
 
 def run(spark, rows):
     d = dims(spark)
-    return evaluate(frame(spark, "answers", rows), d["prompts"], d["brands"], d["facts"], d["competitors"])
+    return evaluate(frame(spark, "answers", rows), d["prompts"], d["brands"], d["facts"], d["competitors"],
+                    spark.createDataFrame([], "site_id string, run_id string, generated_at string"))
 
 
 def test_weighted_position_and_coverage(spark):
@@ -152,6 +153,7 @@ def test_diff_of_first_run_is_null(spark):
     from citeframe.constants import DIFF_METRICS
 
     names = [n for n, _ in DIFF_METRICS]
-    df = spark.createDataFrame([("a", "r1", *range(10)), ("a", "r2", *range(1, 11))], ["site_id", "run_id", *names])
-    got = eval_diff(df).filter(F.col("metric_ord") == 0).orderBy("run_id").collect()
-    assert [(r.previous, r.delta) for r in got] == [(None, None), (0, 1)]
+    df = spark.createDataFrame([("a", "r10", *range(10)), ("a", "r2", *range(1, 11))], ["site_id", "run_id", *names])
+    runs = spark.createDataFrame([("a", "r10", "2024-02-01"), ("a", "r2", "2024-01-01")], ["site_id", "run_id", "generated_at"])
+    got = eval_diff(df, runs).filter(F.col("metric_ord") == 0).orderBy("run_id").collect()
+    assert [(r.run_id, r.previous, r.delta) for r in got] == [("r10", 1, -1), ("r2", None, None)]

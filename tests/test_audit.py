@@ -130,3 +130,20 @@ def test_read_html_folder(spark, tmp_path):
     got = read_pages(spark, str(tmp_path), BASE, "a")
     assert sorted(r.url for r in got.collect()) == [f"{BASE}/", f"{BASE}/docs", f"{BASE}/docs/a", f"{BASE}/pricing"]
     assert got.filter(F.col("site_id") != "a").count() == 0
+
+
+def test_redirects_meet_all_stored_pages_and_only_text_is_admitted(spark):
+    from citeframe.plans.audit import fetched_pages
+
+    def refresh(to):
+        return f"<html><head><meta http-equiv='refresh' content='0; url={to}'></head><body></body></html>"
+
+    rows = [
+        ("a", BASE + "/", 200, "text/html", None, refresh("/en")), ("a", BASE + "/en", 200, "text/html", None, "<p>en</p>"),
+        ("a", BASE + "/file", 200, "application/pdf", None, "%PDF"), ("a", BASE + "/go", 200, "text/html", None, refresh("/file")),
+        ("a", BASE + "/down", 0, "application/octet-stream", "reset", None), ("a", BASE + "/old", 200, "text/html", None, refresh("/gone")),
+    ]
+    raw = spark.createDataFrame(rows, schema("pages_raw"))
+    sites = spark.createDataFrame([("a", BASE)], schema("sites"))
+    got = fetched_pages(raw, raw.where(~F.col("url").endswith("/en")).select("site_id", "url"), sites).collect()
+    assert {(r.url.removeprefix(BASE), r.status) for r in got} == {("/en", 200), ("/down", 0), ("/gone", 404)}
