@@ -276,7 +276,7 @@ _EVAL_CTES = _EVAL_CTES.replace("facts AS (", "facts_a AS (").replace("FROM fact
 
 
 @query("e6_apply_eval", P.with_issues(_SCORES, _EVAL_CTES) + " SELECT a.site_id, e.run_id, a.overall_score, coalesce(e.vavr, a.vavr) AS vavr, coalesce(e.sample_count, 0) AS sample_count, e.locale, "
-       "CASE WHEN e.run_id IS NULL THEN 'audit' ELSE 'eval' END AS mode, a.crawled_pages FROM (" + _SUMMARY.format(vavr="CAST(NULL AS INTEGER) AS vavr") + ") AS a LEFT JOIN full_summary AS e USING (site_id)")
+       "CASE WHEN e.run_id IS NULL THEN 'audit' ELSE 'eval' END AS mode, a.crawled_pages FROM (" + _SUMMARY.format(vavr="CAST(NULL AS INTEGER) AS vavr", discovered="c.n") + ") AS a LEFT JOIN full_summary AS e USING (site_id)")
 def e6(spark, sf):
     df = G.apply_eval(_audit_summary(spark, sf), _summary(spark, sf))
     return df.select("site_id", "run_id", "overall_score", "vavr", "sample_count", "locale", "mode", "crawled_pages")

@@ -73,7 +73,7 @@ def a8(spark, sf):
     return _cover(spark, sf)
 
 
-@query("w4_sort_coverage", _WITH + " SELECT * FROM cover")
+@query("w4_sort_coverage", _WITH + " SELECT *, row_number() OVER (PARTITION BY site_id, source ORDER BY impressions DESC, page_url) AS coverage_ord FROM cover")
 def w4(spark, sf):
     return S.sort_coverage(_cover(spark, sf))
 
@@ -89,10 +89,10 @@ def a9(spark, sf):
 
 
 @query("w3_top_search_pages", _WITH + """ SELECT site_id, top_ord, source, page, impressions, clicks FROM (
-    SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY impressions DESC, clicks DESC, page) AS top_ord FROM matched WHERE NOT out_of_scope AND source = 'search-console') AS x WHERE top_ord <= 10""")
+    SELECT *, row_number() OVER (PARTITION BY site_id, source ORDER BY impressions DESC, clicks DESC, page) AS top_ord FROM matched WHERE NOT out_of_scope) AS x WHERE top_ord <= 10""")
 def w3(spark, sf):
-    df = _matched(spark, sf).filter(F.col("source") == "search-console")
-    return S.top_search_pages(df).select("site_id", "top_ord", "source", "page", "impressions", "clicks")
+    both = [S.top_search_pages(_matched(spark, sf).filter(F.col("source") == s)) for s in ("search-console", "bing-webmaster")]
+    return both[0].unionByName(both[1]).select("site_id", "top_ord", "source", "page", "impressions", "clicks")
 
 
 _FIND = ["site_id", "source", "finding_id", "severity", "title", "page_url", "page_type", "evidence"]

@@ -323,19 +323,24 @@ def a2(spark, sf):
 
 _SUMMARY = """SELECT s.site_id, (SELECT CAST(floor(avg(score) + 0.5) AS INTEGER) FROM scored AS x WHERE x.site_id = s.site_id) AS overall_score, {vavr},
     array_to_string([t FOR t IN ['pricing', 'security', 'docs', 'faq', 'compare', 'integrations'] IF NOT list_contains(coalesce(c.types, []), t)], '|') AS missing_page_types,
-    coalesce(c.n, 0) AS crawled_pages, coalesce(c.n, 0) AS discovered_urls, coalesce(c.n_key, 0) AS key_page_count
+    coalesce(c.n, 0) AS crawled_pages, coalesce({discovered}, 0) AS discovered_urls, coalesce(c.n_key, 0) AS key_page_count
   FROM sites AS s LEFT JOIN (SELECT site_id, count(*) AS n, count(*) FILTER (page_type <> 'other') AS n_key, list(DISTINCT page_type) AS types FROM f GROUP BY 1) AS c USING (site_id)"""
 
 
-def _audit_summary(spark, sf):
+def _audit_summary(spark, sf, discovered=None):
     buckets = scores.bucket_scores(issues(spark, sf), sites(spark, sf))
-    return scores.audit_summary(sites(spark, sf), features(spark, sf), buckets)
+    return scores.audit_summary(sites(spark, sf), features(spark, sf), buckets, discovered)
 
 
-@query("a3_audit_summary", P.with_issues(_SCORES) + " " + _SUMMARY.format(vavr="CAST(NULL AS INTEGER) AS vavr"))
+@query("a3_audit_summary", P.with_issues(_SCORES) + " " + _SUMMARY.format(vavr="CAST(NULL AS INTEGER) AS vavr", discovered="c.n"))
 def a3(spark, sf):
-    df = _audit_summary(spark, sf)
-    return df.select("site_id", "overall_score", "vavr", joined("missing_page_types"), "crawled_pages", "discovered_urls", "key_page_count")
+    return _audit_summary(spark, sf).withColumn("missing_page_types", joined("missing_page_types"))
+
+
+@query("a3_summary_discovered", P.with_issues(_SCORES, _LOCS, _REACHED) + " " + _SUMMARY.format(
+    vavr="CAST(NULL AS INTEGER) AS vavr", discovered="(SELECT count(*) FROM found AS d WHERE d.site_id = s.site_id)"))
+def a3_discovered(spark, sf):
+    return _audit_summary(spark, sf, _found(spark, sf)).withColumn("missing_page_types", joined("missing_page_types"))
 
 
 _RECS = """per AS (SELECT s.site_id, count(*) FILTER (bucket = 'access') AS a, count(*) FILTER (bucket = 'structure') AS b, count(*) FILTER (bucket = 'entityClarity') AS c,

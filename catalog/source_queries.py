@@ -12,6 +12,7 @@ from catalog import sql_parts as P
 from catalog.answer_queries import _BASE, _scored
 from catalog.registry import features, issues, joined, query, sites
 from catalog.search_queries import _cover, _matched, _WITH
+from catalog.site_queries import _SCORES
 from citeframe.operators import scores
 from citeframe.operators.search import index_candidates
 from citeframe.session import shared_dir
@@ -197,12 +198,18 @@ def s9(spark, sf):
 # ---- writers: written, read back ----------------------------------------------------------------
 
 
-@query("k1_write_audit", P.with_issues() + " SELECT 'r1' AS run_id, site_id, issue_id, severity FROM issues")
+@query("k1_write_audit", P.with_issues(_SCORES) + """ SELECT 'issues' AS written, 'r1' AS run_id, site_id, issue_id AS row_key, severity AS detail FROM issues
+    UNION ALL SELECT 'pages', 'r1', site_id, url, page_type FROM f UNION ALL SELECT 'bucket_scores', 'r1', site_id, bucket, CAST(score AS VARCHAR) FROM scored""")
 def k1(spark, sf):
     path = _folder(spark, "audit")
     buckets = scores.bucket_scores(issues(spark, sf), sites(spark, sf))
     sinks.write_audit({"pages": features(spark, sf), "issues": issues(spark, sf), "bucket_scores": buckets}, path, "r1")
-    return spark.read.parquet(os.path.join(path, "issues")).filter(F.col("run_id") == "r1").select("run_id", "site_id", "issue_id", "severity")
+
+    def back(name, key, detail):
+        df = spark.read.parquet(os.path.join(path, name)).filter(F.col("run_id") == "r1")
+        return df.select(F.lit(name).alias("written"), "run_id", "site_id", F.col(key).alias("row_key"), F.col(detail).cast("string").alias("detail"))
+
+    return back("issues", "issue_id", "severity").unionByName(back("pages", "url", "page_type")).unionByName(back("bucket_scores", "bucket", "score"))
 
 
 @query("k2_write_eval", _BASE + """ SELECT run_id, provider, provider || '/' || prompt_id || CASE WHEN sample_index > 0 THEN '--sample-' || (sample_index + 1) ELSE '' END || '.json' AS raw_payload_file,
@@ -215,10 +222,10 @@ def k2(spark, sf):
     return spark.read.json(os.path.join(path, "raw_payloads")).select("run_id", "provider", "raw_payload_file", "raw_payload")
 
 
-@query("k3_write_validation", _WITH + " SELECT source, site_id, page_url, has_evidence, impressions FROM cover WHERE source = 'bing-webmaster'")
+@query("k3_write_validation", _WITH + " SELECT source, site_id, page_url, has_evidence, impressions FROM cover")
 def k3(spark, sf):
     path = _folder(spark, "validation")
     tables = {"search_pages": _matched(spark, sf), "key_page_coverage": _cover(spark, sf), "index_candidates": index_candidates(features(spark, sf))}
     sinks.write_validation(tables, path)
-    df = spark.read.parquet(os.path.join(path, "key_page_coverage")).filter(F.col("source") == "bing-webmaster")
+    df = spark.read.parquet(os.path.join(path, "key_page_coverage"))
     return df.select("source", "site_id", "page_url", "has_evidence", "impressions")

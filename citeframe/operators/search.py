@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeframe import constants as C
@@ -116,8 +116,9 @@ def key_page_coverage(pages: DataFrame, search_pages: DataFrame, source: str) ->
 
 
 def sort_coverage(coverage: DataFrame) -> DataFrame:
-    """Coverage by impressions, largest first, then url."""
-    return coverage.orderBy("site_id", F.desc("impressions"), "page_url")
+    """Coverage by impressions, largest first, then url; ``coverage_ord`` is the place within site and source."""
+    order = Window.partitionBy("site_id", "source").orderBy(F.desc("impressions"), "page_url")
+    return coverage.withColumn("coverage_ord", F.row_number().over(order)).orderBy("site_id", "source", "coverage_ord")
 
 
 def no_evidence_findings(coverage: DataFrame) -> DataFrame:
