@@ -415,15 +415,18 @@ def w2_recs(spark, sf):
   b AS (SELECT br.*, g.*  EXCLUDE (site_id), coalesce(t.titles, []) AS titles, coalesce(ff.told, []) AS told, coalesce(r.names, []) AS names
     FROM brands AS br LEFT JOIN g USING (site_id) LEFT JOIN t USING (site_id) LEFT JOIN ff USING (site_id) LEFT JOIN rivals AS r USING (site_id))""") + """
   SELECT site_id, 'faq-brief' AS brief_id, name || ' FAQ outline' AS title, coalesce(nullif(string_split(personas_s, '|')[1], ''), 'product and growth teams') AS audience,
-    array_to_string(['Cover: ' || x FOR x IN titles], '|') AS covered, array_to_string(([name || ' is a ' || category || '.', one_liner] || told)[1:3], '|') AS claims FROM b WHERE no_faq > 0 OR n_ev > 0
-  UNION ALL SELECT site_id, 'compare-brief', name || ' compare page outline', 'buyers evaluating alternatives', '', array_to_string([one_liner] || told[1:2], '|') FROM b WHERE no_compare > 0 OR n_cmp > 0
+    array_to_string(['Cover: ' || x FOR x IN titles], '|') AS covered, array_to_string(([name || ' is a ' || category || '.', one_liner] || told)[1:3], '|') AS claims,
+    'Settle what buyers keep asking, each answer with a source.' AS angle, 'From each answer, lead on to prices, security and documents.' AS call_to_action FROM b WHERE no_faq > 0 OR n_ev > 0
+  UNION ALL SELECT site_id, 'compare-brief', name || ' compare page outline', 'buyers evaluating alternatives', '', array_to_string([one_liner] || told[1:2], '|'),
+    'Say plainly whom the product fits and whom it does not.', 'Close with the ways to read on, see prices or try it.' FROM b WHERE no_compare > 0 OR n_cmp > 0
   UNION ALL SELECT site_id, 'use-case-brief', name || ' use-case page outline', coalesce(nullif(string_split(personas_s, '|')[1], ''), 'teams evaluating tools'), '',
-    array_to_string(([name || ' is a ' || category || '.', one_liner] || told)[1:3], '|') FROM b WHERE n_thin > 0""")
+    array_to_string(([name || ' is a ' || category || '.', one_liner] || told)[1:3], '|'),
+    'Show one job done, with results that can be cited.', 'Lead on to a first step for this very job.' FROM b WHERE n_thin > 0""")
 def e5(spark, sf):
     missing = R.missing_page_types(features(spark, sf), sites(spark, sf))
     df = briefs.content_briefs(issues(spark, sf), missing, brands(spark, sf), facts(spark, sf), competitors(spark, sf))
     covered = F.array_join(F.filter("outline", lambda x: F.startswith(x, F.lit("Cover: "))), "|")
-    return df.select("site_id", "brief_id", "title", "audience", covered.alias("covered"), joined("claims"))
+    return df.select("site_id", "brief_id", "title", "audience", covered.alias("covered"), joined("claims"), "angle", "call_to_action")
 
 
 @query("v5_index_candidates", P.with_sites("features") + """ SELECT site_id, url, page_type, page_type NOT IN ('home', 'product') AS is_key_candidate

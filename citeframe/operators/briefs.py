@@ -42,13 +42,13 @@ def content_briefs(issues: DataFrame, missing: DataFrame, brands: DataFrame, fac
     use_case = F.coalesce(F.get("use_cases", F.lit(0)), F.lit("improve product onboarding"))
     persona = F.get("personas", F.lit(0))
 
-    def brief(n: int, kind: str, due, title, audience, outline, claims):
+    def brief(n: int, kind: str, due, title, audience, angle, outline, claims, call):
         return F.when(
             due,
             F.struct(
                 F.lit(n).alias("brief_ord"), F.lit(f"{kind}-brief").alias("brief_id"), F.lit(kind).alias("type"),
-                F.concat(name, F.lit(title)).alias("title"), audience.alias("audience"), outline.alias("outline"),
-                claims.alias("claims"),
+                F.concat(name, F.lit(title)).alias("title"), audience.alias("audience"), F.lit(angle).alias("angle"),
+                outline.alias("outline"), claims.alias("claims"), F.lit(call).alias("call_to_action"),
             ),
         )
 
@@ -57,6 +57,7 @@ def content_briefs(issues: DataFrame, missing: DataFrame, brands: DataFrame, fac
         brief(
             1, "faq", (F.col("no_faq") > 0) | (F.col("n_evidence") > 0), " FAQ outline",
             F.coalesce(persona, F.lit("product and growth teams")),
+            "Settle what buyers keep asking, each answer with a source.",
             F.concat(
                 F.array(
                     F.concat(F.lit("What "), name, F.lit(" does and whom it serves")),
@@ -66,10 +67,12 @@ def content_briefs(issues: DataFrame, missing: DataFrame, brands: DataFrame, fac
                 asks,
             ),
             claims,
+            "From each answer, lead on to prices, security and documents.",
         ),
         brief(
             2, "compare", (F.col("no_compare") > 0) | (F.col("n_comparison") > 0), " compare page outline",
             F.lit("buyers evaluating alternatives"),
+            "Say plainly whom the product fits and whom it does not.",
             F.array(
                 F.concat(F.lit("Whom "), name, F.lit(" suits")),
                 F.concat(name, F.lit(" next to "), rivals),
@@ -77,10 +80,12 @@ def content_briefs(issues: DataFrame, missing: DataFrame, brands: DataFrame, fac
                 F.lit("Criteria by team and workflow"),
             ),
             F.concat(F.array("one_liner"), F.slice(declared, 1, 2)),
+            "Close with the ways to read on, see prices or try it.",
         ),
         brief(
             3, "use-case", F.col("n_thin") > 0, " use-case page outline",
             F.coalesce(persona, F.lit("teams evaluating tools")),
+            "Show one job done, with results that can be cited.",
             F.array(
                 F.concat(F.lit("The problem: "), use_case),
                 F.concat(F.lit("How "), name, F.lit(" handles "), use_case),
@@ -88,6 +93,7 @@ def content_briefs(issues: DataFrame, missing: DataFrame, brands: DataFrame, fac
                 F.lit("Proof and next step"),
             ),
             claims,
+            "Lead on to a first step for this very job.",
         ),
     )
     kept = F.filter(rows, lambda b: b.isNotNull())
