@@ -188,22 +188,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).select("row", "id", simhash("text").alias("fp"), F.monotonically_increasing_id().alias("row_id")),
         "simhash-rows",
     )
+    return rows, classes(rows, links(rows.select("fp").distinct()))
+
+
+def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each ``fp`` of ``rows``, given the edges (u, v) between fingerprints."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_id").alias("row_id")))
     fps = rows.groupBy("fp").agg(first.alias("first"))
-    labels = connected(links(rows.select("fp").distinct()))
+    labels = connected(edges)
     labelled = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
     labelled = stage(labelled, "simhash-labels")
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    classes = labelled.join(heads, "label").select(
+    return labelled.join(heads, "label").select(
         "fp", F.col("head.id").alias("component_id"), F.col("head.row_id").alias("first_row")
     )
-    return rows, classes
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: smallest id, then first row."""
-    rows, classes = near_duplicates(docs, id_col, text_col)
-    first = classes.select(F.col("first_row").alias("row_id")).distinct()
+    return first_rows(*near_duplicates(docs, id_col, text_col))
+
+
+def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that stand for a class, as they were given."""
+    first = found.select(F.col("first_row").alias("row_id")).distinct()
     return rows.join(first, "row_id", "left_semi").select("row.*")

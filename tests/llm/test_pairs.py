@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from citeframe.llm import decontaminate, mixing, quality, queries, sharding, simhash
 from citeframe.llm.components import connected
 
@@ -113,6 +114,45 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def brute_overlap(texts):
+    """All pairs of different five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    return sets, [
+        (i, j) for j in range(len(sets)) for i in range(j) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+
+
+def test_overlap_stage_joins_what_is_alike(spark, empty):
+    """Edited copies at a similarity around 0.8, copies, chains and short texts; the pipeline keeps one of each component."""
+    rnd, texts = random.Random(8), [None, "", "one", "ONE", "two words", "a b c d e", "a b c d e f"]
+    for _ in range(30):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(60, 400))]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            for _ in range(max(1, len(words) // rnd.choice([40, 60, 100]))):
+                words[rnd.randrange(len(words))] = f"e{rnd.randrange(10**6)}"
+    sets, pairs = brute_overlap(texts)
+    assert len(pairs) > 30
+    label = list(range(len(texts)))
+    for i, j in pairs + [(sets.index(s), j) for j, s in enumerate(sets)]:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert corpus_pipeline.without_near_duplicates(spark, empty, "").count() == 0
+
+
+def test_overlap_odd_rows(spark, odd):
+    kept = corpus_pipeline.without_near_duplicates(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 7]
+
+
 def test_sharding_law(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op3(spark, sf_dir).collect()
