@@ -18,6 +18,7 @@ rows like any other; an empty table gives an empty result. Extra columns are lef
 from __future__ import annotations
 
 import math
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -47,6 +48,8 @@ NAMES = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("ul ol dl table article main section div body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+AS_TEXT = frozenset("title textarea iframe noembed noframes xmp".split())
+_COMMENT_AT_ONCE, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 
 
 def _named_out(attrs) -> bool:
@@ -74,6 +77,14 @@ class Lines(HTMLParser):
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
 
+    def parse_comment(self, i, report=1):
+        """A comment of normal content ends as in a browser, an open one with the page; elsewhere its mark is text."""
+        if self.stack and self.stack[-1][0] in AS_TEXT:
+            self.handle_data("<!--")
+            return i + 4
+        end = _COMMENT_AT_ONCE.match(self.rawdata, i + 4) or _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     def _state(self):
         return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
 
@@ -185,9 +196,6 @@ def extract(html: str | None) -> str:
     """Main text of a whole page, one line for each block."""
     if not html:
         return ""
-    opened = html.rfind("<!--")
-    if opened >= 0 and html.find("-->", opened + 2) < 0:
-        html = html[:opened]
     parser = Lines()
     parser.feed(html)
     lines = parser.done()

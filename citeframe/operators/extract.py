@@ -7,6 +7,7 @@ parts, JSON-LD nodes); urls, flags, signals and rules are native columns built o
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -25,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # fixed values: element groups of html
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEAD_ONLY = frozenset("title meta link base script style noscript template head html".split())
+AS_TEXT = frozenset("title textarea iframe noembed noframes xmp".split())
 UNSEEN = frozenset(["script", "style", "noscript", "template"])
 OFF_PAGE_TEXT = frozenset(["script", "style", "pre", "code"])
 CONTAINERS = frozenset("section article main header nav div body".split())
@@ -40,6 +42,8 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
 }
 
+_COMMENT_AT_ONCE, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
+
 
 class PageScan(HTMLParser):
     """Collects the parts of one page in a single walk over its tags."""
@@ -73,6 +77,14 @@ class PageScan(HTMLParser):
         """A declaration that html does not know is a comment."""
         return self.parse_bogus_comment(i)
 
+    def parse_comment(self, i, report=1):
+        """A comment of normal content ends as in a browser, an open one with the page; elsewhere its mark is text."""
+        if self.open and self.open[-1]["tag"] in AS_TEXT:
+            self.handle_data("<!--")
+            return i + 4
+        end = _COMMENT_AT_ONCE.match(self.rawdata, i + 4) or _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     # ---- tags ----
     def handle_starttag(self, tag, attrs):
         at: dict[str, str] = {}
@@ -267,15 +279,9 @@ def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
-def _closed(html: str) -> str:
-    """A comment that is never closed hides the rest of the page."""
-    opened = html.rfind("<!--")
-    return html[:opened] if opened >= 0 and html.find("-->", opened + 2) < 0 else html
-
-
 def scan_page(html: str | None) -> dict:
     scan = PageScan()
-    scan.feed(_closed(html or ""))
+    scan.feed(html or "")
     scan.close()
     return scan.parts()
 

@@ -216,6 +216,23 @@ def test_broken_pages_never_raise(html):
     assert "open" not in content.extract(html)
 
 
+MARKS = [
+    '<script>if (s=="<!--") t()</script>', "<script><!-- old </script>", "<style>p:after{content:'<!--'}</style>",
+    '<p title="<!-- x">kept</p>', "<!-- said --!>", "<!-->", "<!--->", "<!-- a -- > b -->", "<textarea><!--</textarea>",
+]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_comment_marks_do_not_cut_pages(mark):
+    from citeframe.operators.extract import scan_page
+
+    page = f"<html><head><title>a <!-- b</title></head><body><article><h1>Head</h1>{mark}<p>%s</p></article></body></html>" % ("article text " * 20)
+    assert content.extract(page).endswith("article text") and content.extract(page).startswith("Head")
+    assert scan_page(page)["body_text"].rstrip().endswith("article text") and scan_page(page)["title"] == "a <!-- b"
+    hidden = page.replace("<p>article", "<!-- open <p>article").replace("article text", "gone")
+    assert "gone" not in content.extract(hidden) and "gone" not in scan_page(hidden)["body_text"]
+
+
 def test_main_text_query(spark, sf_dir):
     rows = queries.QUERIES["op6_main_text"](spark, sf_dir).collect()
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
