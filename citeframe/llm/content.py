@@ -45,6 +45,7 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe signup share sharing "
     "social related recommended recommendations comment comments commentlist reply replies respond disqus widget login search toolbar skip".split()
 )
+PARTS = frozenset("ads articles banner bar box buttons form icons items links list modal popup posts widget".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("ul ol dl table article main section div body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,15 +53,24 @@ AS_TEXT = frozenset("title textarea iframe noembed noframes xmp".split())
 _COMMENT_AT_ONCE, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 
 
-def _named_out(attrs) -> bool:
+def _named_out(tag, attrs, region) -> bool:
+    """Whether role, class or id say that an element is no article text.
+
+    Ids are often made from headings, so they count outside regions only, and whole. Inside a region a class counts
+    whole or with a part that only page furniture has; a class header is the article's own there. Headings have text.
+    """
     for key, value in attrs:
         if key == "role" and value and value.strip().lower() in ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and value:
+        if key in ("class", "id") and value and tag not in HEADINGS:
             for name in value.lower().split():
-                if name in NAMES or name.replace("_", "-").split("-")[0] in NAMES:
+                first, *parts = name.replace("_", "-").split("-")
+                if region:
+                    if key == "class" and name != "header" and (name in NAMES or first in NAMES and parts and PARTS.issuperset(parts)):
+                        return True
+                elif name in NAMES or key == "class" and first in NAMES:
                     return True
     return False
 
@@ -110,7 +120,7 @@ class Lines(HTMLParser):
             self.regions += 1
             region = self.regions
         if not out and tag not in ("html", "body"):
-            out = tag in OUT or tag == "header" and not region or (tag not in ("article", "main") or region != self.regions) and _named_out(attrs)
+            out = tag in OUT or tag == "header" and not region or (tag not in ("article", "main") or region != self.regions) and _named_out(tag, attrs, region)
         self.stack.append((tag, out, region))
         self.links += tag == "a"
         if tag in HEADINGS:

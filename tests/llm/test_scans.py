@@ -216,6 +216,23 @@ def test_broken_pages_never_raise(html):
     assert "open" not in content.extract(html)
 
 
+@pytest.mark.parametrize(
+    "mark", ['<h2 id="login-flow">%s</h2>', '<section id="social-history"><p>%s</p></section>', '<section id="related-work"><p>%s</p></section>',
+             '<h2 id="search-results">%s</h2>', '<h2 class="header">%s</h2>', '<div class="header"><h1>%s</h1></div>', '<p id="comments">%s</p>', '<div class="notice-period"><p>%s</p></div>']
+)
+def test_article_parts_are_not_dropped_by_name(mark):
+    body = "<p>" + "article text " * 30 + "</p>"
+    for region in ("article", "main"):
+        assert "Own words" in content.extract(PAGE % f"<{region}>{body}{mark % 'Own words'}{body}</{region}>")
+    if mark.startswith(("<h2", "<section")):
+        assert "Own words" in content.extract(PAGE % f"<div>{body}{mark % ('Own words ' * 20)}{body}</div>")
+
+
+@pytest.mark.parametrize("mark", ['<div class="related">%s</div>', '<ul class="share-buttons"><li>%s</ul>', '<div class="cookie_banner">%s</div>', '<div role="search" id="x">%s</div>'])
+def test_page_furniture_in_articles_is_left_out(mark):
+    assert "Own words" not in content.extract(PAGE % f"<article><p>{'article text ' * 30}</p>{mark % 'Own words'}</article>")
+
+
 MARKS = [
     '<script>if (s=="<!--") t()</script>', "<script><!-- old </script>", "<style>p:after{content:'<!--'}</style>",
     '<p title="<!-- x">kept</p>', "<!-- said --!>", "<!-->", "<!--->", "<!-- a -- > b -->", "<textarea><!--</textarea>",
