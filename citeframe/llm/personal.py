@@ -5,7 +5,7 @@ pairs, schemes and the cue IBAN. A deterministic parser for each anchor expands
 validates what it found: mail addresses, internet addresses (parts at most 255), card numbers (14 to 19 digits,
 Luhn), telephone numbers (10 to 15 digits). Matches of a kind are leftmost and do not overlap; one that fails is
 dropped without another try inside it. Beyond these base kinds the method adds ``login`` (user and host part of a
-web address) and ``account`` (IBAN after its cue, checked modulo 97).
+web address) and ``account`` (IBAN after its cue, as long as its country has it, checked modulo 97).
 
 Rows are scanned in place, whole, in Arrow batches; nothing is shuffled. Offsets are code points.
 
@@ -39,7 +39,20 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://([^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+)")
-_IBAN = re.compile(r"(?i:iban)[\x20:#=.-]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_IBAN = re.compile(
+    r"(?i:iban)[\x20:#=.-]{0,3}(?:(?i:account|number|num|code|is|no|nr)\b[\x20:#=.-]{0,3}){0,2}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})"
+)
+# characters of an account by country, as registered
+LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW YE",
+        31: "MT MU SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 @lru_cache(maxsize=1)
@@ -67,9 +80,18 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(text: str) -> bool:
-    code = text.replace(" ", "")
-    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+def _iban(text: str, start: int, stop: int) -> int:
+    """End of the account from ``start``, as long as its country has it (else up to ``stop``); 0 if it fails."""
+    length, end = LENGTHS.get(text[start : start + 2]), stop
+    if length:
+        end, left = start, length
+        while left and end < stop:
+            left -= text[end] != " "
+            end += 1
+        if left or end < stop and text[end] != " ":
+            return 0
+    code = text[start:end].replace(" ", "")
+    return end if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
 
 
 def _part(digits: str) -> bool:
@@ -126,9 +148,9 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                 done[4] = login.end(1)
         else:
             account = _IBAN.match(text, end - 3)
-            if account and account.start(1) >= done[5] and _iban(account[1]):
-                out.append((account.start(1), 5, account.end(1)))
-                done[5] = account.end(1)
+            if account and account.start(1) >= done[5] and (stop := _iban(text, account.start(1), account.end(1))):
+                out.append((account.start(1), 5, stop))
+                done[5] = stop
     return sorted(out)
 
 

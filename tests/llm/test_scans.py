@@ -112,6 +112,19 @@ def test_personal_more_spans(spark):
     assert personal.scan(frame(spark, PERSONAL_TEXTS).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, account",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 Please pay", "DE89 3704 0044 0532 0130 00"), ("IBAN: DE89370400440532013000 BIC COBADEFF", "DE89370400440532013000"),
+        ("IBAN number: DE89370400440532013000.", "DE89370400440532013000"), ("IBAN No. NO93 8601 1117 947 1", "NO93 8601 1117 947"),
+        ("iban GB82 WEST 1234 5698 7654 32 2 x", "GB82 WEST 1234 5698 7654 32"), ("Iban is MT84MALT011000012345MTLCAST001S", "MT84MALT011000012345MTLCAST001S"),
+        ("IBAN DE88 3704 0044 0532 0130 00 Please", None), ("IBAN DE893704004405320130001", None), ("IBAN DE89 3704 0044 0532", None),
+    ],
+)
+def test_accounts_end_with_their_country_length(text, account):
+    assert [text[s:e] for s, k, e in personal.find(text) if k == 5] == [account][: account is not None]
+
+
 def test_personal_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.QUERIES["op5_personal_data"](spark, sf_dir).collect():
