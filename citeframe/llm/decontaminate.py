@@ -9,7 +9,8 @@ the threshold. Each is verified against the passage: shared five-word shingles o
 sentence) and words of the answer (the last sentence).
 
 Words are runs of letters, digits and underscores in lower case. The items are dealt by hash into indexes of about
-``INDEX_BYTES``, so what is broadcast is bounded for any number of items; documents are never shuffled.
+``INDEX_BYTES``, so what is broadcast is bounded for any number of items; documents are never shuffled. Weights and
+the length of passages come from all items, so the hits do not depend on how the items are dealt.
 
 Defined cases: null or wordless texts and items match nothing; several rows of one item or document are treated one
 by one; an empty table gives no hits. An item of one sentence has its last third as answer. Extra columns are kept.
@@ -28,6 +29,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from citeframe.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -68,18 +72,33 @@ class Item:
     answer: Counter
 
 
+@dataclass
+class Figures:
+    """What weights and passages depend on, over all items: how many, their words, the longest, and items by term."""
+
+    n: int
+    total: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Postings of one block of items, in order of item, with the largest impact of each block of postings."""
+    """Postings of one block of items, in order of item, with the largest impact of each block of postings.
+
+    ``figures`` are those of all items; without them the block is taken as all.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], figures: Figures | None = None):
         bags = [(i, t, w) for i, t in rows if (w := words(t))]
-        df = Counter(term for *_, w in bags for term in set(w))
-        mean = sum(len(w) for *_, w in bags) / max(len(bags), 1)
+        own = Counter(term for *_, w in bags for term in set(w))
+        if figures is None:
+            figures = Figures(len(bags), sum(len(w) for *_, w in bags), max((len(w) for *_, w in bags), default=1), own)
+        df, mean = figures.df, figures.total / max(figures.n, 1)
         self.items, postings = [], {}
         for k, (item_id, text, bag) in enumerate(bags):
             norm = K1 * (1 - B + B * len(bag) / mean)
             weight = {
-                t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
+                t: math.log(1 + (figures.n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
                 for t, tf in Counter(bag).items()
             }
             full = sum(weight.values())
@@ -88,8 +107,8 @@ class Index:
             question, answer = question_answer(text)
             n = min(SHINGLE, len(question))
             self.items.append(Item(item_id, shingles(question, n), n, Counter(answer)))
-        self.longest = max((len(w) for *_, w in bags), default=1)
-        self.terms = {t: j for j, t in enumerate(sorted(postings, key=lambda t: (-df[t], t)))}
+        self.longest = figures.longest
+        self.terms = {t: j for j, t in enumerate(sorted(postings, key=lambda t: (-own[t], t)))}
         self.docs, self.impacts, self.block_max = [], [], []
         for t in self.terms:
             docs, impacts = zip(*postings[t], strict=True)
@@ -227,14 +246,33 @@ class Index:
         return [best[k] for k in sorted(best)]
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _bag(texts: pa.Array) -> pa.Array:
+    return pa.array([words(t.as_py()) for t in texts], pa.list_(pa.string()))
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = INDEX_BYTES):
-    """Broadcast indexes, each over about ``size`` bytes of items."""
+    """Broadcast indexes, each over about ``size`` bytes of items, with weights and passages of all items."""
+    spark = items.sparkSession
     rows = items.select(items[id_col].cast("long").alias("i"), items[text_col].alias("t")).where("t is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = total // size + 1
+    if n == 1:
+        yield spark.sparkContext.broadcast(Index(sorted(((r.i, r.t) for r in rows.collect()), key=repr)))
+        return
+    rows = rows.select("i", "t", _bag("t").alias("bag"), F.pmod(F.xxhash64("t"), F.lit(n)).alias("part")).where("size(bag) > 0")
+    rows = stage(rows, "items")
+    all_items = rows.agg(F.count(F.lit(1)), F.sum(F.size("bag")), F.max(F.size("bag"))).first()
+    if not all_items[0]:
+        yield spark.sparkContext.broadcast(Index([]))
+    terms = rows.select("part", F.explode(F.array_distinct("bag")).alias("term")).groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"))
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = stage(terms.select("term", "part").join(df, "term"), "item-terms")
     for part in range(n):
-        own = rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == part)
-        yield items.sparkSession.sparkContext.broadcast(Index(sorted(((r.i, r.t) for r in own.collect()), key=repr)))
+        own = rows.where(F.col("part") == part).select("i", "t").collect()
+        if own:
+            figures = Figures(*all_items, {r.term: r.df for r in terms.where(F.col("part") == part).collect()})
+            yield spark.sparkContext.broadcast(Index(sorted(((r.i, r.t) for r in own), key=repr), figures))
 
 
 def hits(text: Column, index) -> Column:
@@ -248,17 +286,17 @@ def hits(text: Column, index) -> Column:
     return found(text)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", size: int = INDEX_BYTES) -> DataFrame:
     """(id, item_id, score, question, answer): one row for each document row and item found in it."""
     out = None
-    for index in indexes(items):
+    for index in indexes(items, size=size):
         found = docs.select(docs[id_col].alias("doc_id"), F.explode(hits(docs[text_col], index)).alias("h")).select("doc_id", "h.*")
         out = found if out is None else out.union(found)
     return out
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col="text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col="text", size: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
-    for index in indexes(items):
+    for index in indexes(items, size=size):
         docs = docs.where(F.size(hits(docs[text_col], index)) == 0)
     return docs

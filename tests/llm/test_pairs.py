@@ -310,3 +310,27 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
     spread_out = decontaminate.contaminated(odd, items.unionByName(items), "doc_id", "text")
     assert spread_out.count() == 8
+
+
+def test_hits_do_not_depend_on_how_items_are_dealt(spark):
+    """Items in several indexes have the shares and passages that they have in one."""
+    rnd = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(80)]
+    weights = [1 / (k + 1) for k in range(80)]
+    bags = [rnd.choices(vocabulary, weights, k=rnd.randint(8, 40)) for _ in range(40)]
+    items = [(i, " ".join(b[:-4]) + "? " + " ".join(b[-4:]) + ".") for i, b in enumerate(bags)]
+    items += [(40, None), (41, "?!"), (5, items[5][1])]
+    docs = [(d, " ".join(rnd.choices(vocabulary, weights, k=30) + b[: rnd.randint(len(b) // 2, len(b))] + b[-4:])) for d, b in enumerate(bags)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(size):
+        indexes = [b.value for b in decontaminate.indexes(table, size=size)]
+        rows = [(d, h["item_id"], round(h["score"], 9), h["question"], h["answer"]) for x in indexes for d, t in docs for h in x.hits(t)]
+        return len(indexes), sorted(rows)
+
+    one, want = found(10**6)
+    several, got = found(1000)
+    assert one == 1 and several > 3 and len(want) > 20 and got == want
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in decontaminate.contaminated(frame, table, size=1000).collect()) == want
+    assert decontaminate.contaminated(frame, table.where("item_id = 41"), size=1).count() == 0
