@@ -4,8 +4,9 @@ Components become integers floor(1024 x). An approximation keeps only their lead
 component: cell c stands for the integers from c * 2^s to (c + 1) * 2^s - 1, with s so large that every cell fits.
 The inner product of a query with any vector of a cell then lies between 2^s q.c plus (2^s - 1) times the sum of
 the query's negative components and the same with its positive ones: the bounds are q.c plus two constants of the
-query. The scan reads approximations only. It keeps for each query what can still be among the best ``k + 1``
-by these bounds; exact vectors are then read in order of bound, first the ``k + 1`` with the best bound, then those
+query. The scan reads approximations only. It keeps for each query what can still be among the best ``keep`` (``k``
+and all rows of the query's own id) by these bounds; exact vectors are then read in order of bound, first the ``keep``
+with the best bound, then those
 whose bound still reaches the worst exact score of these, after which the result is certain.
 
 Equal vectors are one class of which only the ``k + 1`` smallest ids are kept (one may be the query's own), so that
@@ -13,8 +14,8 @@ a very common vector costs no more than a rare one. Queries are a stated set; th
 blocks of ``QUERY_BLOCK`` distinct vectors, whose size bounds what is shipped to the tasks.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate.
-Missing components of shorter vectors count as 0. Rows of one vec_id are one another's own rows; a null id takes no
-part. Repeated rows count once. Scores tie by smaller id. An empty table gives an empty result.
+Missing components of shorter vectors count as 0. Rows of one vec_id are one another's own rows, and as queries they
+have one list, the best of all their vectors; a null id takes no part. Repeated rows count once. Scores tie by smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def integers(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return usable.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v")).distinct()
 
 
-def _scan(queries: np.ndarray, numbers: np.ndarray, shift: int, keep: int):
-    """Task over approximations: what may be among the best ``keep`` classes of each query."""
+def _scan(queries: np.ndarray, numbers: np.ndarray, keeps: list[int], shift: int):
+    """Task over approximations: what may be among the best ``keeps`` classes of each query."""
     q = queries.astype(np.float64)
     width = float((1 << shift) - 1)
     gap = width * np.abs(q).sum(axis=1)
@@ -72,7 +73,7 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, shift: int, keep: int):
                     dots = (q[:, :width_q] @ part.T) * float(1 << shift)
                     own = ids[pick[at : at + 8192]]
                     for k in range(len(q)):
-                        old_ids, old = found[k]
+                        (old_ids, old), keep = found[k], keeps[k]
                         floor = np.partition(old, -keep)[-keep] - gap[k] if len(old) >= keep else -np.inf
                         new = np.nonzero(dots[k] >= floor)[0]
                         if len(new):
@@ -93,10 +94,10 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, shift: int, keep: int):
 
 def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vector_col="embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (over vec_id) holds, against all rows."""
-    spark, keep = table.sparkSession, k + 1
+    spark = table.sparkSession
     rows = stage(integers(table, id_col, vector_col), "vector-rows")
     first = Window.partitionBy("v").orderBy("vec_id")
-    ranked = rows.select("*", F.row_number().over(first).alias("r")).where(F.col("r") <= keep)
+    ranked = rows.select("*", F.row_number().over(first).alias("r")).where(F.col("r") <= k + 1)
     classes = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
     most = classes.agg(F.max(F.array_max(F.transform("v", lambda c: F.greatest(c, -c - 1))))).first()[0]
@@ -104,8 +105,12 @@ def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vecto
     cell = F.transform("v", lambda c: F.lpad(F.hex(F.shiftright(c, shift).bitwiseAND(F.lit(255))), 2, "0"))
     cells = stage(classes.select("class", F.unhex(F.array_join(cell, "")).alias("cells")), "vector-cells")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    wanted = stage(queries.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "vector-queries")
-    parts = wanted.count() // block + 1
+    # a query's list has room for all rows of its own id
+    own_rows = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    keeps = queries.join(own_rows, "query_id").groupBy("v").agg((F.max("n") + k).cast("int").alias("keep"))
+    wanted = stage(keeps.withColumn("query", F.monotonically_increasing_id()), "vector-queries")
+    n, most_kept = wanted.agg(F.count(F.lit(1)), F.max("keep")).first()
+    parts = n // block + 1
     bounds = None
     for part in range(parts):
         own = wanted.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()
@@ -113,28 +118,29 @@ def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vecto
             continue
         longest = max(len(r.v) for r in own)
         matrix = np.array([r.v + [0] * (longest - len(r.v)) for r in own], np.int64).reshape(len(own), longest)
-        scanned = cells.mapInArrow(_scan(matrix, np.array([r.query for r in own]), shift, keep), "query long, class long, low long, high long")
+        scanned = cells.mapInArrow(_scan(matrix, np.array([r.query for r in own]), [r.keep for r in own], shift), "query long, class long, low long, high long")
         bounds = scanned if bounds is None else bounds.union(scanned)
     if bounds is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bounds = stage(bounds, "vector-bounds")
+    bounds = stage(bounds.join(wanted.select("query", "keep"), "query"), "vector-bounds")
     by_low = Window.partitionBy("query").orderBy(F.desc("low"), "class")
-    floor = bounds.select("query", "low", F.row_number().over(by_low).alias("r")).where(F.col("r") <= keep)
-    floor = floor.groupBy("query").agg(F.when(F.count("*") == keep, F.min("low")).alias("floor"))
+    # the literal lets map tasks trim their rows first
+    floor = bounds.select("query", "keep", "low", F.row_number().over(by_low).alias("r")).where((F.col("r") <= most_kept) & (F.col("r") <= F.col("keep")))
+    floor = floor.groupBy("query").agg(F.when(F.count("*") == F.max("keep"), F.min("low")).alias("floor"))
     open_ = bounds.join(floor, "query").where("floor is null or high >= floor")
     order = Window.partitionBy("query").orderBy(F.desc("high"), "class")
-    ordered = stage(open_.select("query", "class", "high", F.row_number().over(order).alias("r")), "vector-open")
+    ordered = stage(open_.select("query", "keep", "class", "high", F.row_number().over(order).alias("r")), "vector-open")
 
     def exact(these: DataFrame) -> DataFrame:
-        read = these.join(classes.select("class", F.col("v").alias("cv"), "ids"), "class").join(wanted, "query")
-        return read.select("query", "class", "ids", product("v", "cv").alias("score"))
+        read = these.join(classes.select("class", F.col("v").alias("cv"), "ids"), "class").join(wanted.drop("keep"), "query")
+        return read.select("query", "keep", "class", "ids", product("v", "cv").alias("score"))
 
-    near = stage(exact(ordered.where(F.col("r") <= keep)), "vector-near")
+    near = stage(exact(ordered.where(F.col("r") <= F.col("keep"))), "vector-near")
     worst = near.groupBy("query").agg(F.min("score").alias("worst"))
-    far = ordered.where(F.col("r") > keep).join(worst, "query").where("high >= worst")
-    scored = near.union(exact(far)).select("query", "score", F.explode("ids").alias("vec_id"))
+    far = ordered.where(F.col("r") > F.col("keep")).join(worst, "query").where("high >= worst")
+    scored = near.union(exact(far)).select("query", "keep", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    lists = scored.select("*", F.row_number().over(best).alias("r")).where(F.col("r") <= keep)
+    lists = scored.select("*", F.row_number().over(best).alias("r")).where((F.col("r") <= most_kept) & (F.col("r") <= F.col("keep")))
     answers = queries.join(wanted, "v").join(lists, "query").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.select("query_id", F.row_number().over(final).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -210,6 +210,21 @@ def test_vector_fixture(spark):
     assert vectors.top(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_vectors_of_one_id_leave_room_for_others(spark):
+    """Query ids with several vectors of their own, and one shared with a query that has a single row."""
+    rnd = random.Random(7)
+    base = [rnd.gauss(0, 0.1) for _ in range(8)]
+    rows = [(i, [rnd.gauss(0, 0.1) for _ in range(8)]) for i in range(1, 60) if i % 10]
+    rows += [(100, [x * f for x in base]) for f in range(5, 20)] + [(200, [x * 9 for x in base]), (200, [-x for x in base]), (300, [x * 9 for x in base])]
+    usable = sorted({(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in rows})
+    want = []
+    for q in (100, 200, 300):
+        scores = sorted((-int(np.dot(v, c)), j) for i, v in usable if i == q for j, c in usable if j != q)[:10]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vectors.top(table, F.col("vec_id") % 100 == 0).collect())) == want
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div>%s<aside>More</aside><form><input>Find</form>
 <section id="comments"><p>Nice post</p></section><footer>&copy; x</footer></body></html>"""
