@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, vectors
+from citeframe.llm import alignment, content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, vectors
 
 QUERIES = {}
 ORACLES = {}
@@ -154,3 +154,13 @@ def op10(spark, sf):
     return rows.join(classes, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op13_token_alignment")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    first, second = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    return alignment.align(docs, first, second, payload=["doc_id"])
