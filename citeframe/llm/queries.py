@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import alignment, content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, vectors
+from citeframe.llm import alignment, content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, variants, vectors
 
 QUERIES = {}
 ORACLES = {}
@@ -164,3 +164,8 @@ def op13(spark, sf):
     docs = table(spark, sf, "documents")
     first, second = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
     return alignment.align(docs, first, second, payload=["doc_id"])
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf):
+    return variants.variants(variants.word_counts(table(spark, sf, "documents"), change=variants.misspelt))
