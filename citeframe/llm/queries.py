@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import alignment, content, decontaminate, mixing, personal, quality, secrets, sharding, simhash, substrings, variants, vectors
+from citeframe.llm import alignment, content, decontaminate, languages, mixing, personal, quality, secrets, sharding, simhash, substrings, variants, vectors
 
 QUERIES = {}
 ORACLES = {}
@@ -156,6 +156,14 @@ def op10(spark, sf):
     )
 
 
+@query("op12_language_id")
+def op12(spark, sf):
+    docs = table(spark, sf, "documents")
+    field = languages.train(docs)
+    found = docs.select("doc_id", languages.held_out("doc_id").alias("held_out"), languages.language(field, docs["text"]).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 TOKENIZERS = "/opt/tokenizers"
 
 
