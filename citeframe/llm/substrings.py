@@ -1,19 +1,22 @@
 """Repeated spans of words by a compacted de Bruijn graph over sampled k-mers.
 
 A window is 35 consecutive words; one that also starts anywhere else is repeated. The graph's nodes are 8-word
-k-mers, sampled so that every window holds one that its own words determine: the smallest hash among its 28
-k-mers. Between two sampled k-mers of a text runs an edge whose label is the words it spans. A node is plain when
-it occurs at least twice and all its occurrences have the same edge in and the same edge out; a path of plain nodes
-does not branch, so all its occurrences read the same words from the k-mer before it to the k-mer after it.
-
-1. Every text gives its sampled k-mers with a hash of the words from the k-mer before to the k-mer after.
-2. One aggregate over nodes counts them and tells plain ones; a join hands that to the occurrences.
-3. Windows with an unrepeated smallest k-mer are not repeated. Windows whose k-mers are all plain lie on one
-   compacted path and are repeated. What is left, near branches and ends of paths, is verified by source
-   coordinates: 128-bit hashes of the whole window, counted over all texts.
+k-mers, sampled so that every window holds one that its own words determine: the first of the smallest hash among
+its 28 k-mers. Neighbouring windows with the same sampled k-mer are a run, and a run's span is all words of its
+windows. A node is plain when it occurs at least twice and all its occurrences have the same span around it: its
+path does not branch there, so the paths through it are one.
+
+1. Every text gives its nodes, the hash of the span of each and how many windows it stands for.
+2. One aggregate over nodes counts them and tells plain ones; a join hands that to the occurrences. Windows of
+   nodes that occur once are not repeated; those of plain nodes are, along the whole path.
+3. At branches the spans are verified: all windows of a span that occurs twice with its node are repeated.
+4. Only the windows of spans that occur once with a repeated node are left. Their texts are read again, and they
+   are verified one by one by 128-bit hashes, counted with those of one source of each other span of the node.
+5. Texts that lose words are read once more for what is kept; the rest was settled in step 1.
 
 Nodes are joined and counted, never gathered; a passage in a third of all texts is a hot key of a join with a unique
-side, which Spark splits. Texts meet their nodes by a key of their content, so equal rows need no identity.
+side, which Spark splits. Texts meet their runs by a key of their content, so equal rows need no identity, and a
+Bloom filter of the keys leaves out the other texts before they are shuffled.
 
 Defined cases: null texts count as empty. Texts of fewer than 35 words keep all. Repeated rows repeat each other's
 windows. Null ids are rows like any other; an empty table gives an empty result. Extra columns are left out by name.
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeframe.operators.bloom import bloom_of
 from citeframe.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +43,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW = 35
 KMER = 8
 SPAN = WINDOW - KMER + 1
-UNIQUE, REPEATED, PLAIN = 0, 1, 2
+REPEATED, OPEN, WITNESS = 1, 2, 3
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BATCH_WORDS = 300_000
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -89,33 +93,35 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _slide(x: np.ndarray, best) -> np.ndarray:
-    """Smallest or largest of ``SPAN`` neighbours, by doubling."""
-    width = 1
-    while width * 2 <= SPAN:
-        x = best(x[:-width], x[width:])
-        width *= 2
-    rest = SPAN - width
-    return best(x[: len(x) - rest], x[rest:])
-
+def _first_least(kmers: np.ndarray) -> np.ndarray:
+    """Where the first smallest of each ``SPAN`` neighbours is, by doubling."""
+    best, at, width = kmers, np.arange(len(kmers)), 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        later = best[step:] < best[:-step]
+        best, at = np.where(later, best[step:], best[:-step]), np.where(later, at[step:], at[:-step])
+        width += step
+    return at
 
-def sample(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """K-mers and windows of texts laid end to end.
 
-    Returns the k-mer hashes, the smallest one of each window (0 where a window leaves its text), and the places of
-    the sampled k-mers.
-    """
+def runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Runs of windows of texts laid end to end: their sampled k-mer and span by hash, first window, number, text."""
     rolling = Rolling(hashes, _ODD[0])
     kmers = rolling.fixed(KMER)
-    least = _slide(kmers, np.minimum)
-    inside = np.zeros(len(hashes) + 1, np.int8)
+    place = _first_least(kmers)
+    inside = np.zeros(len(hashes) + 1, np.int64)
     long = ends - starts >= WINDOW
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - WINDOW + 1, -1)
-    least[np.cumsum(inside)[: len(least)] == 0] = 0
-    pad = np.zeros(SPAN - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), np.maximum)
-    return rolling, kmers, least, np.nonzero(most[: len(kmers)] == kmers)[0]
+    windows = np.nonzero(np.cumsum(inside)[: len(place)])[0]
+    place = place[windows]
+    begin = np.nonzero(np.append(True, place[1:] != place[:-1]))[0] if len(place) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(place)))
+    first, node = windows[begin], place[begin]
+    shape = ((node - first) * WINDOW + size).astype(np.uint64)
+    other = Rolling(_mix(hashes ^ np.uint64(_ODD[1])), _ODD[1])
+    span = _mix(other.spans(first, first + size - 1 + WINDOW) ^ _mix(shape + np.uint64(1)))
+    return kmers[node], span, first, size, np.searchsorted(ends, first, side="right")
 
 
 def _groups(texts: pa.Array):
@@ -137,35 +143,33 @@ def _laid(group):
     return word_hashes([w for words in group for w in words]), ends - lengths, ends
 
 
-NODES = T.StructType([T.StructField("node", T.ArrayType(T.LongType())), T.StructField("edges", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
+NODES = T.StructType(
+    [T.StructField("n_words", T.LongType()), T.StructField("whole", T.BinaryType())]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("node", "span")] + [T.StructField("size", T.ArrayType(T.ByteType()))]
+)
+_NODES = pa.struct([("n_words", pa.int64()), ("whole", pa.binary()), ("node", pa.list_(pa.int64())), ("span", pa.list_(pa.int64())), ("size", pa.list_(pa.int8()))])
 
 
 @F.arrow_udf(NODES)
 def nodes(texts: pa.Array) -> pa.Array:
-    """Sampled k-mers of each text, the hash of the edges around each, and its place."""
+    """Number of words and hash of all words of each text, and its runs: k-mer, span, number of windows."""
     out = []
     for group in _groups(texts):
         hashes, starts, ends = _laid(group)
-        if len(hashes) < WINDOW:
-            out += [{"node": [], "edges": [], "at": []}] * len(group)
-            continue
-        rolling, kmers, _, places = sample(hashes, starts, ends)
-        of = np.searchsorted(ends, places, side="right")
-        first = np.append(True, of[1:] != of[:-1])[: len(of)]
-        last = np.append(of[1:] != of[:-1], True)[: len(of)]
-        begin = np.where(first, starts[of], np.roll(places, 1)) if len(of) else places
-        finish = np.where(last, ends[of], np.roll(places, -1) + KMER) if len(of) else places
-        shape = ((places - begin) * 4 + first * 2 + last).astype(np.uint64)
-        edges = _mix(rolling.spans(begin, finish) ^ _mix(shape + np.uint64(1)))
-        cuts = np.searchsorted(of, np.arange(len(group) + 1))
-        for k in range(len(group)):
+        if len(hashes) >= WINDOW:
+            node, span, _, size, of = runs(hashes, starts, ends)
+            cuts = np.searchsorted(of, np.arange(len(group) + 1))
+        else:
+            node = span = size = np.zeros(0, np.int64)
+            cuts = np.zeros(len(group) + 1, np.int64)
+        for k, words in enumerate(group):
             own = slice(cuts[k], cuts[k + 1])
-            out.append({"node": kmers[places[own]].view(np.int64), "edges": edges[own].view(np.int64), "at": (places[own] - starts[k]).astype(np.int32)})
-    kind = pa.struct([("node", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
-    return pa.array(out, kind)
+            whole = hashlib.sha256(b" ".join(words)).digest()
+            out.append({"n_words": len(words), "whole": whole, "node": node[own].view(np.int64), "span": span[own].view(np.int64), "size": size[own].astype(np.int8)})
+    return pa.array(out, _NODES)
 
 
-def _runs(windows: np.ndarray, n: int) -> np.ndarray:
+def _covered(windows: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` words are covered by windows that start at the given places."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, windows, 1)
@@ -178,95 +182,97 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(edge == 1)[0].astype(np.int32), np.nonzero(edge == -1)[0].astype(np.int32)
 
 
-def _kept(words: list[bytes], mask: np.ndarray) -> str:
-    kept = words if not mask.any() else [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
-    return hashlib.sha256(b" ".join(kept)).hexdigest()
+def _windows(size: list[int], marks: list[int], kinds) -> np.ndarray:
+    """First words of the windows of the runs that are marked (4 times the run, plus the kind) as one of ``kinds``."""
+    ends = np.cumsum(np.array(size, np.int64))
+    marks = np.array(marks, np.int64)
+    own = np.unique(marks[np.isin(marks % 4, kinds)] // 4)
+    found = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
+    np.add.at(found, ends[own] - np.array(size, np.int64)[own], 1)
+    np.add.at(found, ends[own], -1)
+    return np.nonzero(np.cumsum(found))[0]
 
 
-JUDGED = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends", "at")]
-    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("h1", "h2")]
-)
-_JUDGED = pa.struct(
-    [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    + [(c, pa.list_(pa.int32())) for c in ("starts", "ends", "at")] + [(c, pa.list_(pa.int64())) for c in ("h1", "h2")]
-)
+HASHED = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
 
 
-def _judge(words: list[bytes], flags: list[int] | None) -> dict:
-    """Removed ranges on compacted paths, and the windows that are still to be verified."""
-    n = len(words)
-    removed, hashes, doubtful = np.zeros(n, bool), None, np.zeros(0, np.int64)
-    if flags and n >= WINDOW:
-        hashes = word_hashes(words)
-        _, kmers, least, places = sample(hashes, np.array([0]), np.array([n]))
-        flags = np.array(flags, np.int64)
-        state = np.zeros(len(kmers), np.int8)
-        state[flags // 4] = flags % 4
-        known = np.unique(kmers[flags // 4])
-        by_hash = np.zeros(len(known), np.int8)
-        by_hash[np.searchsorted(known, kmers[flags // 4])] = flags % 4
-        slot = np.minimum(np.searchsorted(known, least), len(known) - 1)
-        window_state = np.where(known[slot] == least, by_hash[slot], UNIQUE)
-        branching = np.zeros(len(kmers) + 1, np.int64)
-        branching[places + 1] = state[places] != PLAIN
-        branching = np.cumsum(branching)
-        on_path = branching[SPAN:] - branching[:-SPAN] == 0
-        removed = _runs(np.nonzero((window_state == PLAIN) & on_path)[0], n)
-        doubtful = np.nonzero((window_state != UNIQUE) & ~((window_state == PLAIN) & on_path))[0]
-        # windows inside what is removed already change nothing for their own text but count for others
-    starts, ends = _ranges(removed)
-    out = {"n_words": n, "n_removed": None, "kept_sha256": None, "starts": starts, "ends": ends, "at": doubtful.astype(np.int32), "h1": [], "h2": []}
-    if len(doubtful):
-        out["h1"], out["h2"] = (
-            Rolling(h, base).spans(doubtful, doubtful + WINDOW).view(np.int64) for h, base in ((hashes, _ODD[0]), (_mix(hashes ^ np.uint64(_ODD[1])), _ODD[1]))
-        )
-    else:
-        out["n_removed"], out["kept_sha256"] = int(removed.sum()), _kept(words, removed)
-    return out
-
-
-@F.arrow_udf(JUDGED)
-def judge(texts: pa.Array, flags: pa.Array) -> pa.Array:
-    return pa.array([_judge(split(t.as_py()), f.as_py()) for t, f in zip(texts, flags, strict=True)], _JUDGED)
+@F.arrow_udf(HASHED)
+def window_hashes(texts: pa.Array, sizes: pa.Array, marks: pa.Array) -> pa.Array:
+    """128-bit hashes of the windows of open runs and of witnesses."""
+    out = []
+    for text, size, mark in zip(texts, sizes, marks, strict=True):
+        at = _windows(size.as_py(), mark.as_py(), (OPEN, WITNESS))
+        hashes = word_hashes(split(text.as_py()))
+        h1, h2 = (Rolling(h, base).spans(at, at + WINDOW).view(np.int64) for h, base in ((hashes, _ODD[0]), (_mix(hashes ^ np.uint64(_ODD[1])), _ODD[1])))
+        out.append([{"at": a, "h1": x, "h2": y} for a, x, y in zip(at.tolist(), h1.tolist(), h2.tolist(), strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])))
 
 
 DONE = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends")])
 
 
 @F.arrow_udf(DONE)
-def finish(texts: pa.Array, starts: pa.Array, ends: pa.Array, verified: pa.Array) -> pa.Array:
-    """Final ranges of texts with verified windows."""
+def finish(texts: pa.Array, sizes: pa.Array, marks: pa.Array, verified: pa.Array) -> pa.Array:
+    """Ranges of words covered by windows of repeated runs and by verified windows, and the hash of the other words."""
     out = []
-    for t, s, e, v in zip(texts, starts, ends, verified, strict=True):
-        words = split(t.as_py())
-        removed = _runs(np.array(v.as_py() or [], np.int64), len(words))
-        for a, b in zip(s.as_py(), e.as_py(), strict=True):
-            removed[a:b] = True
+    for text, size, mark, more in zip(texts, sizes, marks, verified, strict=True):
+        words = split(text.as_py())
+        windows = _windows(size.as_py(), mark.as_py(), (REPEATED,))
+        removed = _covered(np.concatenate([windows, np.array(more.as_py() or [], np.int64)]), len(words))
         first, last = _ranges(removed)
-        out.append({"n_removed": int(removed.sum()), "kept_sha256": _kept(words, removed), "starts": first, "ends": last})
+        kept = [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
+        out.append({"n_removed": int(removed.sum()), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest(), "starts": first, "ends": last})
     kind = pa.struct([("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     return pa.array(out, kind)
 
 
+def marked_runs(sampled: DataFrame) -> DataFrame:
+    """(row_id, mark): runs of repeated windows, open runs, and witnesses, as 4 times the run's number plus the kind."""
+    occurrences = sampled.select("row_id", F.posexplode(F.arrays_zip("node", "span")).alias("run", "o")).select("row_id", "run", "o.*")
+    graph = occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
+    graph = graph.where("n > 1").select("node", (F.col("low") == F.col("high")).alias("plain"))
+    met = occurrences.join(graph, "node").select(
+        "row_id", "run", F.when(~F.col("plain"), F.col("node")).alias("node"), F.when(~F.col("plain"), F.col("span")).alias("span")
+    )
+    met = stage(met, "substring-met")
+    branches = met.where("node is not null")
+    spans = branches.groupBy("node", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "run")).alias("first"))
+    spans = stage(spans, "substring-spans")
+    mixed = spans.where("n = 1").select("node").distinct()
+    sources = spans.join(mixed, "node").select("first.row_id", (F.col("first.run") * 4 + F.when(F.col("n") == 1, OPEN).otherwise(WITNESS)).alias("mark"))
+    twice = branches.join(spans.where("n > 1").select("node", "span"), ["node", "span"])
+    repeated = met.where("node is null").select("row_id", "run").union(twice.select("row_id", "run"))
+    return repeated.select("row_id", (F.col("run") * 4 + REPEATED).alias("mark")).union(sources)
+
+
+def _texts_of(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One text for each ``key`` of ``keyed``, which has each key once; other texts are left out before the shuffle."""
+    wanted = texts.where(bloom_of(keyed, ["key"]).may_hold("key"))
+    return wanted.groupBy("key").agg(F.any_value("text").alias("text")).join(keyed, "key")
+
+
 def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, starts, ends): word ranges covered by repeated windows, for each row."""
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     key = F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")
-    sampled = stage(texts.select(key, nodes("text").alias("s")).select("key", "s.*"), "substring-nodes")
-    occurrences = sampled.select("key", F.explode(F.arrays_zip("node", "edges", "at")).alias("o")).select("key", "o.*")
-    graph = occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edges").alias("low"), F.max("edges").alias("high"))
-    graph = graph.where("n > 1").select("node", F.when(F.col("low") == F.col("high"), PLAIN).otherwise(REPEATED).alias("state"))
-    marked = occurrences.select("key", "node", "at").join(graph, "node")
-    flags = marked.groupBy("key").agg(F.collect_set(F.col("at") * 4 + F.col("state")).alias("flags"))
-    judged = texts.withColumn("key", key).join(flags, "key", "left").select("id", "key", "text", judge("text", "flags").alias("j"))
-    judged = stage(judged.select("id", "key", F.when(F.col("j.n_removed").isNull(), F.col("text")).alias("text"), "j.*"), "substring-judged")
-    final = ["id", "n_words", "n_removed", "kept_sha256", "starts", "ends"]
-    ready, pending = judged.where("n_removed is not null").select(final), judged.where("n_removed is null")
-    windows = pending.select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("key", "w.*")
+    texts = rows.select(key, "text")
+    sampled = rows.select("id", key, nodes("text").alias("s")).select("id", "key", "s.*", F.monotonically_increasing_id().alias("row_id"))
+    sampled = stage(sampled, "substring-nodes")
+    marks = marked_runs(sampled).groupBy("row_id").agg(F.collect_set("mark").alias("marks"))
+    marks = marks.join(sampled.select("row_id", "key", "size"), "row_id")
+    # rows with the same text have the same runs
+    keyed = marks.groupBy("key").agg(F.any_value("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks"))
+    keyed = stage(keyed, "substring-keys")
+    open_keys = keyed.where(F.exists("marks", lambda m: m % 4 != REPEATED))
+    windows = _texts_of(texts, open_keys).select("key", F.explode(window_hashes("text", "size", "marks")).alias("w")).select("key", "w.*")
+    windows = stage(windows, "substring-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     verified = windows.join(twice, ["h1", "h2"]).groupBy("key").agg(F.collect_set("at").alias("verified"))
-    done = pending.select("id", "key", "text", "n_words", "starts", "ends").join(verified, "key", "left")
-    done = done.select("id", "n_words", finish("text", "starts", "ends", "verified").alias("d")).select("id", "n_words", "d.*")
-    return ready.union(done.select(final))
+    losing = keyed.join(verified, "key", "left").where(F.col("verified").isNotNull() | F.exists("marks", lambda m: m % 4 == REPEATED))
+    losing = stage(losing, "substring-losing")
+    done = stage(_texts_of(texts, losing).select("key", finish("text", "size", "marks", "verified").alias("d")).select("key", "d.*"), "substring-done")
+    none = F.array().cast("array<int>")
+    return sampled.select("id", "key", "n_words", "whole").join(done, "key", "left").select(
+        "id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("kept_sha256", F.lower(F.hex("whole"))).alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
+    )
