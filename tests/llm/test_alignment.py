@@ -17,6 +17,8 @@ ODD = [
     None, "", " ", "  ", "\n", "\n\n x", " x", "x ", "a\r\nb", "a;\r\n b", "x\t \t y", "a b  c\n  d", "<|endoftext|> it's <s> </s> <unk> <0x0A>",
     "naïve ▁ piece", "日本語の文章です。これは長い", "👩‍👩‍👧 zz\x00y", "ﬁ ① é   x　y   z\x1c \x1f w", "don't  can't 's", "a" * 3000,
     "x" + "​" * 40, "ไทยภาษา ภาษาไทย", "1234567890 3.14 $%^&*", "tab\tsep\tvalues\n\tindented\n",
+    "a,b.c;d:e!f?g(h)[i]{j}<k>l=m+n-o_p*q/r\\s|t~u^v`w@x#y$z%a&b\"c'd", "foo(bar), 'baz'\" (qux) x(), y[0].z a², ½. Ⅷ; e\u0301, é!",
+    "don't we'll I'm they've it'd you're 'tis s's", " ,x", "(", "x\t,y", "x \n,y\n.z", "中文,中文。中文 (中)",
 ]
 
 
