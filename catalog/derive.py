@@ -1,7 +1,7 @@
 """Input tables for the registered queries, derived from the given tables.
 
-The given pages have no meta tags, sections, JSON-LD, tables or controls, so those parts are added
-by arithmetic on the row ids. The same SQL text builds the inputs on both engines; what is
+The given pages have no meta tags, sections, JSON-LD, tables or controls, so those parts are added to their whole
+html by arithmetic on the row ids, and short pages stand beside them. The same SQL text builds the inputs on both engines; what is
 compared is the work done on them. Every derived table has rows in proportion to its base table.
 """
 
@@ -32,13 +32,14 @@ def path_sql(j: str, k: str) -> str:
     return _PATH.replace("{j}", j).replace("{k}", k)
 
 
-SITE_PAGES = f"""
-SELECT page_id, k, j, site_id, base_url, base_url || path AS url,
+# Every given page keeps its whole html; head elements, links and sections are added around its body.
+_GIVEN_SITE_PAGES = f"""
+SELECT page_id, k, j, 'site-' || CAST(k AS STRING) AS site_id, 'https://s' || CAST(k AS STRING) || '.example.com' AS base_url,
+  'https://s' || CAST(k AS STRING) || '.example.com' || path AS url,
   CAST(CASE WHEN page_id % 31 = 30 THEN 404 WHEN page_id % 37 = 36 THEN 0 ELSE 200 END AS INT) AS status,
   'text/html' AS content_type,
   CASE WHEN page_id % 31 = 30 THEN 'HTTP 404' END AS fetch_error,
-  '<!DOCTYPE html><html><head>'
-  || CASE page_id % 9 WHEN 4 THEN '' WHEN 5 THEN '<title>Short</title>' ELSE '<title>' || raw_title || '</title>' END
+  split_part(html, '</head>', 1)
   || CASE WHEN page_id % 4 = 1 THEN '' ELSE '<meta name="description" content="Guide ' || CAST(page_id AS STRING)
        || ' for workflow automation teams">' END
   || CASE WHEN page_id % 10 = 7 THEN '<meta name="robots" content="NOINDEX, follow">' ELSE '' END
@@ -58,23 +59,42 @@ SELECT page_id, k, j, site_id, base_url, base_url || path AS url,
        WHEN 0 THEN '<nav><ul><li><a href="/">Home</a></li><li><a href="/pricing">Pricing plans</a></li><li><a href="/docs/start">Documentation guide</a></li><li><a href="https://other.example.org/x">partner</a></li></ul></nav>'
        WHEN 1 THEN '<p>See <a href="/security/">here</a> and <a href="../faq#top">more</a>, mail <a href="mailto:a@b.c">us</a></p>'
        ELSE '<div><h2>Compare options</h2><p>Read how teams evaluate <a href="/compare/alpha">alternatives</a>.</p><a href="/integrations" aria-label="Integrations list"></a><a href="/use-case/sales"></a></div>' END
-  || '<main>'
-  || CASE WHEN page_id % 26 = 19 THEN '<p>no heading</p>' WHEN page_id % 13 IN (6, 9, 11) THEN '<h1>Tiny</h1><p>short text</p>' ELSE article END
+  || given || '<main>'
   || CASE WHEN (j + 2 * k) % 4 <> 0 THEN '<section><h2>What does it cost?</h2><p>Plans start at $19 per seat, 99.5% uptime, 30 days trial. Updated Jan 2024 v2.1 with SOC 2, SSO and encryption. We reduce setup time.</p></section><section><h3>How to deploy the workflow</h3><ol><li>setup quickstart api guide</li></ol></section>' ELSE '' END
   || CASE WHEN page_id % 8 = 3 THEN '<h1>Second heading</h1>' ELSE '' END
   || CASE WHEN page_id % 4 = 2 THEN '<table><tr><td>Us vs Rival criteria</td></tr></table>' ELSE '' END
   || CASE WHEN page_id % 5 = 1 THEN '<button>Go</button><input type="text"><button aria-label="Menu"></button>' ELSE '' END
-  || '</main></body></html>' AS html
+  || '</main></body></html>' AS html, given
 FROM (
-  SELECT page_id, k, j, 'site-' || CAST(k AS STRING) AS site_id,
-    'https://s' || CAST(k AS STRING) || '.example.com' AS base_url, path, raw_title, article
-  FROM (
-    SELECT page_id, k, j, {path_sql('j', 'k')} AS path, raw_title, article
-    FROM (
-      SELECT page_id, CAST(floor(page_id / 12) AS BIGINT) AS k, page_id % 12 AS j,
-        split_part(split_part(html, '<title>', 2), '</title>', 1) AS raw_title,
-        split_part(split_part(html, '<article>', 2), '</article>', 1) AS article
-      FROM pages) AS x) AS y) AS z
+  SELECT page_id, k, j, {path_sql('j', 'k')} AS path, html, split_part(split_part(html, '<body>', 2), '</body>', 1) AS given
+  FROM (SELECT page_id, CAST(floor(page_id / 12) AS BIGINT) AS k, page_id % 12 AS j, html FROM pages) AS x) AS y
+"""
+
+# Short pages beside the given ones: no or short titles, no heading, scripts only, data without what it names.
+_NOTE_PAGES = """
+SELECT page_id, k, j, site_id, base_url, base_url || path || 'note-' || CAST(-page_id AS STRING) AS url, CAST(200 AS INT) AS status,
+  'text/html' AS content_type, CAST(NULL AS STRING) AS fetch_error,
+  '<!DOCTYPE html><html><head>'
+  || CASE page_id % 4 WHEN 0 THEN '' WHEN -1 THEN '<title>Short</title>' ELSE '<title>One of several short notes</title>' END
+  || CASE WHEN page_id % 6 = -2 THEN '<script>a(1)</script><script>a(2)</script><script>a(3)</script><script>a(4)</script><script>a(5)</script>' ELSE '' END
+  || CASE WHEN path = '/faq/' AND page_id % 5 <> -3 THEN '<script type="application/ld+json">{"@type":"FAQPage","mainEntity":[{"name":"Is it short?","acceptedAnswer":{"text":"It is a short text"}}]}</script>' ELSE '' END
+  || '</head><body>' || CASE WHEN page_id % 5 = 0 THEN '' ELSE '<h1>Note</h1>' END || '<p>short text</p></body></html>' AS html, '' AS given
+FROM (
+  SELECT -1 - page_id AS page_id, CAST(floor(page_id / 12) AS BIGINT) AS k, CAST(12 AS BIGINT) AS j,
+    'site-' || CAST(CAST(floor(page_id / 12) AS BIGINT) AS STRING) AS site_id,
+    'https://s' || CAST(CAST(floor(page_id / 12) AS BIGINT) AS STRING) || '.example.com' AS base_url,
+    CASE CAST(floor(page_id / 3) AS BIGINT) % 7 WHEN 0 THEN '/pricing/' WHEN 1 THEN '/security/' WHEN 2 THEN '/docs/' WHEN 3 THEN '/faq/'
+      WHEN 4 THEN '/compare/' WHEN 5 THEN '/integrations/' ELSE '/use-case/' END AS path
+  FROM pages WHERE page_id % 3 = 1) AS x
+"""
+
+SITE_PAGES = f"{_GIVEN_SITE_PAGES} UNION ALL {_NOTE_PAGES}"
+
+# the given pages, each with a link to the first page of its host
+HOST_LINKED = """
+SELECT p.url, f.first_url, p.html || '<p>Start at <a href="' || f.first_url || '">the first page</a></p>' AS html
+FROM (SELECT url, html, split_part(url, '/', 3) AS host FROM pages) AS p
+JOIN (SELECT split_part(url, '/', 3) AS host, min(url) AS first_url FROM pages GROUP BY split_part(url, '/', 3)) AS f ON f.host = p.host
 """
 
 _SITE_BASE = """SELECT page_id, CAST(floor(page_id / 12) AS BIGINT) AS k FROM pages WHERE page_id % 12 = 0"""
@@ -139,9 +159,10 @@ BRANDS, FACTS, COMPETITORS = _brands(_SITE_BASE), _facts(_SITE_BASE), _competito
 
 # ---- language pairs for the metadata checks ---------------------------------------------
 
+# Every given page keeps its whole html; tags, data and links are added before its title and behind its body.
 META_PAGES = """
-SELECT page_id, g, site_id, base_url, url, canonical,
-  '<html><head><title>' || CASE WHEN page_id % 19 = 7 THEN '' ELSE 'Page title ' || CAST(page_id AS STRING) END || '</title>'
+SELECT page_id, g, site_id, base_url, url,
+  CASE WHEN page_id % 19 = 7 THEN replace(split_part(html, '<title>', 1), '<head>', '<head><title> </title>') ELSE split_part(html, '<title>', 1) END
   || CASE WHEN page_id % 7 = 2 THEN '' ELSE '<meta name="description" content="About page ' || CAST(page_id AS STRING) || '">' END
   || CASE WHEN canonical = '' THEN '' ELSE '<link rel="canonical" href="' || canonical || '">' END
   || '<meta property="og:title" content="t"><meta property="og:description" content="d">'
@@ -164,36 +185,45 @@ SELECT page_id, g, site_id, base_url, url, canonical,
          || CASE WHEN tail = '' THEN ',{"@type":"SoftwareApplication","softwareVersion":"' || CASE WHEN g % 3 = 1 THEN '0.9' ELSE '1.0' END || '","url":"' || canonical || '"}' ELSE '' END
          || CASE WHEN n = 3 OR page_id % 22 = 13 THEN ',{"@type":"FAQPage","url":"' || canonical || '","mainEntity":[{"name":"Is it shown?"},{"name":"Hidden question ' || CAST(page_id AS STRING) || '?"}]}' ELSE '' END
          || ']</script>' END
-  || '</head><body>'
-  || CASE page_id % 23 WHEN 14 THEN '' WHEN 15 THEN '<h1>a</h1><h1>b</h1>' ELSE '<h1>Heading</h1>' END
+  || '<title>' || split_part(html, '<title>', 2)
+  || CASE page_id % 23 WHEN 15 THEN '<h1>b</h1>' ELSE '' END
   || '<p>Is it shown? 中文内容。' || CASE WHEN page_id % 3 = 1 THEN 'This is a long English sentence with many words. 后面。' ELSE '' END || '</p>'
   || CASE WHEN page_id % 4 = 3 THEN '<p>Use fast API tools here now.</p>' ELSE '' END
-  || '<a href="' || base_url || '/' || lang || '/p1/">one</a><a href="/' || lang || '/gone' || CAST(page_id % 5 AS STRING) || '/">two</a><a href="/logo.svg">logo</a>'
-  || '</body></html>' AS html
+  || '<a href="' || base_url || '/' || lang || '/p1/">one</a><a href="/' || lang || '/gone' || CAST(page_id % 5 AS STRING) || '/">two</a><a href="/logo.svg">logo</a>' AS html
 FROM (
-  SELECT page_id, g, n, lang, tail, site_id, base_url, base_url || '/' || lang || '/' || tail AS url,
+  SELECT page_id, g, n, lang, tail, site_id, base_url, html, base_url || '/' || lang || '/' || tail AS url,
     CASE WHEN page_id % 24 = 16 THEN '' WHEN page_id % 25 = 17 THEN base_url || '/' || lang || '/'
       WHEN page_id % 26 = 18 THEN '/' || lang || '/' || tail ELSE base_url || '/' || lang || '/' || tail END AS canonical
   FROM (
-    SELECT page_id, g, n, lang, 'lang-' || CAST(g AS STRING) AS site_id, 'https://l' || CAST(g AS STRING) || '.example.com' AS base_url,
+    SELECT page_id, g, n, lang, html, 'lang-' || CAST(g AS STRING) AS site_id, 'https://l' || CAST(g AS STRING) || '.example.com' AS base_url,
       CASE WHEN n = 0 THEN '' WHEN n = 3 THEN 'faq/' ELSE 'p' || CAST(n AS STRING) || '/' END AS tail
     FROM (
-      SELECT page_id, CAST(floor(page_id / 10) AS BIGINT) AS g, CAST(floor((page_id % 10) / 2) AS BIGINT) AS n,
+      SELECT page_id, html, CAST(floor(page_id / 10) AS BIGINT) AS g, CAST(floor((page_id % 10) / 2) AS BIGINT) AS n,
         CASE WHEN page_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang
-      FROM pages) AS x) AS y) AS z"""
+      FROM pages) AS x) AS y) AS z
+UNION ALL
+SELECT -1 - page_id AS page_id, CAST(floor(page_id / 10) AS BIGINT) AS g, 'lang-' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) AS site_id,
+  'https://l' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) || '.example.com' AS base_url,
+  'https://l' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) || '.example.com/en/note' || CAST(page_id AS STRING) || '/' AS url,
+  '<html><head><title>Note</title><link rel="canonical" href="https://l' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) || '.example.com/en/note'
+  || CAST(page_id AS STRING) || '/"></head><body><p>no heading</p></body></html>' AS html
+FROM pages WHERE page_id % 23 = 14"""
+
+_META_CANONICAL = f"""SELECT page_id, g, site_id, base_url, url,
+  split_part(split_part(html, '<link rel="canonical" href="', 2), '"', 1) AS canonical FROM ({META_PAGES}) AS m"""
 
 META_SITES = """
 SELECT DISTINCT 'lang-' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) AS site_id,
   'https://l' || CAST(CAST(floor(page_id / 10) AS BIGINT) AS STRING) || '.example.com' AS base_url FROM pages"""
 
 META_LOCS = f"""
-SELECT site_id, canonical AS loc FROM ({META_PAGES}) AS p WHERE canonical <> '' AND page_id % 27 <> 19
+SELECT site_id, canonical AS loc FROM ({_META_CANONICAL}) AS p WHERE canonical <> '' AND page_id % 27 <> 19
 UNION ALL
-SELECT site_id, base_url || '/' AS loc FROM ({META_PAGES}) AS p WHERE page_id % 10 = 0 AND g % 4 <> 2
+SELECT site_id, base_url || '/' AS loc FROM ({_META_CANONICAL}) AS p WHERE page_id % 10 = 0 AND g % 4 <> 2
 UNION ALL
-SELECT site_id, 'https://stray.example.org/' || CAST(page_id AS STRING) AS loc FROM ({META_PAGES}) AS p WHERE page_id % 28 = 20
+SELECT site_id, 'https://stray.example.org/' || CAST(page_id AS STRING) AS loc FROM ({_META_CANONICAL}) AS p WHERE page_id % 28 = 20
 UNION ALL
-SELECT site_id, url AS loc FROM ({META_PAGES}) AS p WHERE page_id % 29 = 21"""
+SELECT site_id, url AS loc FROM ({_META_CANONICAL}) AS p WHERE page_id % 29 = 21"""
 
 # ---- answers ----------------------------------------------------------------------------
 

@@ -110,14 +110,6 @@ def u13(spark, sf):
     return D.table(spark, sf, "events").select("event_id", N.rank_score(F.nullif(F.col("event_id") % 7, F.lit(0))).alias("score"))
 
 
-def encoded(x: str) -> str:
-    out = f"url_encode({x})"
-    for code, char in (("%2F", "/"), ("%2C", ","), ("%3A", ":"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "\'\'"), ("%28", "("),
-                       ("%29", ")"), ("%2A", "*"), ("%2B", "+"), ("%3B", ";"), ("%3D", "="), ("%40", "@"), ("%7E", "~"), ("%25", "%")):
-        out = f"replace({out}, '{code}', '{char}')"
-    return out
-
-
 GIVEN_LINKS = f"""links AS (
   SELECT page_id, url, href, anchor, ord - 1 AS ord FROM (
     SELECT page_id, {GIVEN_URL} AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
@@ -125,7 +117,7 @@ GIVEN_LINKS = f"""links AS (
       generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS ord FROM pages) AS x),
 hrefs AS (SELECT page_id, url, ord, {P.unescape('href')} AS href, {P.unescape('anchor')} AS anchor FROM links),
 resolved AS (
-  SELECT *, lower(regexp_extract(url, '^[a-z]+://[^/]+')) || CASE WHEN regexp_matches(href, '^/+$') THEN '/' ELSE regexp_replace({encoded('href')}, '/+$', '') END AS dst
+  SELECT *, lower(regexp_extract(url, '^[a-z]+://[^/]+')) || CASE WHEN regexp_matches(href, '^/+$') THEN '/' ELSE regexp_replace({P.encoded('href')}, '/+$', '') END AS dst
   FROM hrefs)"""
 
 

@@ -213,9 +213,11 @@ def j1(spark, sf):
 
 
 @query("j1_incoming_given", f"""WITH {GIVEN_LINKS} SELECT DISTINCT r.url AS src_url, r.dst AS dst_url FROM resolved AS r
-    JOIN (SELECT DISTINCT {GIVEN_URL} AS url FROM pages) AS p ON p.url = r.dst WHERE r.url <> r.dst""")
+    JOIN (SELECT DISTINCT {GIVEN_URL} AS url FROM pages) AS p ON p.url = r.dst WHERE r.url <> r.dst
+    UNION SELECT src, dst FROM (SELECT {GIVEN_URL} AS src, {GIVEN_URL.replace('url', 'first_url')} AS dst FROM ({D.HOST_LINKED}) AS h) AS x WHERE src <> dst""")
 def j1_given(spark, sf):
-    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(given_pages(spark, sf))))
+    pages = as_pages_raw(D.derived(spark, sf, D.HOST_LINKED).select("url", "html"))
+    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(pages)))
     return links.incoming_links(links.with_links(df)).select("src_url", "dst_url").distinct()
 
 

@@ -72,6 +72,14 @@ def page_type(path: str, title: str, h1: str, base: str = "'/'") -> str:
     return out + " ELSE 'other' END"
 
 
+def encoded(x: str) -> str:
+    out = f"url_encode({x})"
+    for code, char in (("%2F", "/"), ("%2C", ","), ("%3A", ":"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "\'\'"), ("%28", "("),
+                       ("%29", ")"), ("%2A", "*"), ("%2B", "+"), ("%3B", ";"), ("%3D", "="), ("%40", "@"), ("%7E", "~"), ("%25", "%")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return out
+
+
 def crawl_rank(path: str) -> str:
     found = {t: w for t, w, _ in C.PAGE_TYPE_WORDS}
     out = f"CASE WHEN {path} = '/' THEN 0"
@@ -84,7 +92,7 @@ def crawl_rank(path: str) -> str:
 
 _PARTS = f"""
 parts AS (
-  SELECT page_id, k, j, site_id, base_url, url, status, fetch_error, html,
+  SELECT page_id, k, j, site_id, base_url, url, status, fetch_error, html, given,
     substring(url, length(base_url) + 1) AS path,
     trim({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
     regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS meta_description,
@@ -176,9 +184,11 @@ signals AS (
 types AS (SELECT page_id, list(DISTINCT lower(kind)) AS kinds FROM kinds GROUP BY page_id),
 hidden AS (SELECT page_id, list(DISTINCT field) AS fields FROM signals WHERE NOT visible GROUP BY page_id)"""
 
-# Links of the derived sites, written out from the way the pages were built
+# Links of the derived sites: the added ones as they were built, then those of the given html
 _HEAD = cut("first_heading", 120)
 _CTX = clean(f"heading || ' ' || CASE WHEN contains(lower(block), lower(heading)) THEN block ELSE {cut('(heading || chr(32) || block)', 180)} END", 200)
+_ANCHORS = "regexp_extract_all(given, '<a href=\"([^\"]*)\">([^<]*)</a>', {n})"
+_SHOWN = squash(unescape("shown"))
 _LINKS = f"""
 raw_links AS (
   SELECT page_id, site_id, url, base_url, first_heading, u.ord AS ord, u.dst AS dst, u.anchor AS anchor, u.block AS block, u.heading AS own FROM (
@@ -194,13 +204,21 @@ raw_links AS (
         {{'ord': 0, 'dst': '/compare/alpha', 'anchor': 'alternatives', 'block': 'Read how teams evaluate alternatives.', 'heading': 'Compare options'}},
         {{'ord': 1, 'dst': '/integrations', 'anchor': 'Integrations list', 'block': NULL, 'heading': 'Compare options'}},
         {{'ord': 2, 'dst': '/use-case/sales', 'anchor': 'sales', 'block': NULL, 'heading': 'Compare options'}}] END) AS u
-    FROM parts) AS x),
+    FROM parts WHERE page_id >= 0) AS x
+  UNION ALL
+  SELECT page_id, site_id, url, base_url, first_heading, 3 + ord,
+    CASE WHEN regexp_matches(href, '^/+$') THEN '/' ELSE regexp_replace({encoded(unescape('href'))}, '/+$', '') END, {cut(_SHOWN, 120)}, {cut(_SHOWN, 180)}, '' FROM (
+    SELECT *, unnest({_ANCHORS.format(n=1)}) AS href, unnest({_ANCHORS.format(n=2)}) AS shown,
+      generate_subscripts({_ANCHORS.format(n=1)}, 1) AS ord FROM parts) AS y),
 headed AS (SELECT *, CASE WHEN own <> '' THEN own ELSE {_HEAD} END AS heading FROM raw_links),
 ctx AS (SELECT *, CASE WHEN block IS NULL THEN heading ELSE {_CTX} END AS whole FROM headed),
-links AS (
+every_link AS (
   SELECT page_id, site_id, url AS src_url, ord AS link_ord, base_url || dst AS dst_url, anchor AS anchor_text,
     CASE WHEN length(whole) >= 32 THEN whole WHEN heading <> '' THEN {clean("heading || ' ' || anchor", 160)} ELSE anchor END AS source_context
-  FROM ctx)"""
+  FROM ctx),
+links AS (
+  SELECT * EXCLUDE (n) FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id, dst_url, lower(anchor_text), lower(source_context) ORDER BY link_ord) AS n FROM every_link) AS x WHERE n = 1)"""
 
 
 def with_sites(*extra: str) -> str:
