@@ -24,6 +24,8 @@ empty table gives an empty result. Extra columns are kept apart in a struct, wha
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 import sys
@@ -47,7 +49,7 @@ SPACE = "▁"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 OWN = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 _SIZES = OWN[:4]
-_PARTS, _LINKS, _BLOCK, _LONG_TEXT, _LARGE, _PENDING = 500_000, 4_000_000, 1 << 16, 1 << 20, 1 << 16, 1 << 21
+_PARTS, _LINKS, _ENCODED, _BLOCK, _LONG_TEXT, _LARGE, _PENDING = 300_000, 2_500_000, 1 << 13, 1 << 16, 1 << 20, 1 << 16, 1 << 21
 
 
 def byte_symbols() -> dict[str, int]:
@@ -202,8 +204,8 @@ class Aligned(dict):
         if len(self) + len(missing) > _PARTS or self.links.size > _LINKS:
             self._empty()
             missing = list(parts)
-        for at in range(0, len(missing), _BLOCK):
-            self._add(missing[at : at + _BLOCK])
+        for at in range(0, len(missing), _ENCODED):
+            self._add(missing[at : at + _ENCODED])
 
     def _add(self, parts: list[str]):
         a, b = self.pair.encode(parts)
@@ -328,6 +330,19 @@ def encode_rows(batches, first: bytes, second: bytes, with_groups: bool):
             columns.append(pa.array([r[3] for r in rows], pa.string()))
             names.append("groups")
         yield pa.RecordBatch.from_arrays(columns, names=names)
+    aligned._empty()
+    del aligned
+    _give_back()
+
+
+def _give_back():
+    """Return freed memory to the system, as a worker may idle on during later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _finished(row, nothing):
