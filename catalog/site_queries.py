@@ -16,6 +16,7 @@ from citeframe.operators import jsonld as J
 from citeframe.operators import rules as R
 from citeframe.operators.extract import extract_pages
 from citeframe.operators.rule_catalog import RULES, RuleBook
+from citeframe.plans.audit import run_audit
 from citeframe.sources.site_files import as_pages_raw, parse_sitemaps, reachable_sitemaps
 
 # ---- page features over the given pages ---------------------------------------------------
@@ -431,6 +432,52 @@ def e5(spark, sf):
     return df.select("site_id", "brief_id", "title", "audience", covered.alias("covered"), joined("claims"), "angle", "call_to_action")
 
 
+# ---- the whole audit, from stored files on -------------------------------------------------------
+
+_AUDIT_PAGES = 10
+_RANK = P.crawl_rank("lower(regexp_extract(url, '^[a-z]+://[^/]+([^?]*)', 1))")
+_AUDITED = f"""all_pages AS ({D.SITE_PAGES}), {_LOCS}, {_REACHED},
+targets AS (SELECT * FROM (SELECT site_id, url, {_RANK} AS r, row_number() OVER (PARTITION BY site_id ORDER BY {_RANK}, url) AS n FROM found) AS x WHERE n <= {_AUDIT_PAGES}),
+planned AS (SELECT t.*, a.base_url, contains(coalesce(a.html, ''), 'http-equiv="refresh"') AND a.status = 200 AND a.url <> a.base_url || '/pricing' AS shim
+  FROM targets AS t LEFT JOIN all_pages AS a USING (site_id, url)),
+every AS (SELECT site_id, url, r, url AS src FROM planned WHERE NOT coalesce(shim, FALSE)
+  UNION ALL SELECT site_id, base_url || '/pricing', r, url FROM planned WHERE shim),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY r, src) AS n FROM every) AS x WHERE n = 1),
+pages_d AS (
+  SELECT coalesce(a.page_id, -1000000 - row_number() OVER (ORDER BY c.site_id, c.url)) AS page_id, a.k, coalesce(a.j, 12) AS j, c.site_id, s.base_url, c.url,
+    coalesce(a.status, 404) AS status, CASE WHEN a.page_id IS NULL THEN 'No stored page' ELSE a.fetch_error END AS fetch_error,
+    coalesce(a.html, '') AS html, coalesce(a.given, '') AS given
+  FROM chosen AS c JOIN ({D.SITES}) AS s USING (site_id) LEFT JOIN all_pages AS a USING (site_id, url))"""
+
+
+def _whole_audit(sql: str) -> str:
+    """The audit's SQL over the pages that the plan leaves, with the planned urls as those found."""
+    sql = sql.replace(f"pages_d AS ({D.SITE_PAGES})", _AUDITED)
+    return sql.replace("coalesce(n_pages, 0) = 0", "NOT EXISTS (SELECT 1 FROM targets AS d WHERE d.site_id = sf.site_id)")
+
+
+def _audit(spark, sf, part: str):
+    def build():
+        out = run_audit(
+            D.site_pages(spark, sf), sites(spark, sf), D.derived(spark, sf, D.ROBOTS), brands(spark, sf), competitors(spark, sf),
+            _sitemaps(spark, sf), max_pages=_AUDIT_PAGES,
+        )
+        return out[part]
+
+    return shared(spark, sf, f"run-audit-{part}", build)
+
+
+@query("run_audit_issues", _whole_audit(P.with_issues()) + f" SELECT issue_id, {_RULE_COLUMNS} FROM issues")
+def audit_issues_of_files(spark, sf):
+    return _audit(spark, sf, "issues").select("issue_id", "site_id", "rule_id", "severity", "title", "category", "bucket", "page_url")
+
+
+@query("run_audit_summary", _whole_audit(P.with_issues(_SCORES)) + " " + _SUMMARY.format(
+    vavr="CAST(NULL AS INTEGER) AS vavr", discovered="(SELECT count(*) FROM targets AS d WHERE d.site_id = s.site_id)"))
+def audit_summary_of_files(spark, sf):
+    return _audit(spark, sf, "audit_summary").withColumn("missing_page_types", joined("missing_page_types"))
+
+
 @query("v5_index_candidates", P.with_sites("features") + """ SELECT site_id, url, page_type, page_type NOT IN ('home', 'product') AS is_key_candidate
     FROM f WHERE page_type <> 'other' AND fetch_error IS NULL AND status BETWEEN 200 AND 399""")
 def v5(spark, sf):

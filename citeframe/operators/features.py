@@ -151,16 +151,19 @@ def evidence_signals(pages: DataFrame) -> DataFrame:
     return source.select("site_id", "url", F.explode("evidence_signals").alias("s")).select("site_id", "url", "s.*")
 
 
-def page_features(pages_raw: DataFrame, sites: DataFrame | None = None, keep_site_text: bool = False) -> DataFrame:
-    """P1 to P7 in one narrow plan: parts, type, flags, JSON-LD records, schema signals, evidence, links.
-
-    The only shuffle is the optional join with ``sites``.
-    """
-    from citeframe.operators.extract import extract_pages
+def features_of(parts: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """P2 to P7 over extracted parts, in one narrow plan; the only shuffle is the optional join with ``sites``."""
     from citeframe.operators.jsonld import with_jsonld, with_schema_signals
     from citeframe.operators.links import with_links
 
-    df = with_site(extract_pages(pages_raw, keep_site_text), sites)
+    df = with_site(parts, sites)
     df = derive_page_flags(classify_page_type(df, sites))
     df = with_evidence(with_schema_signals(with_jsonld(df)))
     return with_links(df).drop("base_url")
+
+
+def page_features(pages_raw: DataFrame, sites: DataFrame | None = None, keep_site_text: bool = False) -> DataFrame:
+    """Parts, type, flags, JSON-LD records, schema signals, evidence, links."""
+    from citeframe.operators.extract import extract_pages
+
+    return features_of(extract_pages(pages_raw, keep_site_text), sites)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,44 @@ def test_redirects_meet_all_stored_pages_and_only_text_is_admitted(spark):
     sites = spark.createDataFrame([("a", BASE)], schema("sites"))
     got = fetched_pages(raw, raw.where(~F.col("url").endswith("/en")).select("site_id", "url"), sites).collect()
     assert {(r.url.removeprefix(BASE), r.status) for r in got} == {("/en", 200), ("/down", 0), ("/gone", 404)}
+
+
+def test_whole_audit_parses_once_and_never_shuffles_html(spark, sf_dir, monkeypatch):
+    """Every staged plan of an audit: one page scan in all, and no exchange with the html column."""
+    from catalog import derive as D
+    from catalog.registry import sites
+    from citeframe.plans import audit as A
+
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(A, "stage", noted)
+    out = A.run_audit(D.site_pages(spark, sf_dir), sites(spark, sf_dir), D.derived(spark, sf_dir, D.ROBOTS), sitemaps_raw=D.derived(spark, sf_dir, D.SITEMAPS))
+    assert sum("MapInArrow" in p for p in plans) == 1
+    scan = next(p for p in plans if "MapInArrow" in p)
+    assert "Exchange" not in scan and not any(re.search(r"\bhtml#\d", p) for p in plans if p is not scan)
+    assert out["pages"].where("status = 404").count() > 0
+
+
+@pytest.mark.parametrize("max_pages", [1, 3, None])
+def test_whole_audit_plans_resolves_and_reports_absent_pages(spark, max_pages):
+    """The smaller side decides how wide rows meet the plan; the rows are the same either way."""
+    shim = "<html><head><meta http-equiv='refresh' content='0; url=/pricing/now'></head><body></body></html>"
+    rows = [page(f"/blog/{k}", words(9)) for k in range(30)] + [page("/", words(9)), page("/pricing/now", words(9))]
+    rows += [("a", BASE + "/docs", 200, "text/html", None, shim)]
+    locs = "".join(f"<url><loc>{BASE}{p}</loc></url>" for p in ["/", "/docs", "/gone/docs", *(f"/blog/{k}" for k in range(30))])
+    sites = spark.createDataFrame([("a", BASE)], schema("sites"))
+    sitemaps = spark.createDataFrame([("a", BASE + "/sitemap.xml", f"<urlset>{locs}</urlset>")], schema("sitemaps_raw"))
+    out = run_audit(spark.createDataFrame(rows, schema("pages_raw")), sites, sitemaps_raw=sitemaps, max_pages=max_pages)
+    got = {(r.url.removeprefix(BASE), r.status, r.page_rank) for r in out["pages"].select("url", "status", "page_rank").collect()}
+    want = {"/"} if max_pages == 1 else {"/", "/pricing/now", "/gone/docs"} if max_pages == 3 else {"/", "/pricing/now", "/gone/docs"} | {f"/blog/{k}" for k in range(30)}
+    assert {u for u, _, _ in got} == want and len(got) == len(want)
+    if max_pages != 1:
+        ranks = {u: r for u, _, r in got}
+        assert ranks["/pricing/now"] == ranks["/gone/docs"]  # the shim's place, not the one of its own path
+        assert {u: s for u, s, _ in got}["/gone/docs"] == 404
+        assert out["issues"].where(F.col("rule_id") == "R05").select("page_url").collect()[0][0] == BASE + "/gone/docs"
+    assert out["audit_summary"].first().discovered_urls == (max_pages or 33)
