@@ -179,15 +179,15 @@ def heading_anchors(docs: DataFrame) -> DataFrame:
         F.transform(heads, lambda h: F.struct(heading_slug(h["heading"]).alias("slug"), h["line_no"].alias("line_no"))),
         lambda h: F.length(h["slug"]) > 0,
     )
-    # sorted by (slug, line), an entry's number is its distance from the first entry of its slug
+    # sorted by (slug, line), entries of a slug are a run; each run counts from 0, so the whole walk is linear
     df = docs.withColumn("_sorted", F.array_sort(slugs)).withColumn("_slugs", F.transform("_sorted", lambda h: h["slug"]))
+    begins = F.transform("_slugs", lambda s, i: F.when((i == 0) | (F.get("_slugs", i - 1) != s), i))
+    df = df.withColumn("_begins", F.filter(begins, lambda i: i.isNotNull())).withColumn("_count", F.size("_slugs"))
+    runs = F.transform("_begins", lambda at, k: F.sequence(F.lit(0), F.coalesce(F.get("_begins", k + 1), F.col("_count")) - at - 1))
+    df = df.withColumn("_no", F.flatten(runs))
     numbered = F.transform(
-        "_sorted",
-        lambda h, i: F.struct(
-            h["line_no"].alias("line_no"),
-            h["slug"].alias("slug"),
-            (i + 1 - F.array_position(F.col("_slugs"), h["slug"])).alias("repeat_no"),
-        ),
+        F.arrays_zip("_sorted", "_no"),
+        lambda h: F.struct(h["_sorted"]["line_no"].alias("line_no"), h["_sorted"]["slug"].alias("slug"), h["_no"].alias("repeat_no")),
     )
     df = df.select(*keys, F.explode(numbered).alias("h")).select(*keys, "h.*")
     suffix = F.when(F.col("repeat_no") == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("repeat_no").cast("string")))
