@@ -45,20 +45,64 @@ SIBLINGS = {
 _COMMENT_AT_ONCE, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 
 
+class OpenElements:
+    """Stack of open elements that knows where the elements of each name are, so no end tag walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[dict] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, el: dict) -> None:
+        self.places.setdefault(el["tag"], []).append(len(self.stack))
+        self.stack.append(el)
+
+    def pop(self) -> dict:
+        el = self.stack.pop()
+        self.places[el["tag"]].pop()
+        return el
+
+    def nearest(self, names) -> int:
+        """Place of the innermost open element with one of the names, -1 without any."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+
+# Links show at most 180 characters of a text; this many are kept of a longer one.
+SHOWN = 400
+
+
+def enough(text: str, start: int, end: int) -> str:
+    """As much of a slice as holds ``SHOWN`` characters once tags and repeated white space are out."""
+    size = 4096
+    while end - start > size:
+        part = text[start : start + size]
+        if part.rfind("<") > part.rfind(">"):
+            part = part[: part.rfind("<")]
+        if len(" ".join(re.sub("<[^>]+>", " ", part).split())) > SHOWN:
+            return part
+        size *= 16
+    return text[start:end]
+
+
 class PageScan(HTMLParser):
-    """Collects the parts of one page in a single walk over its tags."""
+    """Collects the parts of one page in a single walk over its tags, in time that grows with its length.
+
+    Texts of headings, links and blocks are noted as places in the body text and cut out once at the end.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.body: list[str] = []  # visible text pieces, in order
-        self.open: list[dict] = []  # open elements
+        self.length = 0  # of the visible text so far
+        self.elements = OpenElements()
+        self.open = self.elements.stack
+        self.headed = 0  # open elements, from the outermost on, that hold a heading
         self.marks = {"unseen": 0, "off_page": 0}
         self.in_body = False
         self.title: list[str] | None = None
         self.title_done = False
         self.title_text = ""
         self.site: list[str] = []
-        self.headings: list[tuple[str, str]] = []
+        self.headings: list[tuple[str, int, int]] = []
         self.links: list[dict] = []
         self.count = dict.fromkeys(["lists", "tables", "scripts", "controls", "aria", "h1"], 0)
         self.script: list[str] | None = None
@@ -67,7 +111,7 @@ class PageScan(HTMLParser):
         self.alternates: list[dict] = []
         self.canonical: str | None = None
         self.refresh: str | None = None
-        self.root = {"tag": "body", "first": None, "direct": None}
+        self.root = {"tag": "body", "first": None, "direct": None, "outer": None}
 
     def updatepos(self, i, j):
         """Line numbers are never asked for, so they are not counted."""
@@ -101,7 +145,10 @@ class PageScan(HTMLParser):
         self._tally(tag, at)
         if tag in VOID:
             return
-        el = {"tag": tag, "start": len(self.body), "first": None, "direct": None, "link": None}
+        el = {"tag": tag, "start": self.length, "first": None, "direct": None, "link": None}
+        if tag in CONTAINERS:
+            outer = self.elements.nearest(CONTAINERS)
+            el["outer"] = self.open[outer] if outer >= 0 else self.root
         if tag == "a" and "href" in at:
             el["link"] = self._start_link(at)
         if tag == "title" and not self.title_done:
@@ -110,17 +157,18 @@ class PageScan(HTMLParser):
             self.script = [] if at.get("type") == "application/ld+json" else None
         self.marks["unseen"] += tag in UNSEEN
         self.marks["off_page"] += tag in OFF_PAGE_TEXT
-        self.open.append(el)
+        self.elements.push(el)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                while len(self.open) > depth:
-                    self._end(self.open.pop())
-                return
+        self._pop_to(self.elements.nearest((tag,)))
+
+    def _pop_to(self, depth):
+        while depth >= 0 and len(self.open) > depth:
+            self._end(self.elements.pop())
+            self.headed = min(self.headed, len(self.open))
 
     def handle_data(self, data):
         if self.title is not None:
@@ -134,55 +182,49 @@ class PageScan(HTMLParser):
             self.in_body, inside_head = True, False
         if not inside_head and not self.marks["unseen"]:
             self.body.append(data)
+            self.length += len(data)
 
     # ---- parts ----
     def _close(self, tags, stop=frozenset()):
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth]["tag"]
-            if name in tags:
-                while len(self.open) > depth:
-                    self._end(self.open.pop())
-                return
-            if name in stop:
-                return
+        depth = self.elements.nearest(tags)
+        if depth > self.elements.nearest(stop):
+            self._pop_to(depth)
 
     def _end(self, el):
         tag = el["tag"]
         if tag in ("h1", "h2", "h3"):
-            self._end_heading(tag, self._text(el))
+            self._end_heading(tag, el["start"])
         elif tag == "title":
             self.title_text, self.title_done, self.title = "".join(self.title or []), True, None
         elif tag == "script" and self.script is not None:
             self.jsonld.append("".join(self.script))
             self.script = None
         if el["link"] is not None:
-            el["link"]["text"] = self._text(el)
+            el["link"]["text"] = (el["start"], self.length)
         if "waiting" in el:
-            block = self._text(el)
             for link in el["waiting"]:
-                link["block"] = block
+                link["block"] = (el["start"], self.length)
         self.marks["unseen"] -= tag in UNSEEN
         self.marks["off_page"] -= tag in OFF_PAGE_TEXT
 
-    def _text(self, el) -> str:
-        return "".join(self.body[el["start"] :])
-
-    def _end_heading(self, tag, text):
-        self.headings.append((tag, text))
+    def _end_heading(self, tag, start):
+        place = (start, self.length)
+        self.headings.append((tag, *place))
         parent = self.open[-1] if self.open else self.root
         if parent["direct"] is None:
-            parent["direct"] = text
-        for holder in [self.root, *self.open]:
+            parent["direct"] = place
+        for holder in [self.root, *self.open[self.headed :]]:
             if holder["first"] is None:
-                holder["first"] = text
+                holder["first"] = place
+        self.headed = len(self.open)
 
     def _start_link(self, at):
-        link = {"href": at["href"], "aria": at.get("aria-label"), "title": at.get("title"), "block": None, "text": ""}
-        link["around"] = [e for e in reversed(self.open) if e["tag"] in CONTAINERS] + [self.root]
-        for el in reversed(self.open):
-            if el["tag"] in BLOCKS:
-                el.setdefault("waiting", []).append(link)
-                break
+        link = {"href": at["href"], "aria": at.get("aria-label"), "title": at.get("title"), "block": None, "text": (0, 0)}
+        holder = self.elements.nearest(CONTAINERS)
+        link["around"] = self.open[holder] if holder >= 0 else self.root
+        block = self.elements.nearest(BLOCKS)
+        if block >= 0:
+            self.open[block].setdefault("waiting", []).append(link)
         self.links.append(link)
         return link
 
@@ -208,20 +250,21 @@ class PageScan(HTMLParser):
 
     # ---- result ----
     def parts(self) -> dict:
-        while self.open:
-            self._end(self.open.pop())
+        self._pop_to(0)
         if self.title is not None:
             self.title_text = "".join(self.title)
-        first_h1 = next((t for tag, t in self.headings if tag == "h1"), "")
+        self.text = "".join(self.body)
+        headings = [(tag, self.text[start:end].strip()) for tag, start, end in self.headings]
+        first_h1 = next((t for tag, t in headings if tag == "h1"), "")
         meta = {m["name"]: m["content"] for m in reversed(self.metas)}
         nodes, depths, invalid = jsonld_nodes(self.jsonld)
         robots = " ".join(meta[k] for k in ("robots", "googlebot") if meta.get(k))
         return {
             "title": self.title_text.strip(),
             "meta_description": meta.get("description", "").strip(),
-            "h1": first_h1.strip(),
+            "h1": first_h1,
             "h1_count": self.count["h1"],
-            "headings": [t.strip() for tag, t in self.headings if tag != "h1" and t.strip()],
+            "headings": [t for tag, t in headings if tag != "h1" and t],
             "lists": self.count["lists"],
             "tables": self.count["tables"],
             "scripts": self.count["scripts"],
@@ -230,7 +273,7 @@ class PageScan(HTMLParser):
             "aria_controls": self.count["aria"],
             "controls": self.count["controls"],
             "refresh": self.refresh,
-            "body_text": " ".join("".join(self.body).split()),
+            "body_text": " ".join(self.text.split()),
             "site_text": " ".join("".join(self.site).split()),
             "raw_links": [self._link(link) for link in self.links],
             "jsonld_nodes": nodes,
@@ -240,12 +283,25 @@ class PageScan(HTMLParser):
             "alternates": self.alternates,
         }
 
-    @staticmethod
-    def _link(link) -> dict:
+    def _said(self, place) -> str | None:
+        return None if place is None else enough(self.text, *place)
+
+    def _heading(self, holder) -> str | None:
         """Nearest container with a heading wins: its own child heading first, then any inside it."""
-        seen = (el[kind] for el in link["around"] for kind in ("direct", "first"))
-        heading = next((text for text in seen if text and text.strip()), None)
-        return {k: link[k] for k in ("href", "text", "aria", "title", "block")} | {"heading": heading}
+        passed, found = [], None
+        while holder is not None and "heading" not in holder:
+            passed.append(holder)
+            texts = (self._said(holder[kind]) for kind in ("direct", "first"))
+            found = next((t for t in texts if t and t.strip()), None)
+            holder = None if found else holder["outer"]
+        found = found or (holder["heading"] if holder is not None else None)
+        for seen in passed:
+            seen["heading"] = found
+        return found
+
+    def _link(self, link) -> dict:
+        out = {k: link[k] for k in ("href", "aria", "title")}
+        return out | {"text": self._said(link["text"]), "block": self._said(link["block"]), "heading": self._heading(link["around"])}
 
 
 def _no_constant(name):

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import re
+import time
+
+import pytest
 from citeframe.operators.extract import scan_page
 
 
@@ -54,3 +58,35 @@ def test_broken_pages_are_scanned_whole():
     assert "unclosed" not in scan_page("<p>a</p><!-- unclosed <p>b")["body_text"]
     for block in ("[" * 100_000, '{"a":"\\ud800x"}', "{"):
         scan_page(f'<script type="application/ld+json">{block}</script>')["body_text"].encode()
+
+
+HOSTILE = {
+    "unmatched end tags": ("<b>", "</i></i>"), "spans and blocks": ("<span>", "<div></div>"), "nested lists": ("<ul><li><a href=a>b</a>", ""),
+    "headings under spans": ("<span>", "<h2>x</h2>"), "open links": ("<a href=x>yy", ""), "paragraph below": ("<span>", "<p></p>"),
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    """Four times the tags take far less than sixteen times the seconds."""
+    first, then = HOSTILE[kind]
+
+    def seconds(n):
+        page, best = "<p><li>" + first * n + then * n, float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            scan_page(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(16_000) < 9 * seconds(4_000) + 0.2
+
+
+def test_long_texts_of_links_keep_what_is_shown():
+    """What is cut from a very long block would not have been shown."""
+    block = "<b> x</b>" * 3000 + " < y" * 3000 + "z>" * 5
+    whole = scan_page(f"<p>{block}<a href=q>l</a></p>")
+    link = whole["raw_links"][0]
+    clean = lambda t: " ".join(re.sub("<[^>]+>", " ", t).split())[:200]
+    text = re.sub("</?b>", "", block)
+    assert clean(link["block"]) == clean(text) and len(link["block"]) < len(text)
