@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -278,6 +279,50 @@ def test_comment_marks_do_not_cut_pages(mark):
     assert "gone" not in content.extract(hidden) and "gone" not in scan_page(hidden)["body_text"]
 
 
+STORY = "".join("<p>" + f"Real words of the story number {i} go on here. " * (3 + i % 4) + "</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("n", [3, 5, 12])
+def test_ratios_decide_inside_regions(monkeypatch, n):
+    """Lists of links leave an article, lists of text stay; without the threshold the links stay."""
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Further page {i}</a></li>" for i in range(n)) + "</ul>"
+    items = "<ul>" + "".join(f"<li>Item {i}</li>" for i in range(n)) + "</ul>"
+    page = PAGE % f"<article><h1>Head</h1>{STORY}{links}{STORY}{items}{STORY}</article>"
+    got = content.extract(page)
+    assert "Further" not in got and got.count("Item") == n and got.startswith("Head") and got.count("number 3") == 3 * 6
+    monkeypatch.setattr(content, "threshold", lambda values: 0.0)
+    assert content.extract(page).count("Further") == n
+
+
+@pytest.mark.parametrize("part", [
+    '<article class="comment">%s</article>', '<div class="comment-body">%s</div>', '<div id="comments">%s</div>', '<div class="comments-section">%s</div>',
+    '<div class="cookie-notice">%s</div>', '<div class="sponsored-content">%s</div>', '<div class="newsletter-signup">%s</div>',
+])
+def test_comments_and_notices_leave_articles(part):
+    assert "Own words" not in content.extract(PAGE % f"<article>{STORY}{part % ('Own words ' * 30)}{STORY}</article>")
+    beside = content.extract(PAGE % f"<article>{STORY}</article>{part % ('Own words ' * 30)}")
+    assert "Own words" not in beside and "Real words" in beside
+
+
+@pytest.mark.parametrize("name", ["social-history", "search-basics", "related-work", "login-flow"])
+def test_ordinary_classes_stay(name):
+    for page in (f'<div class="{name}">{STORY}</div>', f'<article><div class="{name}">{STORY}</div></article>'):
+        assert content.extract(PAGE % page).count("Real words") == sum(3 + i % 4 for i in range(6))
+
+
+@pytest.mark.parametrize("first,then", [("<b>", "</i></i>"), ("<span>", "<div></div>"), ("<ul><li>x", ""), ("<p><li>", "<span></div>")])
+def test_hostile_pages_take_linear_time(first, then):
+    def seconds(n):
+        best = float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            content.extract("<p>" + first * n + then * n)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(16_000) < 9 * seconds(4_000) + 0.2
+
+
 def test_main_text_query(spark, sf_dir):
     rows = queries.QUERIES["op6_main_text"](spark, sf_dir).collect()
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
