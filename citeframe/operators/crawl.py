@@ -10,6 +10,7 @@ from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
 from citeframe.operators.features import crawl_rank
+from citeframe.operators.ranks import ranked
 
 
 def _inside(url: Column, base: Column) -> Column:
@@ -61,11 +62,15 @@ def discover_urls(locs: DataFrame, sites: DataFrame, pages: DataFrame | None = N
 
 
 def plan_targets(urls: DataFrame, max_pages: int | None = None, include=(), exclude=()) -> DataFrame:
-    """Urls per site in order of crawl rank, then url; only the first ``max_pages`` where a limit is given."""
-    ranked = filter_patterns(urls, include, exclude).withColumn("crawl_rank", crawl_rank(F.col("url")))
+    """Urls per site in order of crawl rank, then url; only the first ``max_pages`` where a limit is given.
+
+    A limit trims each map task first; without one all urls are ranked by ranges, however large a site is.
+    """
+    known = filter_patterns(urls, include, exclude).withColumn("crawl_rank", crawl_rank(F.col("url")))
+    if max_pages is None:
+        return ranked(known, ["site_id"], [F.col("crawl_rank"), F.col("url")], "target_ord")
     w = Window.partitionBy("site_id").orderBy("crawl_rank", "url")
-    ranked = ranked.withColumn("target_ord", F.row_number().over(w))
-    return ranked if max_pages is None else ranked.filter(F.col("target_ord") <= max_pages)
+    return known.withColumn("target_ord", F.row_number().over(w)).filter(F.col("target_ord") <= max_pages)
 
 
 def refresh_target(page_url: Column, refresh: Column) -> Column:

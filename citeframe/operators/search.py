@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
 from citeframe.operators.crawl import key_pages
+from citeframe.operators.ranks import ranked
 from citeframe.operators.scores import first_per_site
 
 KEY = ["site_id", "source", "search_key"]
@@ -117,8 +118,8 @@ def key_page_coverage(pages: DataFrame, search_pages: DataFrame, source: str) ->
 
 def sort_coverage(coverage: DataFrame) -> DataFrame:
     """Coverage by impressions, largest first, then url; ``coverage_ord`` is the place within site and source."""
-    order = Window.partitionBy("site_id", "source").orderBy(F.desc("impressions"), "page_url")
-    return coverage.withColumn("coverage_ord", F.row_number().over(order)).orderBy("site_id", "source", "coverage_ord")
+    placed = ranked(coverage, ["site_id", "source"], [F.desc("impressions"), F.col("page_url")], "coverage_ord")
+    return placed.orderBy("site_id", "source", "coverage_ord")
 
 
 def no_evidence_findings(coverage: DataFrame) -> DataFrame:
