@@ -283,8 +283,12 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", li
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(id_col))
     narrow = rows.select(docs[lang_col].alias("lang"), h)
     ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= limit)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("last"))
-    texts = rows.select(docs[lang_col].alias("lang"), h, docs[text_col].alias("text")).join(last, "lang").where("h <= last")
+    # one hash for each language, so that other texts are left out where they are read
+    last = ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()
+    if not last:
+        return None
+    cut = F.create_map(*(F.lit(x) for r in last for x in (r["lang"], r["last"])))
+    texts = rows.select(docs[lang_col].alias("lang"), h, docs[text_col].alias("text")).where(F.col("h") <= cut[F.col("lang")])
     texts = texts.dropDuplicates(["lang", "h"]).select("lang", "h", "text")
     found = texts.mapInArrow(_runs, "lang string, key long, words string").toArrow().to_pylist()
     found.sort(key=lambda r: (r["lang"], r["key"], r["words"]))
@@ -337,9 +341,13 @@ def _groups(texts: list):
         yield group
 
 
-def predict(field: Field, texts: list, spans: bool = False):
-    """(language, score, spans) of each text; spans are (start, end, language) of runs of words, if asked for."""
-    chain, known, out, n = Chain(field), Known(field), [], len(field.languages)
+def predict(field: Field, texts: list, spans: bool = False, known: Known | None = None):
+    """(language, score, spans) of each text; spans are (start, end, language) of runs of words, if asked for.
+
+    ``known`` remembers words from one call to the next, within bounds.
+    """
+    known = Known(field) if known is None else known
+    chain, out, n = Chain(field), [], len(field.languages)
     for group in _groups(texts):
         known.forget()
         numbers, of, places, block, owners = [], [], [], [], []
@@ -404,9 +412,13 @@ def language(field: Field | None, text: Column, spans: bool = False) -> Column:
         return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.array().cast(T.ArrayType(SPAN)).alias("spans"))
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
 
+    held: list[Known] = []
+
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
-        rows = predict(field, texts.to_pylist(), spans)
+        if not held:
+            held.append(Known(field))
+        rows = predict(field, texts.to_pylist(), spans, held[0])
         return pa.array([{"lang": x, "score": s, "spans": [{"start": a, "end": b, "lang": y} for a, b, y in r]} for x, s, r in rows], kind)
 
     return found(text)
