@@ -100,7 +100,9 @@ def s5_rejects(spark, sf):
 def s5_csv(spark, sf):
     path = _folder(spark, "search-csv")
     raw = D.derived(spark, sf, _CSV).select(
-        F.col("position").alias(" Position"), F.col("page").alias("PAGE"), F.col("ctr").alias("CTR"), "clicks", F.col("impressions").alias("Impressions")
+        F.col("position").alias(" Position"), F.col("page").alias("PAGE"), F.col("ctr").alias("CTR"), "clicks", F.col("impressions").alias("Impressions"),
+        # a quoted field with line breaks, quotes and what looks like a record of its own
+        F.when(F.col("row_no") % 3 == 0, F.concat(F.lit('said "no",\n1,https://a.example.com,2,3,4\n'), F.col("page"))).alias("note"),
     )
     raw.write.csv(path, header=True, escape='"')
     good, _ = read_search_csv(spark, path, "all", "search-console")

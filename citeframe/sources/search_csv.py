@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeframe import constants as C
 from citeframe.functions import urls as U
 from citeframe.functions.numbers import csv_number
+from citeframe.sources.csv_splits import read_table
 
 
 def check_search_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,21 +29,16 @@ def check_search_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_search_csv(spark: SparkSession, path: str, site_id: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and rejects of an export: header in any order and case, quoted fields, doubled quotes, BOM.
+    """Rows and rejects of an export: header in any order and case, quoted fields and line breaks, doubled quotes, BOM.
 
-    ``row_no`` follows file position, which the last-page rule of the aggregation needs.
+    Files are split among tasks even where quoted fields hold line breaks. ``row_no`` follows position through all
+    files, which the last-page rule of the aggregation needs. A record whose quote is never closed is a reject.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True,
-                         ignoreTrailingWhiteSpace=True, enforceSchema=False)
-    by_name = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
-    missing = [c for c in C.SEARCH_COLUMNS if c not in by_name]
-    if missing:
-        raise ValueError(f"search export lacks the columns {', '.join(missing)}")
-    named = raw.select(
-        F.lit(site_id).alias("site_id"), F.lit(source).alias("source"), F.monotonically_increasing_id().alias("row_no"),
-        *[F.col(f"`{by_name[c]}`").alias(c) for c in C.SEARCH_COLUMNS],
-    )
-    return check_search_rows(named)
+    rows, unclosed = read_table(spark, path, C.SEARCH_COLUMNS)
+    own = [F.lit(site_id).alias("site_id"), F.lit(source).alias("source"), "row_no"]
+    good, bad = check_search_rows(rows.select(*own, *C.SEARCH_COLUMNS))
+    texts = [F.col("text").alias(c) if c == "page" else F.lit(None).cast("string").alias(c) for c in C.SEARCH_COLUMNS]
+    return good, bad.unionByName(unclosed.select(*own, *texts, F.lit("quote is never closed").alias("reason")))
 
 
 def comparable_pages(rows: DataFrame) -> DataFrame:
