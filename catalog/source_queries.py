@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from catalog import derive as D
 from catalog import sql_parts as P
 from catalog.answer_queries import _BASE, _scored
-from catalog.registry import features, issues, joined, query, sites
+from catalog.registry import ORACLES, features, issues, joined, query, sites
 from catalog.search_queries import _cover, _matched, _WITH
-from catalog.site_queries import _SCORES
+from catalog.site_queries import _audit_summary, _recs
 from citeframe.operators import scores
 from citeframe.operators.search import index_candidates
 from citeframe.session import shared_dir
 from citeframe.sources import answers as IMPORT
 from citeframe.sources import sinks
 from citeframe.sources.dimensions import validate
-from citeframe.sources.runs import list_runs
+from citeframe.sources.runs import list_runs, read_runs
 from citeframe.sources.search_csv import check_search_rows, read_search_csv
 from citeframe.sources.site_files import parse_robots
 
@@ -190,44 +190,111 @@ _MANIFEST = f"""SELECT 'run-' || CAST(conv_id AS STRING) AS run_id, CASE WHEN co
 _SHARE = f"""SELECT 'run-' || CAST(conv_id AS STRING) AS run_id, '{{"metrics":{{"overallScore":77,"vavr":' || CAST(conv_id % 50 AS STRING) || '}}}}' AS doc FROM ({_RUN}) AS r WHERE conv_id % 5 <> 1"""
 
 
-@query("s9_read_runs", f"""SELECT run_id, CASE WHEN conv_id % 2 = 0 THEN 'audit' ELSE 'eval' END AS kind, '2024-01-' || (10 + conv_id % 20) || 'T00:00:00Z' AS generated_at,
+@query("s9_list_runs", f"""SELECT run_id, CASE WHEN conv_id % 2 = 0 THEN 'audit' ELSE 'eval' END AS kind, '2024-01-' || (10 + conv_id % 20) || 'T00:00:00Z' AS generated_at,
     CASE WHEN conv_id % 3 = 0 THEN 'Shown' ELSE 'https://b.example.com' END AS site_label, CASE WHEN conv_id % 4 = 0 THEN conv_id % 100 WHEN conv_id % 5 <> 1 THEN 77 END::DOUBLE AS overall_score,
     CASE WHEN conv_id % 5 <> 1 THEN conv_id % 50 END::DOUBLE AS vavr, 2 AS artifact_count FROM ({_MANIFEST}) AS m WHERE conv_id % 6 <> 5""")
-def s9(spark, sf):
+def s9_list(spark, sf):
     return list_runs(D.derived(spark, sf, _MANIFEST).drop("conv_id"), D.derived(spark, sf, _SHARE)).drop("site_input")
 
 
-# ---- writers: written, read back ----------------------------------------------------------------
+# ---- writers: written twice, broken once, read back ----------------------------------------------
 
+_AT = "2024-05-01T00:00:00Z"
+_AUDIT_TABLES = {
+    "pages": ("url", "page_type"), "issues": ("issue_id", "severity"), "bucket_scores": ("bucket", "score"), "audit_summary": ("overall_score", "crawled_pages"),
+    "recommendations": ("rec_id", "issue_count"), "recommendation_issues": ("rec_id", "issue_id"), "top_issues": ("title", "top_ord"), "top_recommendations": ("rec_id", "top_ord"),
+}
 
-@query("k1_write_audit", P.with_issues(_SCORES) + """ SELECT 'issues' AS written, 'r1' AS run_id, site_id, issue_id AS row_key, severity AS detail FROM issues
-    UNION ALL SELECT 'pages', 'r1', site_id, url, page_type FROM f UNION ALL SELECT 'bucket_scores', 'r1', site_id, bucket, CAST(score AS VARCHAR) FROM scored""")
-def k1(spark, sf):
-    path = _folder(spark, "audit")
+
+def _back(spark, root, tables):
+    """Rows of all written tables as (written, run_id, site_id, row_key, detail)."""
+    out = None
+    for name, (key, detail) in tables.items():
+        df = sinks.read_committed(spark, root, name)
+        df = df.select(F.lit(name).alias("written"), "run_id", "site_id", F.col(key).cast("string").alias("row_key"), F.col(detail).cast("string").alias("detail"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+class _Broken(Exception):
+    pass
+
+
+def _break_a_write(root: str, tables) -> None:
+    """A write that stops after its first table, as when a driver is lost."""
+
+    class Stops(dict):
+        def items(self):
+            yield next(iter(super().items()))
+            raise _Broken
+
+    try:
+        sinks.write_run(root, "r1", "audit", Stops(tables))
+    except _Broken:
+        pass
+
+
+def _audit_root(spark, sf) -> str:
+    root = _folder(spark, "audit")
     buckets = scores.bucket_scores(issues(spark, sf), sites(spark, sf))
-    sinks.write_audit({"pages": features(spark, sf), "issues": issues(spark, sf), "bucket_scores": buckets}, path, "r1")
+    recs = _recs(spark, sf)
+    tables = {
+        "pages": features(spark, sf), "issues": issues(spark, sf), "bucket_scores": buckets, "audit_summary": _audit_summary(spark, sf), "recommendations": recs,
+        "recommendation_issues": scores.recommendation_issues(issues(spark, sf)), "top_issues": scores.top_issues(issues(spark, sf)),
+        "top_recommendations": scores.top_recommendations(recs),
+    }
+    for _ in range(2):
+        sinks.write_audit(tables, sites(spark, sf), root, "r1", _AT)
+    _break_a_write(root, tables)
+    return root
+
+
+_K1_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS written, 'r1' AS run_id, site_id, CAST({key} AS VARCHAR) AS row_key, CAST({detail} AS VARCHAR) AS detail FROM ({sql})"
+    for (name, (key, detail)), sql in zip(
+        _AUDIT_TABLES.items(),
+        [P.with_sites("features") + " SELECT * FROM f", ORACLES["r_audit_issues"], ORACLES["a1_bucket_scores"], ORACLES["a3_audit_summary"], ORACLES["a4_recommendations"],
+         ORACLES["a4_recommendation_issues"], ORACLES["w1_top_issues"], ORACLES["w2_top_recommendations"]],
+        strict=True,
+    )
+)
 
-    def back(name, key, detail):
-        df = spark.read.parquet(os.path.join(path, name)).filter(F.col("run_id") == "r1")
-        return df.select(F.lit(name).alias("written"), "run_id", "site_id", F.col(key).alias("row_key"), F.col(detail).cast("string").alias("detail"))
 
-    return back("issues", "issue_id", "severity").unionByName(back("pages", "url", "page_type")).unionByName(back("bucket_scores", "bucket", "score"))
+@query("k1_write_audit", _K1_SQL)
+def k1(spark, sf):
+    return _back(spark, _audit_root(spark, sf), _AUDIT_TABLES)
 
 
-@query("k2_write_eval", _BASE + """ SELECT run_id, provider, provider || '/' || prompt_id || CASE WHEN sample_index > 0 THEN '--sample-' || (sample_index + 1) ELSE '' END || '.json' AS raw_payload_file,
-    answer_text AS raw_payload FROM s""")
+@query("s9_read_runs", f"""SELECT 'r1/' || site_id AS run_id, 'audit' AS kind, '{_AT}' AS generated_at, base_url AS site_label, site_id AS site_input,
+    overall_score::DOUBLE AS overall_score, vavr::DOUBLE AS vavr, {len(_AUDIT_TABLES)} AS artifact_count FROM ({ORACLES["a3_audit_summary"]}) AS a JOIN ({D.SITES}) AS s USING (site_id)""")
+def s9(spark, sf):
+    return read_runs(spark, _audit_root(spark, sf))
+
+
+@query("k2_write_eval", _BASE + """ SELECT 'raw_payloads' AS written, run_id, provider, provider || '/' || prompt_id || CASE WHEN sample_index > 0 THEN '--sample-' || (sample_index + 1) ELSE '' END || '.json' AS row_key,
+    answer_text AS detail FROM s UNION ALL SELECT 'answer_scores', run_id, provider, prompt_id || '/' || sample_index, locale FROM s""")
 def k2(spark, sf):
-    path = _folder(spark, "eval")
+    root = _folder(spark, "eval")
     scored = _scored(spark, sf)
-    raw = scored.withColumn("raw_payload", F.col("answer_text"))
-    sinks.write_eval({"answer_scores": scored, "raw_payloads": raw}, path)
-    return spark.read.json(os.path.join(path, "raw_payloads")).select("run_id", "provider", "raw_payload_file", "raw_payload")
+    tables = {"answer_scores": scored, "raw_payloads": scored.withColumn("raw_payload", F.col("answer_text"))}
+    for run_id in ("run-0", "run-1", "run-0"):
+        sinks.write_eval(tables, sites(spark, sf), root, run_id, _AT)
+    raw = sinks.read_committed(spark, root, "raw_payloads", "json")
+    raw = raw.select(F.lit("raw_payloads").alias("written"), "run_id", "provider", F.col("raw_payload_file").alias("row_key"), F.col("raw_payload").alias("detail"))
+    kept = sinks.read_committed(spark, root, "answer_scores")
+    key = F.concat_ws("/", "prompt_id", F.col("sample_index").cast("string")).alias("row_key")
+    return raw.unionByName(kept.select(F.lit("answer_scores").alias("written"), "run_id", "provider", key, F.col("locale").alias("detail")))
+
+
+_VALIDATION_TABLES = {"search_pages": ("search_key", "source"), "key_page_coverage": ("page_url", "impressions"), "index_candidates": ("url", "page_type")}
 
 
-@query("k3_write_validation", _WITH + " SELECT source, site_id, page_url, has_evidence, impressions FROM cover")
+@query("k3_write_validation", f"""SELECT 'key_page_coverage' AS written, 'v1' AS run_id, site_id, page_url AS row_key, CAST(impressions AS VARCHAR) AS detail FROM ({_WITH} SELECT * FROM cover)
+    UNION ALL SELECT 'index_candidates', 'v1', site_id, url, page_type FROM ({ORACLES["v5_index_candidates"]})
+    UNION ALL SELECT 'search_pages', 'v1', site_id, search_key, source FROM ({ORACLES["j4_match_search_pages"]})""")
 def k3(spark, sf):
-    path = _folder(spark, "validation")
+    root = _folder(spark, "validation")
     tables = {"search_pages": _matched(spark, sf), "key_page_coverage": _cover(spark, sf), "index_candidates": index_candidates(features(spark, sf))}
-    sinks.write_validation(tables, path)
-    df = spark.read.parquet(os.path.join(path, "key_page_coverage"))
-    return df.select("source", "site_id", "page_url", "has_evidence", "impressions")
+    for _ in range(2):
+        sinks.write_validation(tables, root, "v1")
+    return _back(spark, root, _VALIDATION_TABLES)

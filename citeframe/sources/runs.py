@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.operators.jsonld import string_at
+from citeframe.sources.sinks import MANIFESTS, SHARES, commits, read_committed
 
 
 def _number(v, path: str):
@@ -44,11 +45,21 @@ def newest_first(runs: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """All runs below ``root``: one folder per run holding run.json and maybe share-summary.json."""
+    """All runs below ``root``, newest first.
 
-    def docs(name: str) -> DataFrame:
-        files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-        run = F.element_at(F.split("_metadata.file_path", "/"), -2)
-        return files.select(run.alias("run_id"), F.col("value").alias("doc"))
+    Runs that the writers committed count by site, as ``run_id/site_id``, with the documents of their last committed
+    attempt. Below a root without commits each folder is a run, holding run.json and maybe share-summary.json.
+    """
+    if commits(spark, root).isEmpty():
+
+        def docs(name: str) -> DataFrame:
+            files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+            run = F.element_at(F.split("_metadata.file_path", "/"), -2)
+            return files.select(run.alias("run_id"), F.col("value").alias("doc"))
+
+        return newest_first(list_runs(docs("run.json"), docs("share-summary.json")))
+
+    def written(name: str) -> DataFrame:
+        return read_committed(spark, root, name).select(F.concat_ws("/", "run_id", "site_id").alias("run_id"), "doc")
 
-    return newest_first(list_runs(docs("run.json"), docs("share-summary.json")))
+    return newest_first(list_runs(written(MANIFESTS), written(SHARES)))
