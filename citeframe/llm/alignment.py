@@ -29,13 +29,14 @@ import gc
 import hashlib
 import re
 import sys
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,7 @@ from citeframe.session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KNOWN = 1 << 19
+BATCH = 256
 SPACE = "▁"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 OWN = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -376,7 +378,8 @@ def _count_rows(batches):
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, n, best): rows that hold a pair linked, and whether no pair of its first id has more."""
     counted = rows.select("pairs").mapInArrow(_count_rows, "pair long, n long")
-    counts = stage(counted.groupBy("pair").agg(F.sum("n").alias("n")), "alignment-pairs")
+    with _small_batches(rows.sparkSession):
+        counts = stage(counted.groupBy("pair").agg(F.sum("n").alias("n")), "alignment-pairs")
     tagged = counts.withColumn("a", F.shiftright("pair", 32))
     highest = tagged.groupBy("a").agg(F.max("n").alias("highest"))
     return tagged.join(highest, "a").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
@@ -411,6 +414,18 @@ def weigher(known: np.ndarray, counts: np.ndarray, highest_ids: np.ndarray, high
     return weigh
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH`` rows, as a row carries all pairs of its text; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(
     docs: DataFrame, first_path: str, second_path: str, text_col: str = "text", payload: list[str] | None = None,
     known: int = KNOWN, with_groups: bool = False,
@@ -428,13 +443,15 @@ def align(
     kinds += [(c, T.ArrayType(T.LongType())) for c in ("pairs", "links")] + ([("groups", T.StringType())] if with_groups else [])
     schema = T.StructType([T.StructField(*kind) for kind in kinds])
     encoded = docs.mapInArrow(lambda batches: encode_rows(batches, first, second, with_groups), schema)
-    rows = stage(encoded.withColumn("row_id", F.monotonically_increasing_id()), "alignment-rows")
+    with _small_batches(docs.sparkSession):
+        rows = stage(encoded.withColumn("row_id", F.monotonically_increasing_id()), "alignment-rows")
     counts = stage(pair_counts(rows), "alignment-counts")
     top = counts.orderBy(F.desc("n"), "pair").limit(known).select("pair", "n").orderBy("pair").toArrow()
     best = counts.where("best").groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("n")).orderBy("a").toArrow()
     weigh = weigher(*(t.column(c).to_numpy().copy() for t, c in ((top, "pair"), (top, "n"), (best, "a"), (best, "n"))))
     found = rows.withColumn("w", weigh("pairs", "links")).drop("pairs", "links")
-    found = stage(found.select("*", "w.*").drop("w"), "alignment-weighed")
+    with _small_batches(docs.sparkSession):
+        found = stage(found.select("*", "w.*").drop("w"), "alignment-weighed")
     rare = found.select("row_id", F.explode("rare").alias("x")).select("row_id", "x.*").join(counts, "pair")
     rare = rare.groupBy("row_id").agg(
         F.sum(F.col("n") * F.col("links")).alias("more"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best")
