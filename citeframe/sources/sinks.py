@@ -9,6 +9,7 @@ again replaces what readers see of it without touching files that are being read
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from datetime import UTC, datetime
 
@@ -23,8 +24,9 @@ _COMMIT = "run_id string, attempt string, kind string, committed_at string"
 
 
 def _place(root: str, table: str, run_id: str, attempt: str) -> str:
-    # the leading letter keeps Spark from reading ids as numbers
-    return os.path.join(root, table, f"_run=r{run_id}".replace("/", "%2F"), f"_attempt=a{attempt}")
+    # the leading letter keeps Spark from reading ids as numbers; it decodes the signs that paths cannot hold
+    safe = re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):02X}" if ord(m[0]) < 128 else m[0], run_id)
+    return os.path.join(root, table, f"_run=r{safe}", f"_attempt=a{attempt}")
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +43,7 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
 
 def read_committed(spark: SparkSession, root: str, table: str, fmt: str = "parquet") -> DataFrame:
     """All rows of a table that belong to committed runs; ``run_id`` is the run's."""
-    known = commits(spark, root).select(F.concat(F.lit("r"), F.replace("run_id", F.lit("/"), F.lit("%2F"))).alias("_run"), F.concat(F.lit("a"), "attempt").alias("_attempt"), F.col("run_id").alias("_id"))
+    known = commits(spark, root).select(F.concat(F.lit("r"), "run_id").alias("_run"), F.concat(F.lit("a"), "attempt").alias("_attempt"), F.col("run_id").alias("_id"))
     found = spark.read.option("basePath", os.path.join(root, table)).format(fmt).load(os.path.join(root, table))
     kept = found.drop(*[c for c in found.columns if c == "run_id"]).join(known, ["_run", "_attempt"])
     return kept.withColumnRenamed("_id", "run_id").drop("_run", "_attempt")

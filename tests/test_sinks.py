@@ -32,11 +32,11 @@ def test_rerun_and_other_runs(spark, tmp_path):
     sinks.write_audit(tables(spark, 4), sites(spark), root, "007", "2024-01-01T00:00:00Z")
     assert sorted(map(tuple, sinks.read_committed(spark, root, "pages").collect())) == first and len(first) == 4
     assert first[0][-1] == "007"
-    sinks.write_audit(tables(spark, 2), sites(spark), root, "a/b", "2024-02-01T00:00:00Z")
+    sinks.write_audit(tables(spark, 2), sites(spark), root, "a/b:c=1 d", "2024-02-01T00:00:00Z")
     sinks.write_audit(tables(spark, 1), sites(spark), root, "007", "2024-03-01T00:00:00Z")
     runs = read_runs(spark, root).collect()
     assert [(r.run_id, r.overall_score, r.site_label) for r in runs] == [
-        ("007/s0", 50.0, "https://s0.example.com"), ("a/b/s0", 50.0, "https://s0.example.com"), ("a/b/s1", 51.0, "https://s1.example.com")
+        ("007/s0", 50.0, "https://s0.example.com"), ("a/b:c=1 d/s0", 50.0, "https://s0.example.com"), ("a/b:c=1 d/s1", 51.0, "https://s1.example.com")
     ]
     assert runs[0].kind == "audit" and runs[0].artifact_count == 2
 
