@@ -11,7 +11,11 @@ whose bound still reaches the worst exact score of these, after which the result
 
 Equal vectors are one class of which only the ``k + 1`` smallest ids are kept (one may be the query's own), so that
 a very common vector costs no more than a rare one. Queries are a stated set; they meet the approximations in
-blocks of ``QUERY_BLOCK`` distinct vectors, whose size bounds what is shipped to the tasks.
+blocks of ``QUERY_BLOCK`` distinct vectors, one after the other: the driver holds one block at a time, each block's
+bounds are written before the next one starts, and the plan does not grow with the queries.
+
+Integers are cut at plus and minus 2^55. Where inner products may pass 2^62, they are decimals of 38 digits and scores
+outside of a long are given as its ends; where bounds may pass 2^53, they are widened by what float64 can lose.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate.
 Missing components of shorter vectors count as 0. Rows of one vec_id are one another's own rows, and as queries they
@@ -20,7 +24,9 @@ have one list, the best of all their vectors; a null id takes no part. Repeated
 
 from __future__ import annotations
 
+import os
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeframe.session import stage
+from citeframe.session import shared_dir, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,11 +42,17 @@ SCALE = 1024
 TOP = 10
 QUERY_BLOCK = 4096
 CELL_BITS = 7
+LIMIT = float(1 << 55)
+_LONG = (1 << 63) - 1
 
 
-def product(a: str, b: str) -> Column:
-    """Integer inner product; what is missing in the shorter vector counts as 0."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+def product(a: str, b: str, wide: bool = False) -> Column:
+    """Integer inner product; what is missing in the shorter vector counts as 0. ``wide`` ones are decimals."""
+    if not wide:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    part, whole = "decimal(19,0)", "decimal(38,0)"
+    terms = F.zip_with(a, b, lambda x, y: F.coalesce((x.cast(part) * y.cast(part)).cast(whole), F.lit(0).cast(whole)))
+    return F.aggregate(terms, F.lit(0).cast(whole), lambda s, x: (s + x).cast(whole))
 
 
 def integers(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -49,7 +61,7 @@ def integers(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     usable = table.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(
         "vec_id is not null and x is not null and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))"
     )
-    return usable.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v")).distinct()
+    return usable.select("vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(LIMIT)), F.lit(-LIMIT)))).alias("v")).distinct()
 
 
 def _scan(queries: np.ndarray, numbers: np.ndarray, keeps: list[int], shift: int):
@@ -58,6 +70,9 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, keeps: list[int], shift: int
     width = float((1 << shift) - 1)
     gap = width * np.abs(q).sum(axis=1)
     below = width * np.minimum(q, 0).sum(axis=1)
+    largest = np.abs(q).sum(axis=1) * float(1 << shift) * (2 << CELL_BITS)
+    slack = np.where(largest < 2.0**52, 0.0, largest * (q.shape[1] + 8) * 2.0**-51)
+    gap = gap + 2 * slack
 
     def run(batches):
         found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
@@ -84,10 +99,9 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, keeps: list[int], shift: int
                             found[k] = (all_ids, all_dots)
         for k, (ids, dots) in enumerate(found):
             if len(ids):
-                low = np.floor(dots + below[k]).astype(np.int64)
-                high = np.ceil(dots + below[k] + gap[k]).astype(np.int64)
-                columns = [np.full(len(ids), numbers[k]), ids, low, high]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query", "class", "low", "high"])
+                low = dots + below[k] - slack[k]
+                columns = [np.full(len(ids), numbers[k]), ids, low, low + gap[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "class", "low", "high"])
 
     return run
 
@@ -100,7 +114,8 @@ def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vecto
     ranked = rows.select("*", F.row_number().over(first).alias("r")).where(F.col("r") <= k + 1)
     classes = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    most = classes.agg(F.max(F.array_max(F.transform("v", lambda c: F.greatest(c, -c - 1))))).first()[0]
+    most, longest = classes.agg(F.max(F.array_max(F.transform("v", lambda c: F.greatest(c, -c - 1)))), F.max(F.size("v"))).first()
+    wide = (longest or 0) * (int(most or 0) + 1) ** 2 >= 1 << 62
     shift = max(0, int(most or 0).bit_length() - CELL_BITS)
     cell = F.transform("v", lambda c: F.lpad(F.hex(F.shiftright(c, shift).bitwiseAND(F.lit(255))), 2, "0"))
     cells = stage(classes.select("class", F.unhex(F.array_join(cell, "")).alias("cells")), "vector-cells")
@@ -111,17 +126,15 @@ def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vecto
     wanted = stage(keeps.withColumn("query", F.monotonically_increasing_id()), "vector-queries")
     n, most_kept = wanted.agg(F.count(F.lit(1)), F.max("keep")).first()
     parts = n // block + 1
-    bounds = None
+    folder = os.path.join(shared_dir(spark), "citeframe-stages", f"vector-scans-{uuid.uuid4().hex}")
+    kinds = "query long, class long, low double, high double"
     for part in range(parts):
         own = wanted.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()
-        if not own:
-            continue
-        longest = max(len(r.v) for r in own)
-        matrix = np.array([r.v + [0] * (longest - len(r.v)) for r in own], np.int64).reshape(len(own), longest)
-        scanned = cells.mapInArrow(_scan(matrix, np.array([r.query for r in own]), [r.keep for r in own], shift), "query long, class long, low long, high long")
-        bounds = scanned if bounds is None else bounds.union(scanned)
-    if bounds is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        size = max((len(r.v) for r in own), default=0)
+        matrix = np.array([r.v + [0] * (size - len(r.v)) for r in own], np.int64).reshape(len(own), size)
+        scan = _scan(matrix, np.array([r.query for r in own], np.int64), [r.keep for r in own], shift)
+        cells.mapInArrow(scan, kinds).write.mode("append").parquet(folder)
+    bounds = spark.read.schema(kinds).parquet(folder)
     bounds = stage(bounds.join(wanted.select("query", "keep"), "query"), "vector-bounds")
     by_low = Window.partitionBy("query").orderBy(F.desc("low"), "class")
     # the literal lets map tasks trim their rows first
@@ -133,14 +146,17 @@ def top(table: DataFrame, is_query: Column, k: int = TOP, id_col="vec_id", vecto
 
     def exact(these: DataFrame) -> DataFrame:
         read = these.join(classes.select("class", F.col("v").alias("cv"), "ids"), "class").join(wanted.drop("keep"), "query")
-        return read.select("query", "keep", "class", "ids", product("v", "cv").alias("score"))
+        return read.select("query", "keep", "class", "ids", product("v", "cv", wide).alias("score"))
 
     near = stage(exact(ordered.where(F.col("r") <= F.col("keep"))), "vector-near")
     worst = near.groupBy("query").agg(F.min("score").alias("worst"))
-    far = ordered.where(F.col("r") > F.col("keep")).join(worst, "query").where("high >= worst")
+    least = F.col("worst").cast("double")
+    far = ordered.where(F.col("r") > F.col("keep")).join(worst, "query").where(F.col("high") >= least - F.abs(least) * 1e-15)
     scored = near.union(exact(far)).select("query", "keep", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = scored.select("*", F.row_number().over(best).alias("r")).where((F.col("r") <= most_kept) & (F.col("r") <= F.col("keep")))
     answers = queries.join(wanted, "v").join(lists, "query").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.select("query_id", F.row_number().over(final).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    score = F.col("score").cast("decimal(38,0)")
+    score = F.greatest(F.least(score, F.lit(_LONG).cast("decimal(38,0)")), F.lit(-_LONG - 1).cast("decimal(38,0)")).cast("long") if wide else F.col("score")
+    return answers.select("query_id", F.row_number().over(final).alias("rank"), "vec_id", score.alias("score")).where(F.col("rank") <= k)

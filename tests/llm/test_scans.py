@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -211,6 +212,22 @@ def test_vector_fixture(spark):
     assert vectors.top(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 1e10, 1e300])
+def test_large_components(spark, size):
+    """Products beyond a long, beyond float64's integers and beyond the cut: ranked by the whole numbers."""
+    rnd = random.Random(int(size) % 97)
+    rows = [(i, [rnd.gauss(0, 1) * (size if rnd.random() < 0.3 else 1) for _ in range(6)]) for i in range(1, 400)]
+    rows += [(i + 1000, rows[i][1]) for i in range(5)]
+    cut = lambda x: int(math.floor(max(min(x * 1024, 2.0**55), -(2.0**55))))
+    whole = {i: [cut(x) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
+        want |= {(q, r + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(scores)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in vectors.top(table, F.col("vec_id") % 100 == 0, block=2).collect()} == want
+
+
 def test_vectors_of_one_id_leave_room_for_others(spark):
     """Query ids with several vectors of their own, and one shared with a query that has a single row."""
     rnd = random.Random(7)
