@@ -124,6 +124,10 @@ _DOCS = f"""SELECT 'site-' || CAST(conv_id % 9 AS STRING) AS site_id, 'run-' ||
   t FROM ({_TURNS}) AS c WHERE role = 'assistant'"""
 
 
+_DOCS2 = f"""SELECT conv_id, turn, t, '{{"promptId":"line-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '","answerText":"' || t || '"}}' AS doc
+  FROM ({_TURNS}) AS c WHERE role = 'user'"""
+
+
 @query("s6_import_answers", f"""SELECT site_id, run_id, 'p' || conv_id AS prompt_id, t AS answer_text,
     CASE WHEN conv_id % 3 = 1 THEN 'own' WHEN conv_id % 2 = 0 THEN 'wrapped' ELSE 'manual' END AS provider, CASE WHEN conv_id % 3 = 1 THEN 'm1' ELSE 'manual-import' END AS model,
     CASE WHEN conv_id % 3 = 1 THEN 2 ELSE 0 END AS sample_index, CASE WHEN conv_id % 2 = 0 THEN 'de' ELSE 'en' END AS locale, CASE WHEN conv_id % 5 = 1 THEN 3 END AS rank_position,
@@ -135,6 +139,17 @@ def s6(spark, sf):
                        F.array_join("citations.url", "|").alias("urls"))
 
 
+@query("s6_answer_lines", f"""SELECT 'all' AS site_id, 'p' || conv_id AS prompt_id, t AS answer_text,
+    CASE WHEN conv_id % 3 = 1 THEN 'own' WHEN conv_id % 2 = 0 THEN 'wrapped' ELSE 'manual' END AS provider, CASE WHEN conv_id % 2 = 0 THEN 'de' ELSE 'en' END AS locale
+  FROM ({_DOCS}) AS d WHERE conv_id % 13 <> 12 AND conv_id % 7 <> 6 AND conv_id % 5 <> 2 AND conv_id % 11 <> 10
+  UNION ALL SELECT 'all', 'line-' || conv_id || '-' || turn, t, 'manual', 'en' FROM ({_DOCS2}) AS e""")
+def s6_lines(spark, sf):
+    path = _folder(spark, "answer-lines")
+    D.derived(spark, sf, _DOCS).select("doc").union(D.derived(spark, sf, _DOCS2).select("doc")).write.text(path)
+    good, _ = IMPORT.read_answers(spark, path, "all", "r1", locale="en", lines=True)
+    return good.select("site_id", "prompt_id", "answer_text", "provider", "locale")
+
+
 @query("s6_import_rejects", f"""SELECT site_id, run_id, CASE WHEN conv_id % 13 = 12 OR conv_id % 7 = 6 THEN NULL ELSE 'p' || conv_id END AS prompt_id,
     CASE WHEN conv_id % 13 = 12 THEN 'no array of responses' WHEN conv_id % 7 = 6 THEN 'promptId is missing' WHEN conv_id % 11 = 10 THEN 'a citation has no url' ELSE 'rankPosition is no positive integer' END AS reason
   FROM ({_DOCS}) AS d WHERE conv_id % 13 = 12 OR conv_id % 7 = 6 OR conv_id % 5 = 2 OR conv_id % 11 = 10

@@ -116,15 +116,15 @@ def explode_links(pages: DataFrame) -> DataFrame:
 def incoming_links(pages: DataFrame) -> DataFrame:
     """Links into known pages from other pages, with the source's type and the target's attributes.
 
-    Links meet the narrow page list on (site, target), salted by source because one target may
-    receive a large share of all links.
+    Links meet the narrow page list on (site, target); targets that receive a large share of all links are
+    found beforehand and joined apart.
     """
     links = pages.select("site_id", F.col("url").alias("src_url"), F.col("page_type").alias("src_page_type"),
                          "page_rank", F.explode("links").alias("l"))
     links = links.select("site_id", "src_url", "src_page_type", F.col("page_rank").alias("src_rank"), "l.*")
     links = links.filter("is_internal AND dst_url <> src_url")
     targets = pages.select("site_id", F.col("url").alias("dst_url"), F.col("page_type").alias("dst_page_type"))
-    return lookup_join(links, targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"])
+    return lookup_join(links, targets.dropDuplicates(["site_id", "dst_url"]), ["site_id", "dst_url"], measured=True)
 
 
 def first_home(pages: DataFrame) -> DataFrame:

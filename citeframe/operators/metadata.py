@@ -48,7 +48,7 @@ def canonical_findings(pages: DataFrame) -> DataFrame:
     none = real.filter(unnamed).select("site_id", "url", F.lit("canonical-missing").alias("rule"), F.lit("").alias("detail"))
     named = real.filter(~unnamed)
     first = named.groupBy("site_id", "canonical").agg(F.min("url").alias("_first"))
-    again = lookup_join(named, first, ["site_id", "canonical"]).filter("url <> _first")
+    again = lookup_join(named, first, ["site_id", "canonical"], measured=True).filter("url <> _first")
     return none.unionByName(again.select("site_id", "url", F.lit("canonical-duplicate").alias("rule"), F.col("canonical").alias("detail")))
 
 
@@ -179,7 +179,7 @@ def language_findings(pages: DataFrame, sites: DataFrame) -> DataFrame:
     # every declared pair (page canonical, target): the target must exist and point back
     pairs = alternates(pages).filter(F.col("hreflang").isin("en", "zh-CN") & (F.col("href") != F.col("canonical")))
     known = pages.select("site_id", F.col("canonical").alias("href")).distinct()
-    absent = lookup_join(pairs, known, ["site_id", "href"], "left_anti").select(
+    absent = lookup_join(pairs, known, ["site_id", "href"], "left_anti", measured=True).select(
         "site_id", "url", F.lit("hreflang-target-missing").alias("rule"), F.col("href").alias("detail")
     )
     back = pages.select("site_id", F.col("canonical").alias("href"), F.explode("alternates.href").alias("canonical")).distinct()
@@ -240,14 +240,14 @@ def faq_findings(pages: DataFrame) -> DataFrame:
 def broken_links(pages: DataFrame) -> DataFrame:
     """Internal links, assets aside, whose target is no stored page.
 
-    The anti join is salted by source, since one missing target may hold most links.
+    One missing target may hold most links: such targets are found beforehand and joined apart.
     """
     links = pages.select("site_id", "url", F.explode("links").alias("l")).filter("l.is_internal")
     links = links.select("site_id", "url", F.col("l.dst_url").alias("dst_url"))
     asset = F.lower(U.url_path(F.col("dst_url"))).rlike("\\.(" + "|".join(C.ASSET_EXTENSIONS) + ")$")
     targets = links.filter(~asset).withColumn("_key", F.regexp_replace("dst_url", "\\?.*$", ""))
     stored = pages.select("site_id", F.regexp_replace(U.comparable_url(F.col("url")), "\\?.*$", "").alias("_key")).distinct()
-    lost = lookup_join(targets, stored, ["site_id", "_key"], "left_anti")
+    lost = lookup_join(targets, stored, ["site_id", "_key"], "left_anti", measured=True)
     return lost.select("site_id", "url", F.lit("internal-link-missing").alias("rule"), F.col("dst_url").alias("detail"))
 
 

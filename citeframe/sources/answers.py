@@ -81,11 +81,21 @@ def import_answers(raw: DataFrame, locale: str | None = None) -> tuple[DataFrame
     return checked.filter("reason IS NULL").drop("reason"), broken.unionByName(bad)
 
 
-def read_answers(spark: SparkSession, path: str, site_id: str, run_id: str, locale: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Answers and rejects of import files, one JSON document per file."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.lit(site_id).alias("site_id"), F.lit(run_id).alias("run_id"), F.col("value").alias("doc")
-    )
+def read_answers(spark: SparkSession, path: str, site_id: str, run_id: str, locale: str | None = None,
+                 lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Answers and rejects of import files.
+
+    A file is one JSON document (an array, or a wrapper with defaults), which one task reads as it has to be parsed as
+    a whole; with ``lines`` every line of a file is one response, or a document of its own, and a file of any size is
+    read by many tasks. ``answer_ord`` then counts within a line's document.
+    """
+    files = spark.read.text(path, wholetext=not lines)
+    if lines:
+        text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+        parsed = F.try_parse_json(text)
+        alone = is_object(parsed) & F.try_variant_get(parsed, "$.responses", "array<variant>").isNull()
+        files = files.where(F.length(text) > 0).select(F.when(F.coalesce(alone, F.lit(False)), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text).alias("value"))
+    raw = files.select(F.lit(site_id).alias("site_id"), F.lit(run_id).alias("run_id"), F.col("value").alias("doc"))
     return import_answers(raw, locale)
 
 
