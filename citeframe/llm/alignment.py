@@ -30,7 +30,7 @@ import hashlib
 import re
 import sys
 from contextlib import contextmanager
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ SPACE = "▁"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 OWN = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 _SIZES = OWN[:4]
-_PARTS, _LINKS, _ENCODED, _BLOCK, _LONG_TEXT, _LARGE, _PENDING = 300_000, 2_500_000, 1 << 13, 1 << 16, 1 << 20, 1 << 16, 1 << 21
+_PARTS, _LINKS, _ENCODED, _BLOCK, _LONG_TEXT, _LARGE, _PENDING = 200_000, 2_000_000, 1 << 13, 1 << 16, 1 << 20, 1 << 16, 1 << 21
 
 
 def byte_symbols() -> dict[str, int]:
@@ -101,11 +101,8 @@ class Pair:
         a = [e.ids for e in self.first.encode_batch_fast(parts, add_special_tokens=False)]
         b = self.second.encode([p[1:] if p[0] == " " else "\n" + p for p in parts], num_threads=1)
         cut = len(self.lead)
-        for k, p in enumerate(parts):
-            if p[0] != " ":
-                b[k] = b[k][cut:]
-            elif p == " ":
-                b[k] = self.lead[:-1]
+        for k in [k for k, p in enumerate(parts) if p[0] != " " or len(p) == 1]:
+            b[k] = self.lead[:-1] if parts[k] == " " else b[k][cut:]
         return a, b
 
 
@@ -123,6 +120,16 @@ def label(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         successor = further
 
 
+_written: list[str] = []
+
+
+def _signs(ids: int) -> list[str]:
+    """Ids as text, each alone and with the three marks that may follow it."""
+    for i in range(len(_written) // 4, ids):
+        _written.extend((f"{i},", f"{i}|", f"{i};", f"{i}"))
+    return _written
+
+
 class Groups:
     """Groups of parts laid end to end: of each its part, and where its tokens of either side begin and end."""
 
@@ -166,7 +173,7 @@ class Groups:
         marks[at_b[self.start_b + self.size_b - 1]] = 2
         ends = np.cumsum(tokens)
         marks[ends - 1] = 3
-        words = [f"{i}{',|;'[k : k + 1]}" for i, k in zip(codes.tolist(), marks.tolist(), strict=True)]
+        words = list(map(_signs(int(codes.max()) + 1).__getitem__, (codes * 4 + marks).tolist()))
         return ["".join(words[e - k : e]) for e, k in zip(ends.tolist(), tokens.tolist(), strict=True)]
 
 
@@ -179,7 +186,7 @@ class Table:
     def add(self, rows: np.ndarray):
         need = self.size + len(rows)
         if need > len(self.data):
-            self.data = np.concatenate([self.data[: self.size], np.empty((max(need, self.size), *self.data.shape[1:]), np.int64)])
+            self.data = np.concatenate([self.data[: self.size], np.empty((max(need - self.size, self.size // 2), *self.data.shape[1:]), np.int64)])
         self.data[self.size : need] = rows
         self.size = need
 
@@ -198,16 +205,18 @@ class Aligned(dict):
     def _empty(self):
         self.clear()
         self.sizes, self.text, self.starts, self.links, self.weights = Table(4), [], Table(), Table(), Table()
+        self.weighed = False
         self.starts.add(np.zeros(1, np.int64))
 
-    def learn(self, parts: set[str]):
-        """Encode the parts that are not known, all at once; too many known ones are forgotten before."""
-        missing = [p for p in parts if p not in self]
-        if len(self) + len(missing) > _PARTS or self.links.size > _LINKS:
+    def learn(self, parts: set[str]) -> bool:
+        """Encode parts that are not known, all at once; when there is no room all is forgotten and nothing learnt."""
+        if self and (len(self) + len(parts) > _PARTS or self.links.size > _LINKS):
             self._empty()
-            missing = list(parts)
+            return False
+        missing = list(parts)
         for at in range(0, len(missing), _ENCODED):
             self._add(missing[at : at + _ENCODED])
+        return True
 
     def _add(self, parts: list[str]):
         a, b = self.pair.encode(parts)
@@ -227,7 +236,11 @@ class Aligned(dict):
         self.text += groups.written(tokens_a + tokens_b)
         self.starts.add(self.links.size + np.searchsorted(of, np.arange(len(parts)), side="right"))
         self.links.add(links)
-        self.weights.add(weights)
+        if self.weighed or (weights != 1).any():
+            if not self.weighed:
+                self.weights.add(np.ones(self.links.size - len(links), np.int64))
+                self.weighed = True
+            self.weights.add(weights)
 
     def _whole(self, parts, b) -> list[int]:
         """The parts that the second side gives back byte by byte; the first holds all bytes and always does."""
@@ -241,7 +254,8 @@ class Aligned(dict):
         begin, end = self.starts.data[kinds], self.starts.data[kinds + 1]
         count = end - begin
         at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        return _summed(self.links.data[at], self.weights.data[at] * np.repeat(times, count))
+        weights = np.repeat(times, count)
+        return _summed(self.links.data[at], weights * self.weights.data[at] if self.weighed else weights)
 
 
 def _summed(pairs: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,9 +290,18 @@ def walk(texts, aligned: Aligned):
 
 
 def _looked_up(held, aligned):
-    aligned.learn({p for _, parts in held for p in parts})
-    for row, parts in held:
-        yield row, np.fromiter(map(aligned.__getitem__, parts), np.int64, len(parts))
+    get, unknown = aligned.get, set()
+    found = [np.fromiter(map(get, parts, repeat(-2)), np.int64, len(parts)) for _, parts in held]
+    for (_, parts), numbers in zip(held, found, strict=True):
+        unknown.update(parts[k] for k in np.nonzero(numbers == -2)[0].tolist())
+    if unknown and not aligned.learn(unknown):
+        # what was known is forgotten to make room
+        aligned.learn({p for _, parts in held for p in parts})
+        found = [np.full(len(parts), -2) for _, parts in held]
+    for (row, parts), numbers in zip(held, found, strict=True):
+        for k in np.nonzero(numbers == -2)[0].tolist():
+            numbers[k] = aligned[parts[k]]
+        yield row, numbers
 
 
 class Row:
