@@ -116,10 +116,16 @@ SELECT 'site-' || CAST(k AS STRING) AS site_id,
   END AS text
 FROM ({_SITE_BASE}) AS b WHERE k % 10 <> 0"""
 
+# plain entries, CDATA, prefixes, entities, comments and files that break off
 SITEMAPS = f"""
 SELECT site_id, base_url || '/sitemap-' || CAST(page_id AS STRING) || '.xml' AS sitemap_url,
-  '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>' || url
-  || '</loc></url><url><loc> ' || base_url || '/shared?a=1&amp;b=2 </loc><lastmod>2024-01-01</lastmod></url></urlset>' AS xml
+  '<?xml version="1.0"?><!-- <url><loc>https://commented.example.org/</loc></url> -->'
+  || CASE page_id % 4
+    WHEN 1 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc><![CDATA[' || url || ']]></loc></url>'
+    WHEN 2 THEN '<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"><sm:url><sm:loc>' || url || '</sm:loc></sm:url>'
+    ELSE '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>' || url || '</loc></url>' END
+  || '<url a=">"><loc> ' || base_url || '/shared?a=1' || CASE WHEN page_id % 3 = 0 THEN '&#38;' ELSE '&amp;' END || 'b=2 </loc><lastmod>2024-01-01</lastmod></url>'
+  || CASE page_id % 4 WHEN 3 THEN '<url><loc>https://broken.example.org/' WHEN 2 THEN '</sm:urlset>' ELSE '</urlset>' END AS xml
 FROM ({SITE_PAGES}) AS p WHERE j <> 11
 UNION ALL
 SELECT site_id, base_url || '/sitemap_index.xml' AS sitemap_url,

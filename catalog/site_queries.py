@@ -122,9 +122,10 @@ def c2(spark, sf):
     return crawl.filter_patterns(df, include=["*/EN/*", "/f*"], exclude=["*.html"])
 
 
+_LOC = "<(?:sm:)?loc>(?:<!\\[CDATA\\[)?([^<\\]]*)(?:\\]\\]>)?</(?:sm:)?loc>"
 _LOCS = f"""locs AS (
-  SELECT m.site_id, m.sitemap_url, replace(trim(u), '&amp;', '&') AS loc FROM (
-    SELECT site_id, sitemap_url, unnest(regexp_extract_all(xml, '<loc>([^<]*)</loc>', 1)) AS u FROM ({D.SITEMAPS}) AS x) AS m)"""
+  SELECT m.site_id, m.sitemap_url, replace(replace(trim(u), '&amp;', '&'), '&#38;', '&') AS loc FROM (
+    SELECT site_id, sitemap_url, unnest(regexp_extract_all(regexp_replace(xml, '<!--.*?-->', ''), '{_LOC}', 1)) AS u FROM ({D.SITEMAPS}) AS x) AS m)"""
 
 
 def _sitemaps(spark, sf):

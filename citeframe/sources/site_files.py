@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeframe import constants as C
 from citeframe.functions import urls as U
 from citeframe.session import stage
+from citeframe.sources.sitemap_xml import sitemap_locations
 
 
 def read_pages(spark: SparkSession, path: str, base_url: str | None = None, site_id: str | None = None) -> DataFrame:
@@ -99,13 +100,9 @@ def parse_sitemaps(sitemaps_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     A file with url entries only counts those; otherwise it is read as an index. Locations ending in
     ``.xml`` name further sitemaps.
     """
-    is_set = F.regexp_like("xml", F.lit("(?s)<url>.*?<loc>"))
-    entry = F.when(is_set, F.lit("(?s)<url>.*?<loc>\\s*(.*?)\\s*</loc>")).otherwise(F.lit("(?s)<sitemap>.*?<loc>\\s*(.*?)\\s*</loc>"))
-    found = F.regexp_extract_all("xml", entry, F.lit(1))
-    rows = sitemaps_raw.select("site_id", "sitemap_url", F.posexplode(found).alias("loc_ord", "loc"))
-    plain = rows.withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&")))
+    rows = sitemaps_raw.select("site_id", "sitemap_url", F.posexplode(sitemap_locations("xml")).alias("loc_ord", "loc"))
     nested = F.endswith("loc", F.lit(".xml"))
-    return plain.filter(~nested), plain.filter(nested)
+    return rows.filter(~nested), rows.filter(nested)
 
 
 def reachable_sitemaps(sitemaps_raw: DataFrame, sites: DataFrame, robots: DataFrame | None = None) -> DataFrame:
