@@ -174,6 +174,52 @@ def op13(spark, sf):
     return alignment.align(docs, first, second, payload=["doc_id"])
 
 
-@query("op11_spelling_variants")
+VARIANT_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) AS x GROUP BY 1, 2
+),
+coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes
+  FROM runs
+),
+summed AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda b: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: ((b >> i) & 1)::BIGINT)))),
+    lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS h
+  FROM coded
+),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM summed
+  ) AS x WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3
+),
+less AS (
+  SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS d FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM words) AS x
+),
+pairs AS (
+  SELECT a.word AS x, b.word AS y FROM less AS a JOIN less AS b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT w.word, l.word FROM words AS w JOIN less AS l ON l.d = w.word
+  UNION SELECT l.word, w.word FROM words AS w JOIN less AS l ON l.d = w.word
+),
+ranked AS (
+  SELECT p.x, p.y, w.n, count(*) OVER (PARTITION BY p.x) AS n_near, row_number() OVER (PARTITION BY p.x ORDER BY w.n DESC, p.y) AS r
+  FROM pairs AS p JOIN words AS w ON w.word = p.y
+),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.y END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words AS w LEFT JOIN ranked AS r ON r.x = w.word AND r.r = 1
+),
+chains AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chains AS c JOIN forms AS f ON f.word = c.root AND f.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY 1)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms AS f JOIN roots AS r USING (word)
+"""
+
+
+@query("op11_spelling_variants", VARIANT_SQL)
 def op11(spark, sf):
     return variants.variants(variants.word_counts(table(spark, sf, "documents"), change=variants.misspelt))

@@ -120,3 +120,10 @@ def test_long_text_in_blocks(spark):
     rows = [(1, "Alpha betaa gamma, " * 60_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.word: r.n for r in variants.word_counts(docs, change=variants.misspelt).collect()} == brute_counts(rows)
+
+
+def test_query_matches_sql(spark, sf_dir):
+    from compare import check, oracle
+
+    ok, message = check(spark, oracle(sf_dir), sf_dir, "op11", queries.op11, queries.ORACLES["op11_spelling_variants"])
+    assert ok, message
