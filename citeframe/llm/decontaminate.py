@@ -8,7 +8,8 @@ their sums per item rule out most passages, eight at a time and then singly. The
 the threshold. Each is verified against the passage: shared five-word shingles of the question (all but the last
 sentence) and words of the answer (the last sentence).
 
-Words are runs of letters, digits and underscores in lower case. The items are dealt by hash into indexes of about
+Words are runs of letters, digits and underscores in lower case; letters of scripts written without spaces are words of
+their own, so an item is found inside running text of such a script too. The items are dealt by hash into indexes of about
 ``INDEX_BYTES``, so what is broadcast is bounded for any number of items; documents are never shuffled. Weights and
 the length of passages come from all items, so the hits do not depend on how the items are dealt.
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeframe.llm.languages import UNSPACED
 from citeframe.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,12 +45,15 @@ POSTINGS = 32
 RUN = 8
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SIGN = re.compile(f"[{UNSPACED}]")
+_MIXED = re.compile(f"[{UNSPACED}]|(?:(?![{UNSPACED}])\\w)+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 HIT = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_MIXED if _SIGN.search(low) else _WORD).findall(low)
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:

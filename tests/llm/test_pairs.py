@@ -334,3 +334,14 @@ def test_hits_do_not_depend_on_how_items_are_dealt(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in decontaminate.contaminated(frame, table, size=1000).collect()) == want
     assert decontaminate.contaminated(frame, table.where("item_id = 41"), size=1).count() == 0
+
+
+def test_items_inside_running_text_without_spaces(spark):
+    """Chinese and Thai items quoted within a passage, and passages that only share their letters."""
+    items = [(1, "水在标准大气压下的沸点是多少摄氏度？一百摄氏度。"), (2, "เมืองหลวงของประเทศไทยคืออะไร กรุงเทพมหานคร")]
+    other = "今天的天气很好，我们一起去公园散步，然后回家做饭。"
+    docs = [(1, other * 3 + items[0][1] + other * 2), (2, "ข้อความ" + items[1][1] + "ต่อไป"), (3, other * 9), (4, items[0][1][::-1] + other), (5, "mixed 英文 text " + items[0][1] + " and more words")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    hits = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == {(1, 1), (2, 2), (5, 1)}
+    assert decontaminate.words("Ab_1 水x") == ["ab_1", "水", "x"]
