@@ -9,6 +9,7 @@ from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
 from citeframe.functions.numbers import clamp, rank_score
+from citeframe.operators.phrases import with_names
 from citeframe.operators.joins import lookup_join
 
 ANSWER_KEY = ["site_id", "run_id", "prompt_id", "provider", "sample_index"]
@@ -93,13 +94,18 @@ def explode_citations(answers: DataFrame) -> DataFrame:
 
 
 def competitor_mentions(texts: DataFrame, competitors: DataFrame, text: str = "answer_text") -> DataFrame:
-    """Adds ``competitor_mentions``: names of the site's competitors found in the text, in declared order."""
-    df = texts if "rivals" in texts.columns else texts.join(_rival_columns(competitors), "site_id", "left")
-    df = df.withColumn("_lower", F.lower(text))
-    named = F.filter(
-        F.coalesce("rivals", F.array().cast("array<string>")), lambda n: F.contains(F.col("_lower"), F.lower(n))
-    )
-    return df.withColumn("competitor_mentions", named).drop("rivals", "_lower")
+    """Adds ``competitor_mentions``: names of the site's competitors found in the text, in declared order.
+
+    Texts that carry their site's ``rivals`` are compared with those; others meet an index of the names, whose cost
+    does not depend on the number of names of a site.
+    """
+    if "rivals" in texts.columns:
+        df = texts.withColumn("_lower", F.lower(text))
+        named = F.filter(F.coalesce("rivals", F.array().cast("array<string>")), lambda n: F.contains(F.col("_lower"), F.lower(n)))
+        return df.withColumn("competitor_mentions", named).drop("rivals", "_lower")
+    names = competitors.select("site_id", F.col("comp_ord").alias("ord"), "name", F.lower("name").alias("needle"))
+    df = with_names(texts, names, F.lower(F.coalesce(F.col(text), F.lit(""))), "_found")
+    return df.withColumn("competitor_mentions", F.transform("_found", lambda x: x["name"])).drop("_found")
 
 
 def _rival_columns(competitors: DataFrame) -> DataFrame:

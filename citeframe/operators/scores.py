@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from citeframe import constants as C
 from citeframe.functions.numbers import clamp, half_up
+from citeframe.operators.phrases import with_names
 from citeframe.operators.rules import missing_page_types
 
 
@@ -157,20 +158,17 @@ def top_recommendations(recs: DataFrame, k: int = 3) -> DataFrame:
 def competitor_coverage(pages: DataFrame, competitors: DataFrame) -> DataFrame:
     """Per declared competitor: named on compare pages?, how many of them, the first one.
 
-    The competitor list of a site rides along as an array; only actual mentions become rows.
+    Pages meet the names by an index of pieces; only actual mentions become rows.
     """
-    listed = competitors.groupBy("site_id").agg(F.collect_list("name").alias("names"))
+    def normal(c):
+        return F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+
     compare = pages.filter(F.col("page_type") == "compare").select(
         "site_id", "url", "page_rank", F.concat_ws(" ", "title", "h1", "text_snippet").alias("_text")
     )
-    squashed = F.trim(F.regexp_replace(F.lower("_text"), "\\s+", " "))
-    hits = compare.join(listed, "site_id").withColumn("_t", squashed)
-    hits = hits.select(
-        "site_id", "url", "page_rank",
-        F.explode(
-            F.filter("names", lambda n: F.contains(F.col("_t"), F.trim(F.regexp_replace(F.lower(n), "\\s+", " "))))
-        ).alias("name"),
-    )
+    names = competitors.select("site_id", F.col("comp_ord").alias("ord"), "name", normal("name").alias("needle"))
+    hits = with_names(compare, names, normal("_text"), "_found")
+    hits = hits.select("site_id", "url", "page_rank", F.explode(F.array_distinct(F.transform("_found", lambda x: x["name"]))).alias("name"))
     found = hits.groupBy("site_id", "name").agg(
         F.count("*").alias("n_pages"), F.min_by("url", F.struct("page_rank", "url")).alias("first_page")
     )
