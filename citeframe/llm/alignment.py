@@ -31,6 +31,7 @@ import re
 import sys
 from contextlib import contextmanager
 from itertools import chain, islice, repeat
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,8 @@ class Pair:
         self.first_sizes = np.zeros(max(self.first_bytes) + 1, np.int64)
         self.first_sizes[list(self.first_bytes)] = [len(x) for x in self.first_bytes.values()]
         self.second_sizes = np.array([len(x) for x in self.second_bytes])
+        # ids as text, each with the three marks that may follow it and alone
+        self.signs = [f"{i}{mark}" for i in range(max(len(self.first_sizes), len(self.second_sizes))) for mark in (",", "|", ";", "")]
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of parts as they are inside a text: the second tokenizer's own space is the part's, or cut off."""
@@ -106,6 +109,15 @@ class Pair:
         return a, b
 
 
+def loaded(first: bytes, second: bytes) -> Pair:
+    """The pair of a worker, kept for its later tasks: this module itself travels anew with each of them."""
+    held = sys.modules.setdefault("citeframe_worker_pairs", ModuleType("citeframe_worker_pairs"))
+    key = hashlib.sha256(first).digest() + hashlib.sha256(second).digest()
+    if getattr(held, "key", None) != key:
+        held.pair, held.key = Pair(first, second), key
+    return held.pair
+
+
 def label(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """The last token of the component of each token, first side before second side, by pointer jumping."""
     n = len(ends_a)
@@ -120,16 +132,6 @@ def label(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         successor = further
 
 
-_written: list[str] = []
-
-
-def _signs(ids: int) -> list[str]:
-    """Ids as text, each alone and with the three marks that may follow it."""
-    for i in range(len(_written) // 4, ids):
-        _written.extend((f"{i},", f"{i}|", f"{i};", f"{i}"))
-    return _written
-
-
 class Groups:
     """Groups of parts laid end to end: of each its part, and where its tokens of either side begin and end."""
 
@@ -163,7 +165,7 @@ class Groups:
         order = np.argsort(part, kind="stable") if len(small) < len(many) else slice(None)
         return pairs[order], weight[order], part[order]
 
-    def written(self, tokens: np.ndarray) -> list[str]:
+    def written(self, tokens: np.ndarray, signs: list[str]) -> list[str]:
         """The groups of each part as text; ``tokens`` is the number of tokens of both sides of each part."""
         n, m = len(self.a), len(self.b)
         codes, marks = np.empty(n + m, np.int64), np.zeros(n + m, np.int64)
@@ -173,7 +175,7 @@ class Groups:
         marks[at_b[self.start_b + self.size_b - 1]] = 2
         ends = np.cumsum(tokens)
         marks[ends - 1] = 3
-        words = list(map(_signs(int(codes.max()) + 1).__getitem__, (codes * 4 + marks).tolist()))
+        words = list(map(signs.__getitem__, (codes * 4 + marks).tolist()))
         return ["".join(words[e - k : e]) for e, k in zip(ends.tolist(), tokens.tolist(), strict=True)]
 
 
@@ -233,7 +235,7 @@ class Aligned(dict):
         self.update(zip(parts, range(self.sizes.size, self.sizes.size + len(parts)), strict=True))
         own = np.bincount(of, weights, len(parts)).astype(np.int64)
         self.sizes.add(np.stack([tokens_a, tokens_b, np.bincount(groups.part, minlength=len(parts)), own], axis=1))
-        self.text += groups.written(tokens_a + tokens_b)
+        self.text += groups.written(tokens_a + tokens_b, self.pair.signs)
         self.starts.add(self.links.size + np.searchsorted(of, np.arange(len(parts)), side="right"))
         self.links.add(links)
         if self.weighed or (weights != 1).any():
@@ -331,7 +333,7 @@ class Row:
 
 def encode_rows(batches, first: bytes, second: bytes, with_groups: bool):
     """Numbers of each row, and its distinct linked pairs with the links of each."""
-    aligned = Aligned(Pair(first, second))
+    aligned = Aligned(loaded(first, second))
     nothing = np.zeros(0, np.int64)
     for batch in batches:
         texts = batch.column("text").to_pylist()
