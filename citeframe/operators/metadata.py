@@ -270,7 +270,8 @@ def mixed_language(pages: DataFrame, language: str = "zh", allowed=(), openers=t
         terms = "|".join(re.escape(t) for t in sorted(allowed, key=len, reverse=True))
         text = F.regexp_replace(text, terms, "")
     word = "[A-Za-z0-9`'\"()/#:.,-]+"
-    sentence = f"{T.EDGE}(?:{'|'.join(openers)}){T.EDGE}(?:{T.SPACE}+{word}){{6,}}"
+    # no white space is part of a word, so nothing is given back: the possessive form loops where the greedy one recurses
+    sentence = f"{T.EDGE}(?:{'|'.join(openers)}){T.EDGE}(?:{T.SPACE}+{word}){{6,}}+"
     found = F.regexp_extract_all(text, F.lit(sentence), 0)
     df = pages.filter(F.contains(U.url_path(F.col("url")), F.lit(f"/{language}/")))
     return _many(df, F.transform(found, lambda s: _found("mixed-language-sentence", T.trimmed(s))))
