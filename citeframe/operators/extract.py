@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -342,11 +343,28 @@ def scan_page(html: str | None) -> dict:
     return scan.parts()
 
 
+# A portion of pages that is scanned and sent off at once ends with this many rows or bytes of html.
+PORTION_ROWS, PORTION_BYTES = 256, 1 << 21
+
+
+def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of neighbouring pages; a large page makes a portion of its own."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(html), 0).to_pylist()):
+        if at > start and (at - start >= PORTION_ROWS or held + size > PORTION_BYTES):
+            yield start, at - start
+            start, held = at, 0
+        held += size
+    if len(html) > start:
+        yield start, len(html) - start
+
+
 def extract_pages(pages_raw: DataFrame, keep_site_text: bool = False) -> DataFrame:
     """Raw parts of every page; the html column ends here.
 
     ``site_text`` (all text but scripts, styles and code) is only filled on request because it
-    repeats most of ``body_text``.
+    repeats most of ``body_text``. Parts of a few pages at a time are held as Python objects, however many rows the
+    session puts into an Arrow batch.
     """
     carried = StructType([f for f in pages_raw.schema.fields if f.name != "html"])
     parts = schema("page_parts")
@@ -355,14 +373,16 @@ def extract_pages(pages_raw: DataFrame, keep_site_text: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan_page(value.as_py()) for value in batch.column("html")]
-            if not keep_site_text:
-                for row in rows:
-                    row["site_text"] = None
-            found = pa.Table.from_pylist(rows, schema=arrow_parts)
-            columns = [batch.column(f.name) for f in carried.fields]
-            columns += [column.combine_chunks() for column in found.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out_schema.fields])
+            for start, size in portions(batch.column("html")):
+                few = batch.slice(start, size)
+                rows = [scan_page(value.as_py()) for value in few.column("html")]
+                if not keep_site_text:
+                    for row in rows:
+                        row["site_text"] = None
+                found = pa.Table.from_pylist(rows, schema=arrow_parts)
+                columns = [few.column(f.name) for f in carried.fields]
+                columns += [column.combine_chunks() for column in found.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out_schema.fields])
 
     ordered = pages_raw.select(*[f.name for f in carried.fields], "html")
     return ordered.mapInArrow(run, out_schema)

@@ -90,3 +90,26 @@ def test_long_texts_of_links_keep_what_is_shown():
     clean = lambda t: " ".join(re.sub("<[^>]+>", " ", t).split())[:200]
     text = re.sub("</?b>", "", block)
     assert clean(link["block"]) == clean(text) and len(link["block"]) < len(text)
+
+
+def test_pages_are_scanned_in_small_portions(spark):
+    """No more rows or html than a portion's are held as parts at once, and all rows come out, in order."""
+    import pyarrow as pa
+    from citeframe.operators.extract import PORTION_BYTES, PORTION_ROWS, extract_pages, portions
+
+    sizes = [10] * (2 * PORTION_ROWS + 5) + [PORTION_BYTES // 2 + 1] * 3 + [3 * PORTION_BYTES, None, 0, 7]
+    html = pa.array([None if n is None else "x" * n for n in sizes])
+    cut = list(portions(html))
+    assert [k for start, n in cut for k in range(start, start + n)] == list(range(len(sizes)))
+    for start, n in cut:
+        assert n <= PORTION_ROWS and (n == 1 or sum(x or 0 for x in sizes[start : start + n]) <= PORTION_BYTES)
+    assert list(portions(html.slice(3, 4))) == [(0, 4)] and not list(portions(html.slice(0, 0)))
+
+    rows = [(k, None if k % 50 == 7 else f"<h1>t{k}</h1>") for k in range(1000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        got = extract_pages(spark.createDataFrame(rows, "id long, html string").coalesce(1)).select("id", "h1").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [(r.id, r.h1) for r in got] == [(k, "t%d" % k if h else "") for k, h in rows]
