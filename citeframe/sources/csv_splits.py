@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -117,26 +117,28 @@ def read_table(spark: SparkSession, path: str, columns: list[str]) -> tuple[Data
     order of their names, so it follows file position. Raises ``ValueError`` when a file lacks a column.
     """
     records, sizes = read_records(spark, path)
-    heads = records.where(F.col("record") == 0).select("file", "text")
-    width = heads.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit(","), F.lit(""))) + 1)).first()[0] or 1
+    texts = [(r.file, r.text) for r in records.where(F.col("record") == 0).select("file", "text").collect()]  # one row per file
+    width = max((text.count(",") + 1 for _, text in texts), default=1)
     kind = ", ".join(f"c{i} string" for i in range(width))
 
-    def cells(text):
-        row = F.from_csv(text, kind, _READ)
-        return F.array(*(row[f"c{i}"] for i in range(width)))
-
-    names = F.transform(cells(F.regexp_replace("text", "^\ufeff", "")), lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
-    heads = heads.select("file", names.alias("names"))
-    lacking = F.filter(F.array(*map(F.lit, columns)), lambda c: ~F.array_contains(F.col("names"), c))
-    bad = heads.select(lacking.alias("lacking")).where(F.size("lacking") > 0).limit(1).collect()
-    if bad or not sizes:
-        raise ValueError(f"search export lacks the columns {', '.join(bad[0].lacking if bad else columns)}")
+    def cells(df: DataFrame, text: Column) -> DataFrame:
+        # a generator parses once per row; as a plain expression every filter and column behind it would parse again
+        split = df.select("*", F.inline(F.array(F.from_csv(text, kind, _READ))))
+        return split.withColumn("cells", F.array(*(f"c{i}" for i in range(width))))
+
+    heads = cells(spark.createDataFrame(texts, "file string, text string"), F.regexp_replace("text", "^\ufeff", ""))
+    heads = heads.select("file", F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))).alias("names"))
+    named = {r.file: r.names for r in heads.collect()}
+    lacking = next((x for names in named.values() if (x := [c for c in columns if c not in names])), [])
+    if lacking or not sizes:
+        raise ValueError(f"search export lacks the columns {', '.join(lacking or columns)}")
     offsets, total = [], 0
     for file in sorted(sizes):
-        offsets.append((file, total))
+        offsets.append((file, total, named.get(file)))
         total += sizes[file] - 1
-    places = spark.createDataFrame(offsets, "file string, before long")
-    body = records.where(F.col("record") > 0).join(places, "file").withColumn("row_no", F.col("before") + F.col("record") - 1)
-    rows = body.where(~F.col("open")).join(heads, "file").withColumn("cells", cells("text"))
+    places = spark.createDataFrame(offsets, "file string, before long, names array<string>")
+    # one row per file: shuffled instead, all rows of a file would meet in one task
+    body = records.where(F.col("record") > 0).join(F.broadcast(places), "file").withColumn("row_no", F.col("before") + F.col("record") - 1)
+    rows = cells(body.where(~F.col("open")).select("row_no", "names", "text"), F.col("text"))
     picked = [F.get("cells", F.array_position("names", c).cast("int") - 1).alias(c) for c in columns]
     return rows.select("row_no", *picked), body.where("open").select("row_no", "text")

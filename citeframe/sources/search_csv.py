@@ -17,7 +17,8 @@ def check_search_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = raw.withColumn("page", F.trim("page")).filter(
         F.length(F.concat_ws("", "page", *numbers)) > 0
     )
-    typed = df.withColumns({f"_{c}": csv_number(F.coalesce(c, F.lit(""))) for c in numbers})
+    # a generator reads each number once; as plain expressions the filters below would read them again and again
+    typed = df.select("*", F.inline(F.array(F.struct(*(csv_number(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in numbers)))))
     reason = F.when(F.length(F.coalesce("page", F.lit(""))) == 0, F.lit("page is missing"))
     reason = reason.when(~F.coalesce(F.col("page").rlike("^[A-Za-z][A-Za-z0-9+.-]*:[^\\s]+$"), F.lit(False)), F.lit("page is no url"))
     for c in numbers:

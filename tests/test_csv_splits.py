@@ -68,3 +68,21 @@ def test_a_quote_that_is_never_closed_is_one_reject(spark, tmp_path, small_split
     good, bad = read_search_csv(spark, str(tmp_path), "s", "bing-webmaster")
     assert good.count() == 100 and [(r.row_no, r.reason) for r in bad.collect()] == [(100, "quote is never closed")]
     assert good.agg(F.max("row_no")).first()[0] == 99
+
+
+def test_records_are_parsed_once_and_stay_where_they_are(spark, tmp_path):
+    """Filters and columns behind the parse do not repeat it, and no join brings a file's rows together."""
+    from citeframe.sources.search_csv import read_search_csv
+
+    rows = [("page,clicks,impressions,ctr,position,note")]
+    rows += [f'https://a.example.com/{k},{k},2,5%,1,"said ""x""{chr(10) if k % 3 == 0 else " "}end"' for k in range(300)]
+    rows += ["no url,1,1,1,1,", "https://a.example.com/b,many,1,1,1,", ""]
+    (tmp_path / "a.csv").write_text("\n".join(rows))
+    good, bad = read_search_csv(spark, str(tmp_path), "s", "bing-webmaster")
+    assert [r.clicks for r in good.orderBy("row_no").collect()] == [float(k) for k in range(300)]
+    assert {(r.row_no, r.reason) for r in bad.collect()} == {(300, "page is no url"), (301, "clicks is no number of 0 or more")}
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_csv(") <= 2, plan  # one in each branch of the union, or one above it
+    assert plan.count("RLIKE(trim(") <= 3 * 4 * plan.count("from_csv("), plan
+    shuffles = [x for x in good._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert shuffles and all("record" in x for x in shuffles)
