@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeframe import constants as C
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
+from citeframe.session import stage
 
 
 def _path(url: Column) -> Column:
@@ -17,12 +18,16 @@ def _path(url: Column) -> Column:
 
 
 def with_site(pages: DataFrame, sites: DataFrame | None) -> DataFrame:
-    """Adds ``base_url`` of the site, NULL without ``sites``; every later step reads it from the row."""
+    """Adds ``base_url`` of the site, NULL without ``sites``; every later step reads it from the row.
+
+    The two columns of the sites are written first, so that the optimizer knows their size: while they are small, the
+    wide rows stay in the tasks that scanned them.
+    """
     if "base_url" in pages.columns:
         return pages
     if sites is None:
         return pages.withColumn("base_url", F.lit(None).cast("string"))
-    return pages.join(sites.select("site_id", "base_url"), "site_id", "left")
+    return pages.join(stage(sites.select("site_id", "base_url"), "site-urls"), "site_id", "left")
 
 
 def classify_page_type(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
@@ -164,6 +169,6 @@ def features_of(parts: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 def page_features(pages_raw: DataFrame, sites: DataFrame | None = None, keep_site_text: bool = False) -> DataFrame:
     """Parts, type, flags, JSON-LD records, schema signals, evidence, links."""
-    from citeframe.operators.extract import extract_pages
+    from citeframe.operators.extract import extract_pages, spread
 
-    return features_of(extract_pages(pages_raw, keep_site_text), sites)
+    return features_of(extract_pages(spread(pages_raw), keep_site_text), sites)
