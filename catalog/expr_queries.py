@@ -10,7 +10,7 @@ from catalog.registry import query
 from citeframe.functions import numbers as N
 from citeframe.functions import text as T
 from citeframe.functions import urls as U
-from citeframe.operators.extract import extract_pages
+from citeframe.operators.extract import extract_pages, spread
 
 GIVEN_URL = "regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?|$)', '\\1')"
 _RAW = f"SELECT DISTINCT page FROM ({D.SEARCH_ROWS}) AS s"
@@ -124,7 +124,7 @@ resolved AS (
 @query("u14_absolute_url", f"WITH {GIVEN_LINKS} SELECT page_id, ord, href, dst FROM resolved")
 def u14(spark, sf):
     raw = D.table(spark, sf, "pages").select("page_id", U.comparable_url(F.col("url")).alias("url"), "html")
-    links = extract_pages(raw).select("page_id", "url", F.posexplode("raw_links").alias("ord", "l"))
+    links = extract_pages(spread(raw)).select("page_id", "url", F.posexplode("raw_links").alias("ord", "l"))
     return links.select("page_id", "ord", F.col("l.href").alias("href"), U.absolute_url(F.col("url"), F.col("l.href")).alias("dst"))
 
 

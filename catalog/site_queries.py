@@ -14,7 +14,7 @@ from citeframe.operators import briefs, crawl, links, scores
 from citeframe.operators import features as FE
 from citeframe.operators import jsonld as J
 from citeframe.operators import rules as R
-from citeframe.operators.extract import extract_pages
+from citeframe.operators.extract import extract_pages, spread
 from citeframe.operators.rule_catalog import RULES, RuleBook
 from citeframe.plans.audit import run_audit
 from citeframe.sources.site_files import as_pages_raw, parse_sitemaps, reachable_sitemaps
@@ -32,7 +32,7 @@ _GIVEN = f"""given AS (
 
 @query("p1_extract_pages", f"WITH {_GIVEN} SELECT site_id, url, title, h1, h1_count, lists, scripts, body_text, n_links, 0 AS tables, 0 AS controls FROM given")
 def p1(spark, sf):
-    df = extract_pages(given_pages(spark, sf))
+    df = extract_pages(spread(given_pages(spark, sf)))
     return df.select("site_id", "url", "title", "h1", "h1_count", "lists", "scripts", "body_text", F.size("raw_links").alias("n_links"), "tables", "controls")
 
 
@@ -46,7 +46,7 @@ def p1_sites(spark, sf):
 
 @query("p2_classify_page_type", P.with_sites("features") + " SELECT site_id, url, page_type FROM f")
 def p2(spark, sf):
-    parts = extract_pages(D.site_pages(spark, sf))
+    parts = extract_pages(spread(D.site_pages(spark, sf)))
     return FE.classify_page_type(parts, sites(spark, sf)).select("site_id", "url", "page_type")
 
 
@@ -66,7 +66,7 @@ def p3(spark, sf):
     {_WORD_FLAG.format(x='body_text', w='20[0-9][0-9]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')} AS has_date,
     regexp_matches(body_text, '\\b[0-9]{{1,3}}(?:[.,][0-9]+)?%?\\b') AS has_numbers FROM given""")
 def p3_given(spark, sf):
-    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(given_pages(spark, sf)), given_sites(spark, sf)))
+    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(spread(given_pages(spark, sf))), given_sites(spark, sf)))
     return df.select("url", "word_count", "has_date", "has_numbers")
 
 
@@ -79,7 +79,7 @@ def p4(spark, sf):
 @query("p4_links_given", f"""WITH {GIVEN_LINKS} SELECT url AS src_url, dst AS dst_url, anchor AS anchor_text, min(ord) AS link_ord
     FROM resolved GROUP BY 1, 2, 3""")
 def p4_given(spark, sf):
-    df = links.explode_links(links.with_links(extract_pages(given_pages(spark, sf))))
+    df = links.explode_links(links.with_links(extract_pages(spread(given_pages(spark, sf)))))
     return df.groupBy("src_url", "dst_url", "anchor_text").agg(F.min("link_ord").alias("link_ord"))
 
 
@@ -193,7 +193,7 @@ def c4_sites(spark, sf):
   SELECT site_id, url, status, crawl_rank FROM (SELECT *, r AS crawl_rank, row_number() OVER (PARTITION BY site_id, url ORDER BY r, src) AS n FROM every) AS x WHERE n = 1""")
 def c5(spark, sf):
     raw = D.site_pages(spark, sf)
-    refresh = extract_pages(raw.select("site_id", "url", "html")).select("site_id", "url", "refresh")
+    refresh = extract_pages(spread(raw.select("site_id", "url", "html"))).select("site_id", "url", "refresh")
     pages = raw.drop("html").join(refresh, ["site_id", "url"])
     return crawl.resolve_redirects(pages, sites(spark, sf)).select("site_id", "url", "status", "crawl_rank")
 
@@ -219,7 +219,7 @@ def j1(spark, sf):
     UNION SELECT src, dst FROM (SELECT {GIVEN_URL} AS src, {GIVEN_URL.replace('url', 'first_url')} AS dst FROM ({D.HOST_LINKED}) AS h) AS x WHERE src <> dst""")
 def j1_given(spark, sf):
     pages = as_pages_raw(D.derived(spark, sf, D.HOST_LINKED).select("url", "html"))
-    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(pages)))
+    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(spread(pages))))
     return links.incoming_links(links.with_links(df)).select("src_url", "dst_url").distinct()
 
 
@@ -311,7 +311,7 @@ facts AS (
 
 @query("a1_given_missing_types", _GIVEN_ISSUES + " SELECT site_id, (n0 = 0)::INT + (n1 = 0)::INT + (n2 = 0)::INT + (n3 = 0)::INT + (n4 = 0)::INT + (n5 = 0)::INT AS n_missing, n_key, home > 0 AS has_home FROM facts")
 def a1_given(spark, sf):
-    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(given_pages(spark, sf)), given_sites(spark, sf)))
+    df = FE.derive_page_flags(FE.classify_page_type(extract_pages(spread(given_pages(spark, sf))), given_sites(spark, sf)))
     pages = shared(spark, sf, "given", lambda: df.select("site_id", "url", "page_type"))
     missing = R.missing_page_types(pages, given_sites(spark, sf)).groupBy("site_id").agg(F.count("*").alias("n_missing"))
     counts = pages.groupBy("site_id").agg(

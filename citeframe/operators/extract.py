@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -359,6 +360,16 @@ def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(html) - start
 
 
+def spread(pages_raw: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over tasks of moderate size.
+
+    One row group of a Parquet file is read by one task, and a few files make few tasks, so the scan and all that follows
+    it would take as long as the largest of them. Rows are dealt by their place in the input, which no site, url or
+    text can make uneven; adaptive execution sets the number of tasks by size.
+    """
+    return pages_raw.withColumn("_place", F.monotonically_increasing_id()).repartition(F.col("_place")).drop("_place")
+
+
 def extract_pages(pages_raw: DataFrame, keep_site_text: bool = False) -> DataFrame:
     """Raw parts of every page; the html column ends here.
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from citeframe.functions import urls as U
 from citeframe.operators import crawl, scores
 from citeframe.operators.bloom import bloom_of
-from citeframe.operators.extract import extract_pages, scan_page
+from citeframe.operators.extract import extract_pages, scan_page, spread
 from citeframe.operators.features import crawl_rank, features_of
 from citeframe.operators.joins import lookup_join
 from citeframe.operators.rule_catalog import RuleBook
@@ -39,7 +39,7 @@ def crawl_plan(pages_raw: DataFrame, sites: DataFrame, robots_raw: DataFrame | N
 
 def page_parts(pages_raw: DataFrame) -> DataFrame:
     """The one parse of an audit: parts of every stored page with a row locator ``part_id``; the html ends here."""
-    return stage(extract_pages(pages_raw).withColumn("part_id", F.monotonically_increasing_id()), "page-parts")
+    return stage(extract_pages(spread(pages_raw)).withColumn("part_id", F.monotonically_increasing_id()), "page-parts")
 
 
 def planned_rows(parts: DataFrame, targets: DataFrame, sites: DataFrame, include=(), exclude=(), absent: bool = True) -> DataFrame:

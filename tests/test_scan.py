@@ -113,3 +113,50 @@ def test_pages_are_scanned_in_small_portions(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert [(r.id, r.h1) for r in got] == [(k, "t%d" % k if h else "") for k, h in rows]
+
+
+def test_rows_of_one_file_part_are_dealt_over_tasks(spark):
+    """One row group, or one hot site, is no single task: pages are dealt by their place before the scan."""
+    from citeframe.operators.extract import extract_pages, spread
+    from citeframe.operators.features import page_features
+    from pyspark.sql import functions as F
+
+    one = spark.createDataFrame([("s", "https://s.example.com/", f"<h1>t{k}</h1>") for k in range(800)], "site_id string, url string, html string").coalesce(1)
+    pages = one.selectExpr("site_id", "url", "200 AS status", "'text/html' AS content_type", "cast(null AS string) AS fetch_error", "html")
+    sites = spark.createDataFrame([("s", "https://s.example.com")], "site_id string, base_url string")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (extract_pages(spread(pages)), page_features(pages, sites)):
+            got = df.select("h1", F.spark_partition_id().alias("task")).collect()
+            assert sorted(r.h1 for r in got) == sorted(f"t{k}" for k in range(800))
+            sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+            assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_scanned_pages_are_not_shuffled_for_their_site(spark, tmp_path):
+    """The size of a derived site table is known before the plan is made, so scanned parts stay where they are."""
+    from citeframe.operators.features import with_site
+    from pyspark.sql import functions as F
+
+    html = "x" * 2000
+    wide = spark.range(20000).select((F.col("id") % 50).cast("string").alias("site_id"), F.concat(F.lit(html), F.md5(F.col("id").cast("string"))).alias("html"))
+    wide.selectExpr("*", "concat(html, md5(html)) AS more").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    # a derivation whose size the optimizer cannot tell
+    sites = pages.groupBy("site_id").agg(F.max(F.concat(F.lit("https://s"), "site_id", F.lit(".example.com"))).alias("base_url"))
+    plan = with_site(pages, sites)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_squash_and_compact_keep_their_results(spark):
+    from citeframe.functions import text as T
+    from pyspark.sql import functions as F
+
+    texts = ["a  b", " a\tb\n", "a  b", "a b", "", "　a﻿", "é  è", "~!  !~", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.squash(F.col("t")).alias("t"))
+    assert [r.t for r in df.orderBy("i").collect()] == ["a b", "a b", "a b", "a b", "", "a", "é è", "~! !~", None]
+    listed = spark.createDataFrame([([" 1", "1", "1 ", "\t", "2", " 1", "3", "2", "4"],)], "v array<string>")
+    assert listed.select(T.compact(F.col("v")).alias("v")).first().v == ["1", "2", "3"]
