@@ -36,8 +36,8 @@ def trimmed(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Every run of whitespace becomes one blank; the ends are trimmed."""
-    # single plain blanks are passed over, which most of a text is
-    return F.trim(F.regexp_replace(c, f"{SPACE}{{2,}}|{ODD_SPACE}", " "))
+    # single plain blanks are passed over, which most of a text is; the look-ahead rules out printable ASCII at once
+    return F.trim(F.regexp_replace(c, f"(?=[^!-~])(?:{SPACE}{{2,}}|{ODD_SPACE})", " "))
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -90,7 +90,8 @@ def has_any(text_lower: Column, terms: Column) -> Column:
 
 def compact(values: Column, k: int = 3) -> Column:
     """First ``k`` distinct non-blank values, trimmed."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, trimmed), lambda v: F.length(v) > 0)), 1, k)
+    once = F.transform(F.array_distinct(values), trimmed)
+    return F.slice(F.array_distinct(F.filter(once, lambda v: F.length(v) > 0)), 1, k)
 
 
 def regex_examples(c: Column, pattern: str, k: int = 3) -> Column:
