@@ -160,3 +160,30 @@ def test_squash_and_compact_keep_their_results(spark):
     assert [r.t for r in df.orderBy("i").collect()] == ["a b", "a b", "a b", "a b", "", "a", "é è", "~! !~", None]
     listed = spark.createDataFrame([([" 1", "1", "1 ", "\t", "2", " 1", "3", "2", "4"],)], "v array<string>")
     assert listed.select(T.compact(F.col("v")).alias("v")).first().v == ["1", "2", "3"]
+
+
+def test_parts_held_by_a_worker_do_not_follow_the_rows_of_a_batch(spark, monkeypatch):
+    """Python objects at the peak of a scan are those of one portion, with few or many rows in an Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from citeframe.operators.extract import extract_pages
+
+    pages = spark.createDataFrame([], "id long, html string")
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: run)
+    links = "".join(f'<p>text {k} <a href="/a{k}">link {k}</a></p>' for k in range(4))
+    run = extract_pages(pages, keep_site_text=True)
+
+    def peak(rows):
+        batch = pa.RecordBatch.from_pydict({"id": range(rows), "html": [f"<h1>{k}</h1>{links}" for k in range(rows)]})
+        tracemalloc.start()
+        try:
+            got = [(i, h) for out in run(iter([batch])) for i, h in zip(out.column("id").to_pylist(), out.column("h1").to_pylist())]
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert got == [(k, str(k)) for k in range(rows)]
+        return most
+
+    few, many = peak(512), peak(2560)
+    assert many < 2 * few
