@@ -74,14 +74,15 @@ SHOWN = 400
 
 def enough(text: str, start: int, end: int) -> str:
     """As much of a slice as holds ``SHOWN`` characters once tags and repeated white space are out."""
-    size = 4096
+    size = 1024
     while end - start > size:
         part = text[start : start + size]
-        if part.rfind("<") > part.rfind(">"):
-            part = part[: part.rfind("<")]
+        tag = part.find("<", part.rfind(">") + 1)
+        if tag >= 0:
+            part = part[:tag]
         if len(" ".join(re.sub("<[^>]+>", " ", part).split())) > SHOWN:
             return part
-        size *= 16
+        size *= 4
     return text[start:end]
 
 
@@ -114,6 +115,7 @@ class PageScan(HTMLParser):
         self.canonical: str | None = None
         self.refresh: str | None = None
         self.root = {"tag": "body", "first": None, "direct": None, "outer": None}
+        self.said: dict[tuple[int, int], str] = {}  # texts of blocks by place, as all links of a block share its text
 
     def updatepos(self, i, j):
         """Line numbers are never asked for, so they are not counted."""
@@ -303,7 +305,10 @@ class PageScan(HTMLParser):
 
     def _link(self, link) -> dict:
         out = {k: link[k] for k in ("href", "aria", "title")}
-        return out | {"text": self._said(link["text"]), "block": self._said(link["block"]), "heading": self._heading(link["around"])}
+        place = link["block"]
+        if place is not None and place not in self.said:
+            self.said[place] = self._said(place)
+        return out | {"text": self._said(link["text"]), "block": self.said.get(place), "heading": self._heading(link["around"])}
 
 
 def _no_constant(name):
@@ -344,8 +349,9 @@ def scan_page(html: str | None) -> dict:
     return scan.parts()
 
 
-# A portion of pages that is scanned and sent off at once ends with this many rows or bytes of html.
-PORTION_ROWS, PORTION_BYTES = 256, 1 << 21
+# A portion of pages that is scanned and sent off at once ends with this many rows or bytes of html, and before that once
+# its parts have this many characters: links repeat the texts around them.
+PORTION_ROWS, PORTION_BYTES, PORTION_PARTS = 256, 1 << 21, 1 << 22
 
 
 def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
@@ -360,6 +366,34 @@ def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(html) - start
 
 
+def characters(part) -> int:
+    """Characters of all texts inside a part, repeats counted."""
+    if isinstance(part, str):
+        return len(part)
+    if isinstance(part, dict):
+        part = part.values()
+    elif not isinstance(part, list):
+        return 0
+    return sum(map(characters, part))
+
+
+def scanned(html: pa.Array, keep_site_text: bool = False) -> Iterator[tuple[int, list[dict]]]:
+    """(start, parts) of neighbouring pages, no more at once than a portion or one page over ``PORTION_PARTS``."""
+    for start, size in portions(html):
+        rows, held = [], 0
+        for value in html.slice(start, size):
+            row = scan_page(value.as_py())
+            if not keep_site_text:
+                row["site_text"] = None
+            held += characters(row)
+            rows.append(row)
+            if held > PORTION_PARTS:
+                yield start, rows
+                start, rows, held = start + len(rows), [], 0
+        if rows:
+            yield start, rows
+
+
 def spread(pages_raw: DataFrame) -> DataFrame:
     """The same rows, dealt evenly over tasks of moderate size.
 
@@ -384,12 +418,8 @@ def extract_pages(pages_raw: DataFrame, keep_site_text: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, size in portions(batch.column("html")):
-                few = batch.slice(start, size)
-                rows = [scan_page(value.as_py()) for value in few.column("html")]
-                if not keep_site_text:
-                    for row in rows:
-                        row["site_text"] = None
+            for start, rows in scanned(batch.column("html"), keep_site_text):
+                few = batch.slice(start, len(rows))
                 found = pa.Table.from_pylist(rows, schema=arrow_parts)
                 columns = [few.column(f.name) for f in carried.fields]
                 columns += [column.combine_chunks() for column in found.columns]

@@ -92,6 +92,42 @@ def test_long_texts_of_links_keep_what_is_shown():
     assert clean(link["block"]) == clean(text) and len(link["block"]) < len(text)
 
 
+def test_a_tag_that_ends_far_behind_is_no_text_of_a_link():
+    """What is kept of a long block ends before the first mark that a later one may close, so it cleans as the whole does."""
+    clean = lambda t: " ".join(re.sub("<[^>]+>", " ", t).split())[:200]
+    for far in (150, 700, 2000):
+        block = "start &lt; one " + "word " * far + "&lt; two " + "word " * 2000 + "&gt;" + " rest" * 500
+        link = scan_page(f"<p>{block}<a href=q>l</a></p>")["raw_links"][0]
+        assert clean(link["block"]) == ("start" + " rest" * 500)[:200]
+
+
+def test_texts_around_many_links_are_held_once(spark, monkeypatch):
+    """A block's text is one object for all its links, and a portion ends once its parts grow large."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from citeframe.operators import extract
+
+    pages = spark.createDataFrame([], "id long, html string")
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: run)
+    cell = "".join(f'<a href="/t/{k}">topic number {k}</a> ' for k in range(300))
+    html = [f"<h1>{k}</h1><table><tr><td>{cell}</td></tr></table>" for k in range(40)]
+    assert list(extract.portions(pa.array(html))) == [(0, 40)]
+    run = extract.extract_pages(pages)
+    batch = pa.RecordBatch.from_pydict({"id": range(40), "html": html})
+    got, most = [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            most = max(most, out.nbytes)
+            got += zip(out.column("id").to_pylist(), out.column("h1").to_pylist())
+        objects = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [(k, str(k)) for k in range(40)]
+    assert objects < 16e6 and most < 8e6
+
+
 def test_pages_are_scanned_in_small_portions(spark):
     """No more rows or html than a portion's are held as parts at once, and all rows come out, in order."""
     import pyarrow as pa
