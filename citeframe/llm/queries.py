@@ -151,7 +151,7 @@ def op9(spark, sf):
 @query("op10_simhash")
 def op10(spark, sf):
     rows, classes = simhash.near_duplicates(table(spark, sf, "documents"), payload=["doc_id"])
-    return rows.join(classes, "fp").select(
+    return rows.hint("merge").join(classes, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

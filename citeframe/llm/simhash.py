@@ -12,6 +12,9 @@ divided again by the bits that vary in it: at most three of them differ, so one
 until every bucket is small, which ends because members of a bucket are distinct. Inside a bucket each local
 component gives one edge per member to its smallest member, never all pairs; no link is lost.
 
+Spark sizes exploded keys and staged files far too low, and so would broadcast tables that the driver cannot hold; a
+plan once made so stays so, as the other one has more shuffles. Joins of as many rows as texts or keys are sort-merge.
+
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other. A null ``doc_id`` never
 becomes a component id unless the whole component has none. Repeated rows share a fingerprint and stay rows of
 their own. An empty table gives an empty result. Extra columns are kept apart in a struct, whatever their names.
@@ -150,7 +153,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bucket_id = ["tag", "mask", "fixed"]
     members = stage(
-        keyed.join(shared, "key").select(
+        keyed.hint("merge").join(shared, "key").select(
             F.shiftrightunsigned("key", 30).alias("tag"), F.lit(0).cast("long").alias("mask"),
             F.col("key").bitwiseAND(F.lit((1 << 30) - 1)).alias("fixed"), "fp", "n",
         ),
@@ -167,7 +170,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         large = large.join(large.groupBy(*bucket_id).agg(varying), bucket_id).select("tag", "mask", "varying", "fp")
         parts = stage(large.mapInArrow(_divide, "tag long, mask long, fixed long, fp long").distinct(), "simhash-parts")
         sizes = parts.groupBy(*bucket_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = stage(parts.join(sizes, bucket_id), "simhash-members")
+        members = stage(parts.hint("merge").join(sizes, bucket_id), "simhash-members")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
@@ -201,7 +204,7 @@ def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
     )
     labelled = stage(labelled, "simhash-labels")
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    return labelled.join(heads, "label").select(
+    return labelled.hint("merge").join(heads, "label").select(
         "fp", F.col("head.id").alias("component_id"), F.col("head.row_id").alias("first_row")
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from citeframe.llm import decontaminate, mixing, quality, queries, sharding, simhash
 from citeframe.llm.components import connected
+from citeframe.session import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, fp string, shard string"
@@ -75,6 +76,41 @@ def test_simhash_query(spark, sf_dir):
     assert got == want
 
 
+@pytest.fixture
+def broadcasts(spark, request):
+    """A larger broadcast fails, whatever Spark took the table's size for."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", request.param)
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("broadcasts", ["2m"], indirect=True)
+def test_simhash_query_broadcasts_no_keys_or_rows(spark, tmp_path, broadcasts):
+    """Few enough fingerprints for Spark to broadcast them, with 32 times as many keys."""
+    rnd, texts = random.Random(12), []
+    for _ in range(3000):
+        texts.append(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(12)))
+        if rnd.random() < 0.2:
+            texts.append(texts[-1].upper())
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [brute_fingerprint(t) for t in texts]
+    want = {i: (f"{fp:016x}", c) for i, (fp, c) in enumerate(zip(fps, components(fps), strict=True))}
+    found = queries.op10(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in found.collect()} == want
+
+
+def test_divided_buckets_are_not_broadcast(spark, monkeypatch):
+    """Files of parts are far smaller than their rows, so that Spark would broadcast them."""
+    plans, rnd = [], random.Random(13)
+    monkeypatch.setattr(simhash, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
+    fps = {1 << rnd.randrange(63) | 1 << rnd.randrange(63) for _ in range(40)}
+    simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 6)
+    members = [plan for name, plan in plans if name == "simhash-members"]
+    assert len(members) > 1 and not any("Broadcast" in plan for plan in members)
+
+
 @pytest.mark.parametrize("bucket", [4096, 16])
 def test_links_connect_what_is_near(spark, bucket):
     """Random balls: many fingerprints around a few centres, some buckets far above the limit."""
